@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import spread
 from ..sources.tables import table
-from . import packing, site_lines, splitting, tokens
+from . import packing, pairs, site_lines, splitting, tokens, truncation
 
 CONTAINER_TOKENS = 2048
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.find_defects(table(spark, folder, "question_responses"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     blocks, catalog = table(spark, folder, "document_blocks"), table(spark, folder, "document_catalog")
     return site_lines.find_repeated(blocks, catalog).select("document_id", "block_id", "line_no")
@@ -43,6 +47,18 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def _truncated(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, folder, "generation_diagnostics"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncated(spark, folder).where("truncated").select("request_id")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -53,7 +69,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:

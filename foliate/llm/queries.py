@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import spread
 from ..sources.tables import table
-from . import packing, pairs, site_lines, splitting, tokens, truncation
+from . import packing, pairs, quality, site_lines, splitting, tokens, truncation
 
 CONTAINER_TOKENS = 2048
 
@@ -68,8 +68,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_containers(counted, CONTAINER_TOKENS)
 
 
+def p10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.assess(spread(table(spark, folder, "documents").select("doc_id", "text", "lang")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_quality(spark, folder).where("kind != 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

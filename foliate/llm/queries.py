@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import spread
 from ..sources.tables import table
-from . import packing, pairs, quality, site_lines, splitting, tokens, truncation
+from . import near_duplicates, packing, pairs, quality, site_lines, splitting, tokens, truncation
 
 CONTAINER_TOKENS = 2048
 
 
+def _similar(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "retrieved_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
+    reasons = table(spark, folder, "context_exclusions").select(F.lit("exclusion").alias("kind"), F.col("exclusion_id").alias("id"), F.col("reason").alias("text"))
+    return chunks.unionByName(reasons)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_records(_similar(spark, folder)).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups(_similar(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.find_defects(table(spark, folder, "question_responses"))
 
@@ -77,7 +91,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import spread
 from ..sources.tables import table
-from . import near_duplicates, packing, pairs, quality, site_lines, splitting, tokens, truncation
+from . import near_duplicates, packing, pairs, quality, scan_noise, site_lines, splitting, tokens, truncation
 
 CONTAINER_TOKENS = 2048
 
@@ -61,6 +61,17 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "document_blocks").select("document_id", "block_id", "page_number", "text")
+    tables = table(spark, folder, "parsed_tables").select("document_id", "table_id", "page_number", "page_numbers", "cells", "native_text")
+    return scan_noise.repair_records(spread(blocks), spread(tables))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = p6_repaired(spark, folder).where(F.size("noise") > 0)
+    return rows.select(F.col("kind").alias("record_kind"), "document_id", "record_id", F.explode("noise").alias("noise_kind")).distinct()
+
+
 def _truncated(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.find_truncated(table(spark, folder, "generation_diagnostics"))
 
@@ -91,7 +102,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p6_found, p6_repaired, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,8 +37,10 @@ TOKEN = re.compile(rf"[^\W_{re.escape(SIGNS)}](?:[^\W_]|[{re.escape(SIGNS)}])*|[
 BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[{re.escape(SIGNS)}])*)[ ]?[{HYPHENS}][ \t]*$")
 FIRST = re.compile(rf"^\s*((?:[^\W_]|[{re.escape(SIGNS)}])+)")
 CODE = re.compile(r"^[A-Z]+\d+$")
-NUMBER_MISREAD = re.compile(r"^(?=.*\d)(?=.*[lIOo|!])[\dlIOo|!]+$")
+#: Figures with a letter among them; a capital in front of whole figures is a code.
+NUMBER_MISREAD = re.compile(r"(?<![\w.,-])(?=[lIOoSB|.,]*\d)(?=[\d.,]*[lIOoSB|])(?![A-Z]\d+(?![\w.,]|[.,]\d))[\dlIOoSB|]+(?:[.,][\dlIOoSB|]+)*(?![\w-])")
 PAGE_LINE = re.compile(r"^[\s\-–—|\[(]*(?:(?:pages?|pag\.?|p\.?|seite|s\.|página|pág\.?)\s*)?[\s\[(]*(\d{1,6})[\s\])]*(?:(?:of|/|von|sur|de)\s*\d{1,6})?[\s\-–—|\])]*$", re.IGNORECASE)
+ROMAN_LINE = re.compile(r"^[\s\-–—|\[(]*([ivxlc]+)[\s\-–—|\])]*$")
 HEADER_PAGES = 3
 #: A frequent word is at least so many times as frequent as a misreading of it; fewer suffice if signs or digits
 #: stand among its letters.
@@ -111,7 +113,7 @@ def _flushed(counts: Counter) -> pa.RecordBatch:
     for word, n in counts.items():
         if CODE.match(word) or word.isdigit():
             continue
-        folded[word if NUMBER_MISREAD.match(word) else word.lower().rstrip("!|")] += n
+        folded[word.lower().rstrip("!")] += n
     out = pa.RecordBatch.from_arrays([pa.array(list(folded), pa.string()), pa.array(list(folded.values()), pa.int64())], names=["word", "n"])
     counts.clear()
     return out
@@ -179,33 +181,49 @@ def corrections(words: DataFrame) -> DataFrame:
     best = checked.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("m"), "meant"))).where("r = 1").select("word", "meant")
     # Signs between letters are misread whatever the word, as in names.
     odd = words.where(F.col("word").rlike(r"\p{L}[€†@!|$]\p{L}|^[€†@!|$]\p{L}{3}|\p{L}{3}[€†@]$|\p{Ll}{2}[01569]\p{Ll}{2}") & ~F.col("word").rlike(r"@.*\."))
-    numbers = words.where(F.col("word").rlike(r"^(?=.*\d)(?=.*[lIOo|!])[\dlIOo|!]+$") & ~F.col("word").rlike(r"^[A-Z]\d+$|^\d+[oO]$"))
-    rest = odd.select("word").unionByName(numbers.select("word")).join(best, "word", "left_anti").select("word", F.lit(None).cast("string").alias("meant"))
+    rest = odd.select("word").join(best, "word", "left_anti").select("word", F.lit(None).cast("string").alias("meant"))
     return best.unionByName(rest.distinct())
 
 
 def _fix_number(word: str) -> str:
-    return word.translate(str.maketrans("lI|!Oo", "111100"))
+    return word.translate(str.maketrans("lI|OoSB", "1110058"))
+
+
+def roman(text: str) -> int | None:
+    """The number that a lower-case roman numeral writes."""
+    if not re.fullmatch(r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", text) or not text:
+        return None
+    values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in text]
+    return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True))
 
 
 class Repairer:
     def __init__(self, misread: dict[str, str | None], known: frozenset[str]) -> None:
         self.misread, self.known = misread, known
+        self.guesses: dict[str, str | None] = {}
+
+    def guess(self, word: str) -> str | None:
+        """What a word that was never counted, as it stands at a broken line, may be a misreading of."""
+        if word not in self.guesses:
+            if len(self.guesses) > 100_000:
+                self.guesses.clear()
+            self.guesses[word] = min((v for v in _variants(word) if v in self.known), default=None) if 3 < len(word) < 30 else None
+        return self.guesses[word]
 
     def whole(self, word: str) -> bool:
         word = word.lower()
-        return word in self.known or (self.misread.get(word) or "") in self.known
+        return word in self.known or (self.misread.get(word) or "") in self.known or self.guess(word) is not None
 
     def read(self, token: str) -> str | None:
         """What a token should read, if it is misread."""
-        if NUMBER_MISREAD.match(token):
-            return _fix_number(token) if token in self.misread else None
         if token.isalpha() and token.lower() in self.known:
             return None
-        bare = token.lower().rstrip("!|")
-        if bare not in self.misread or CODE.match(token):
+        bare = token.lower().rstrip("!")
+        if CODE.match(token) or bare in self.known:
+            return None
+        meant = self.misread.get(bare) or self.guess(bare)
+        if meant is None and bare not in self.misread:
             return None
-        meant = self.misread[bare]
         if meant is None:
             meant = re.sub(f"[{re.escape(SIGNS)}]", lambda m: dict(CONFUSIONS)[m.group()], bare)
         return meant.upper() if token.isupper() and len(token) > 1 else meant.capitalize() if token[0].isupper() else meant
@@ -216,10 +234,10 @@ class Repairer:
         lines = text.split("\n")
         kept: list[str] = []
         for line, header in zip(lines, edge, strict=True):
-            number = PAGE_LINE.match(line) if page_lines and len(line) < 40 else None
+            number = (PAGE_LINE.match(line) or ROMAN_LINE.match(line)) if page_lines and len(line) < 40 else None
             if header:
                 found.add("running_header")
-            elif number and int(number.group(1)) in pages:
+            elif number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
                 found.add("page_number")
             else:
                 kept.append(line)
@@ -258,10 +276,16 @@ class Repairer:
             if meant is None:
                 return match.group()
             found.add("misread")
-            end = re.search(r"[!|]+$", match.group())
-            return meant + (end.group() if end and match.group().lower() not in self.misread else "")
+            end = re.search(r"!+$", match.group())
+            return meant + (end.group() if end else "")
 
-        fixed = [TOKEN.sub(fix, line) for line in out]
+        def figures(match: re.Match) -> str:
+            if len(re.findall(r"\d", match.group())) < 2 and not re.search("[lI|]", match.group()):
+                return match.group()
+            found.add("misread")
+            return _fix_number(match.group())
+
+        fixed = [NUMBER_MISREAD.sub(figures, TOKEN.sub(fix, line)) for line in out]
         return unwrap(fixed), sorted(found)
 
     def closes(self, half: str, other: str, end: str) -> bool:
@@ -270,10 +294,8 @@ class Repairer:
             return False
         if re.search("[­¬]", end):
             return other[0].islower()
-        bare = half.lower()
-        if bare in self.known and other.lower() in self.known:
-            return False
-        return other[0].islower() and bare not in self.known and other.lower() not in self.known
+        # Names are often rare; of other unknown words a compound is as likely, and keeps its hyphen.
+        return half[0].isupper() and half[1:].islower() and other[0].islower() and half.lower() not in self.known
 
 
 def unwrap(lines: list[str]) -> str:

@@ -61,14 +61,18 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+def _repaired(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
     blocks = table(spark, folder, "document_blocks").select("document_id", "block_id", "page_number", "text")
     tables = table(spark, folder, "parsed_tables").select("document_id", "table_id", "page_number", "page_numbers", "cells", "native_text")
-    return scan_noise.repair_records(spread(blocks), spread(tables))
+    return scan_noise.repair_records(spread(blocks), spread(tables), texts)
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder, True)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = p6_repaired(spark, folder).where(F.size("noise") > 0)
+    rows = _repaired(spark, folder, False)
     return rows.select(F.col("kind").alias("record_kind"), "document_id", "record_id", F.explode("noise").alias("noise_kind")).distinct()
 
 

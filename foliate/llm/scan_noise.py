@@ -21,7 +21,8 @@ from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize, small_enough
@@ -35,12 +36,14 @@ SIGNS = "€†@!|$"
 HYPHENS = "-­¬‐‑"
 TOKEN = re.compile(rf"[^\W_{re.escape(SIGNS)}](?:[^\W_]|[{re.escape(SIGNS)}])*|[{re.escape(SIGNS)}](?=[^\W\d_])(?:[^\W_]|[{re.escape(SIGNS)}])+")
 BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[{re.escape(SIGNS)}])*)[ ]?[{HYPHENS}][ \t]*$")
+BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n")
 FIRST = re.compile(rf"^\s*((?:[^\W_]|[{re.escape(SIGNS)}])+)")
 CODE = re.compile(r"^[A-Z]+\d+$")
 #: Figures with a letter among them; a capital in front of whole figures is a code.
 NUMBER_MISREAD = re.compile(r"(?<![\w.,-])(?=[lIOoSB|.,]*\d)(?=[\d.,]*[lIOoSB|])(?![A-Z]\d+(?![\w.,]|[.,]\d))[\dlIOoSB|]+(?:[.,][\dlIOoSB|]+)*(?![\w-])")
 PAGE_LINE = re.compile(r"^[\s\-–—|\[(]*(?:(?:pages?|pag\.?|p\.?|seite|s\.|página|pág\.?)\s*)?[\s\[(]*(\d{1,6})[\s\])]*(?:(?:of|/|von|sur|de)\s*\d{1,6})?[\s\-–—|\])]*$", re.IGNORECASE)
 ROMAN_LINE = re.compile(r"^[\s\-–—|\[(]*([ivxlc]+)[\s\-–—|\])]*$")
+NUMBER_HINT = re.compile(r"[lIOoSB|][.,]?\d|\d[.,]?[lIOoSB|]")
 HEADER_PAGES = 3
 #: A frequent word is at least so many times as frequent as a misreading of it; fewer suffice if signs or digits
 #: stand among its letters.
@@ -63,60 +66,98 @@ def anagram_hash(word: str) -> int:
 DIFFERENCES = {(read, meant): anagram_hash(meant) - anagram_hash(read) for read, meant in CONFUSIONS}
 
 
-def line_skeleton(line: Column, page: Column) -> Column:
-    """A line without case, space, its page's number at either end, and differences that a scan makes."""
-    number = page.cast("string")
-    bare = F.lower(F.trim(F.regexp_replace(line, r"[\s ]+", " ")))
-    inner = F.regexp_replace(F.regexp_replace(bare, r"^\d+ *[|:.–—-]* +", ""), r" *[|–—-]* *\d+$", "")
-    first, last = F.regexp_extract(bare, r"^(\d+) *[|:.–—-]* +", 1), F.regexp_extract(bare, r" [|–—-]* *(\d+)$", 1)
-    own = ((first == "") | (first == number)) & ((last == "") | (last == number))
-    text = F.when(own, inner).otherwise(bare)
-    text = F.regexp_replace(F.regexp_replace(text, r"rn", "m"), r"vv", "w")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "ri", "n"), "li", "h"), "ii", "u"), "cl", "d")
-    return F.regexp_replace(F.translate(text, "€c†@!|1l05689$", "eetaiiiiosbbgs"), r"[^\p{L}\p{N}]+", " ")
+_FRONT = re.compile(r"(\d+) *[|:.–—-]* +(.*)$")
+_BACK = re.compile(r"(.*?) *[|–—-]* +(\d+)$")
+_PLAIN = str.maketrans("€c†@!|1l05689$", "eetaiiiiosbbgs")
+_OTHER = re.compile(r"[\W_]+")
 
 
-def running_headers(blocks: DataFrame) -> DataFrame:
-    """(document_id, skeleton) of the running header lines of each document.
+def skeleton(line: str, pages: list[int]) -> str:
+    """A line without case, space, the number of its page at either end, and differences that a scan makes."""
+    text = " ".join(line.lower().split())
+    if text[:1].isdigit() and (found := _FRONT.match(text)) and int(found.group(1)) in pages:
+        text = found.group(2)
+    elif text[-1:].isdigit() and (found := _BACK.match(text)) and int(found.group(2)) in pages:
+        text = found.group(1)
+    for read, meant in (("rn", "m"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("ii", "u"), ("cl", "d")):
+        text = text.replace(read, meant)
+    return _OTHER.sub(" ", text.translate(_PLAIN)).strip()
 
-    Lines are counted by document, line and page before anything is joined; a document of any size is only
-    aggregated.
-    """
-    lines = blocks.select("document_id", "page_number", "text", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    rows = lines.where((F.length("line") >= 6) & ~F.rtrim("line").rlike("[.,;:?!]$")).select("document_id", "page_number", (F.trim("line") == F.trim("text")).alias("alone"), line_skeleton(F.col("line"), F.col("page_number")).alias("skeleton"))
-    counted = rows.groupBy("document_id", "skeleton", "page_number").agg(F.max("alone").alias("alone")).groupBy("document_id", "skeleton").agg(F.count("*").alias("pages"), F.max("alone").alias("alone"))
-    return counted.where((F.col("pages") >= HEADER_PAGES) & F.col("alone") & F.trim("skeleton").contains(" ")).select("document_id", "skeleton")
+
+def _line_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _edge_lines(text: str, page: int | None) -> Iterator[tuple[int, int]]:
+    """(hash, alone) of the lines of a block that may be running headers."""
+    if page is None:
+        return
+    lines = text.split("\n")
+    for line in lines:
+        s = line.strip()
+        if 6 <= len(s) <= 160 and s[-1] not in ".,;:?!":
+            bare = skeleton(s, [page])
+            if " " in bare:
+                yield _line_hash(bare), int(len(lines) == 1)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (tag w: word, n) and of possible header lines (tag h: document, hash, page, alone)."""
     counts: Counter = Counter()
+    edges: dict[tuple, int] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            lines = text.split("\n")
-            broken = False
-            for line in lines:
-                words = TOKEN.findall(line)
-                if broken and words:
-                    words = words[1:]
-                broken = bool(BROKEN.search(line))
-                if broken and words:
-                    words = words[:-1]
-                counts.update(words)
-        if len(counts) > COUNTER_WORDS:
-            yield _flushed(counts)
-    if counts:
-        yield _flushed(counts)
-
-
-def _flushed(counts: Counter) -> pa.RecordBatch:
+        for document, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if document is not None:
+                for hashed, alone in _edge_lines(text, page):
+                    key = (document, hashed, page)
+                    edges[key] = max(alone, edges.get(key, 0))
+            if "\n" in text and BREAK.search(text):
+                broken = False
+                for line in text.split("\n"):
+                    words = TOKEN.findall(line)
+                    if broken and words:
+                        words = words[1:]
+                    broken = bool(BROKEN.search(line))
+                    counts.update(words[:-1] if broken else words)
+            else:
+                counts.update(TOKEN.findall(text))
+        if len(counts) + len(edges) > COUNTER_WORDS:
+            yield _flushed(counts, edges)
+    if counts or edges:
+        yield _flushed(counts, edges)
+
+
+def _flushed(counts: Counter, edges: dict[tuple, int]) -> pa.RecordBatch:
     folded: Counter = Counter()
     for word, n in counts.items():
-        if CODE.match(word) or word.isdigit():
-            continue
-        folded[word.lower().rstrip("!")] += n
-    out = pa.RecordBatch.from_arrays([pa.array(list(folded), pa.string()), pa.array(list(folded.values()), pa.int64())], names=["word", "n"])
+        if not (CODE.match(word) or word.isdigit()):
+            folded[word.lower().rstrip("!")] += n
+    w, e = len(folded), len(edges)
+    columns = [
+        pa.array(["w"] * w + ["h"] * e),
+        pa.array([*folded, *(k[0] for k in edges)], pa.string()),
+        pa.array([0] * w + [k[1] for k in edges], pa.int64()),
+        pa.array([0] * w + [k[2] for k in edges], pa.int32()),
+        pa.array([*folded.values(), *edges.values()], pa.int64()),
+    ]
     counts.clear()
-    return out
+    edges.clear()
+    return pa.RecordBatch.from_arrays(columns, names=["tag", "k", "h", "page", "n"])
+
+
+def survey(records: DataFrame) -> DataFrame:
+    """Words and possible header lines of (kind, document_id, pages, text), counted in one pass; written once.
+
+    A document of any size is only aggregated: by line and page here, by line in :func:`running_headers`.
+    """
+    rows = records.select(F.when(F.col("kind") == "block", F.col("document_id")).alias("d"), F.col("pages")[0].alias("p"), "text")
+    return materialize(rows.mapInArrow(_count, "tag string, k string, h bigint, page int, n bigint").groupBy("tag", "k", "h", "page").agg(F.sum("n").alias("n")))
+
+
+def running_headers(counted: DataFrame) -> DataFrame:
+    """(document_id, headers): hashes of the running header lines of each document that has any."""
+    lines = counted.where("tag = 'h'").groupBy(F.col("k").alias("document_id"), "h").agg(F.count("*").alias("pages"), F.max("n").alias("alone"))
+    return lines.where((F.col("pages") >= HEADER_PAGES) & (F.col("alone") > 0)).groupBy("document_id").agg(F.collect_set("h").alias("headers"))
 
 
 def _sites(word: str) -> list[tuple[int, str, str]]:
@@ -197,10 +238,25 @@ def roman(text: str) -> int | None:
     return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True))
 
 
+class _Readings(dict):
+    """Token to what it should read (empty if it is right); fills itself."""
+
+    def __init__(self, repairer: Repairer) -> None:
+        super().__init__()
+        self.repairer = repairer
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = self.repairer.read(token) or ""
+        return self[token]
+
+
 class Repairer:
     def __init__(self, misread: dict[str, str | None], known: frozenset[str]) -> None:
         self.misread, self.known = misread, known
         self.guesses: dict[str, str | None] = {}
+        self.readings = _Readings(self)
 
     def guess(self, word: str) -> str | None:
         """What a word that was never counted, as it stands at a broken line, may be a misreading of."""
@@ -228,65 +284,71 @@ class Repairer:
             meant = re.sub(f"[{re.escape(SIGNS)}]", lambda m: dict(CONFUSIONS)[m.group()], bare)
         return meant.upper() if token.isupper() and len(token) > 1 else meant.capitalize() if token[0].isupper() else meant
 
-    def repair(self, text: str, pages: list[int], edge: list[bool], page_lines: bool) -> tuple[str, list[str]]:
-        """Readable text and the kinds of noise found. ``edge`` says which lines are running headers."""
+    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool) -> tuple[str, list[str]]:
+        """Readable text and the kinds of noise found."""
         found: set[str] = set()
-        lines = text.split("\n")
-        kept: list[str] = []
-        for line, header in zip(lines, edge, strict=True):
-            number = (PAGE_LINE.match(line) or ROMAN_LINE.match(line)) if page_lines and len(line) < 40 else None
-            if header:
+        kept = self._without_edges(text.split("\n"), pages, headers, page_lines, found)
+        if len(kept) > 1 and BREAK.search(text):
+            kept = self._joined(kept, found)
+        whole = "\n".join(kept)
+        if any(map(self.readings.__getitem__, TOKEN.findall(whole))):
+            found.add("misread")
+            whole = TOKEN.sub(self._fix, whole)
+        if NUMBER_HINT.search(whole):
+
+            def figures(match: re.Match) -> str:
+                if len(re.findall(r"\d", match.group())) < 2 and not re.search("[lI|]", match.group()):
+                    return match.group()
+                found.add("misread")
+                return _fix_number(match.group())
+
+            whole = NUMBER_MISREAD.sub(figures, whole)
+        return unwrap(whole.split("\n")), sorted(found)
+
+    def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, found: set[str]) -> list[str]:
+        kept = []
+        for line in lines:
+            if headers and 6 <= len(line) <= 170 and _line_hash(skeleton(line, pages)) in headers:
                 found.add("running_header")
-            elif number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
-                found.add("page_number")
-            else:
-                kept.append(line)
+                continue
+            if page_lines and len(line) < 40:
+                number = PAGE_LINE.match(line) or ROMAN_LINE.match(line)
+                if number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
+                    found.add("page_number")
+                    continue
+            kept.append(line)
+        return kept
+
+    def _joined(self, kept: list[str], found: set[str]) -> list[str]:
+        """Lines with words that were broken at their ends put together."""
         out: list[str] = []
-        at = 0
-        skip_first: dict[int, int] = {}
-        while at < len(kept):
-            line = kept[at]
-            if at in skip_first:
-                line = line[skip_first[at] :].lstrip()
-            broken = BROKEN.search(line)
-            if broken and at + 1 < len(kept):
+        taken: dict[int, int] = {}
+        for at, line in enumerate(kept):
+            if at in taken:
+                line = line[taken[at] :].lstrip()
+            broken = BROKEN.search(line) if at + 1 < len(kept) else None
+            if broken:
                 half = broken.group(1)
-                for step in (1, 2, 3):
-                    if at + step >= len(kept):
-                        break
+                for step in range(1, min(4, len(kept) - at)):
                     follow = FIRST.match(kept[at + step])
                     if not follow:
                         continue
-                    other = follow.group(1)
-                    joined = half + other
-                    if self.whole(joined) or (step == 1 and self.closes(half, other, broken.group(0))):
+                    joined = half + follow.group(1)
+                    if self.whole(joined) or (step == 1 and self.closes(half, follow.group(1), broken.group(0))):
                         found.add("hyphenation")
-                        line = line[: broken.start(1)] + joined
-                        rest = kept[at + step][follow.end() :]
-                        tail = re.match(r"^[.,;:!?)\]\"'”]+", rest)
-                        if tail:
-                            line += tail.group(0)
-                        skip_first[at + step] = follow.end() + (tail.end() if tail else 0)
+                        tail = re.match(r"[.,;:!?)\]\"'”]*", kept[at + step][follow.end() :])
+                        line = line[: broken.start(1)] + joined + tail.group(0)
+                        taken[at + step] = follow.end() + tail.end()
                         break
             out.append(line)
-            at += 1
-
-        def fix(match: re.Match) -> str:
-            meant = self.read(match.group())
-            if meant is None:
-                return match.group()
-            found.add("misread")
-            end = re.search(r"!+$", match.group())
-            return meant + (end.group() if end else "")
+        return out
 
-        def figures(match: re.Match) -> str:
-            if len(re.findall(r"\d", match.group())) < 2 and not re.search("[lI|]", match.group()):
-                return match.group()
-            found.add("misread")
-            return _fix_number(match.group())
-
-        fixed = [NUMBER_MISREAD.sub(figures, TOKEN.sub(fix, line)) for line in out]
-        return unwrap(fixed), sorted(found)
+    def _fix(self, match: re.Match) -> str:
+        meant = self.readings[match.group()]
+        if not meant:
+            return match.group()
+        end = re.search(r"!+$", match.group())
+        return meant + (end.group() if end else "")
 
     def closes(self, half: str, other: str, end: str) -> bool:
         """Whether a break without a known joined word is a hyphenation rather than a compound."""
@@ -326,16 +388,17 @@ def scanned_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return block.unionByName(native).unionByName(cells).where(F.length("text") > 0)
 
 
-def repair_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+def repair_records(blocks: DataFrame, tables: DataFrame, texts: bool = True) -> DataFrame:
     """(kind, document_id, record_id, clean_text, noise): every block, native text and cell with a text, repaired.
 
-    ``noise`` lists what was found (hyphenation, misread, page_number, running_header). Null and empty texts give no
-    rows; repeated rows stay repeated. Texts are never shuffled unless the headers of all documents exceed
-    ``BROADCAST_ROWS``.
+    ``noise`` lists what was found (hyphenation, misread, page_number, running_header); without ``texts``, only records
+    with noise are returned and ``clean_text`` is null. Null and empty texts give no rows; repeated rows stay repeated.
+    Texts are never shuffled unless the documents with headers exceed ``BROADCAST_ROWS``.
     """
     spark = blocks.sparkSession
     records = scanned_records(blocks, tables)
-    words = materialize(records.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = survey(records)
+    words = counted.where("tag = 'w'").select(F.col("k").alias("word"), "n")
     wrong = materialize(corrections(words))
     known = words.where((F.col("n") >= KNOWN_LEAST) & F.col("word").rlike(r"^\p{L}{2,}$")).join(wrong, "word", "left_anti").select("word")
     # Vocabularies grow with the number of different words, far slower than the texts; checked before they are sent.
@@ -343,22 +406,22 @@ def repair_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
         raise ValueError("too many different words for a broadcast; raise KNOWN_LEAST")
     misread = {r.word: r.meant for r in wrong.collect()}
     sent = spark.sparkContext.broadcast((misread, frozenset(r.word for r in known.collect())))
-
-    headers = materialize(running_headers(blocks.select("document_id", "page_number", "text")).groupBy("document_id").agg(F.collect_set("skeleton").alias("headers")))
+    headers = materialize(running_headers(counted))
     headed = records.join(F.broadcast(headers) if small_enough(headers, BROADCAST_ROWS) else headers, "document_id", "left")
-    line_pages = F.transform(F.split("text", "\n", -1), lambda line: F.exists("pages", lambda page: F.array_contains("headers", line_skeleton(line, page))))
-    edge = F.when(F.col("headers").isNull() | (F.col("kind") == "cell"), F.lit(None)).otherwise(line_pages)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(*sent.value)
-        for frame in frames:
-            clean, noise = [], []
-            for kind, pages, text, header in zip(frame["kind"], frame["pages"], frame["text"], frame["edge"], strict=True):
-                marks = list(header) if header is not None else [False] * (text.count("\n") + 1)
-                fixed, found = repairer.repair(text, [p for p in pages if p is not None], [bool(x) for x in marks], kind != "cell")
-                clean.append(fixed)
-                noise.append(found)
-            yield pd.DataFrame({"kind": frame["kind"], "document_id": frame["document_id"], "record_id": frame["record_id"], "clean_text": clean, "noise": noise})
+        none: frozenset[int] = frozenset()
+        for batch in batches:
+            kinds, documents, ids, pages, bodies, edges = (batch.column(i).to_pylist() for i in range(6))
+            rows = []
+            for kind, document, id_, page, body, edge in zip(kinds, documents, ids, pages, bodies, edges, strict=True):
+                clean, noise = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell")
+                if texts or noise:
+                    rows.append((kind, document, id_, clean if texts else None, noise))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "document_id", "record_id", "clean_text", "noise"])
 
     schema = "kind string, document_id string, record_id string, clean_text string, noise array<string>"
-    return headed.select("kind", "document_id", "record_id", "pages", "text", edge.alias("edge")).mapInPandas(run, schema)
+    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers").mapInArrow(run, schema)

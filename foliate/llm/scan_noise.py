@@ -35,6 +35,8 @@ CONFUSIONS = [
 SIGNS = "€†@!|$"
 HYPHENS = "-­¬‐‑"
 TOKEN = re.compile(rf"[^\W_{re.escape(SIGNS)}](?:[^\W_]|[{re.escape(SIGNS)}])*|[{re.escape(SIGNS)}](?=[^\W\d_])(?:[^\W_]|[{re.escape(SIGNS)}])+")
+ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+")
+HAS_SIGN = re.compile(rf"[{re.escape(SIGNS)}]")
 BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[{re.escape(SIGNS)}])*)[ ]?[{HYPHENS}][ \t]*$")
 BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n")
 FIRST = re.compile(rf"^\s*((?:[^\W_]|[{re.escape(SIGNS)}])+)")
@@ -42,6 +44,7 @@ CODE = re.compile(r"^[A-Z]+\d+$")
 #: Figures with a letter among them; a capital in front of whole figures is a code.
 NUMBER_MISREAD = re.compile(r"(?<![\w.,-])(?=[lIOoSB|.,]*\d)(?=[\d.,]*[lIOoSB|])(?![A-Z]\d+(?![\w.,]|[.,]\d))[\dlIOoSB|]+(?:[.,][\dlIOoSB|]+)*(?![\w-])")
 PAGE_LINE = re.compile(r"^[\s\-–—|\[(]*(?:(?:pages?|pag\.?|p\.?|seite|s\.|página|pág\.?)\s*)?[\s\[(]*(\d{1,6})[\s\])]*(?:(?:of|/|von|sur|de)\s*\d{1,6})?[\s\-–—|\])]*$", re.IGNORECASE)
+PAGE_HINT = re.compile(r"\d[^A-Za-z]*$|^[^A-Za-z]*[ivxlc]{1,8}[^A-Za-z]*$")
 ROMAN_LINE = re.compile(r"^[\s\-–—|\[(]*([ivxlc]+)[\s\-–—|\])]*$")
 NUMBER_HINT = re.compile(r"[lIOoSB|][.,]?\d|\d[.,]?[lIOoSB|]")
 HEADER_PAGES = 3
@@ -54,6 +57,11 @@ BROADCAST_ROWS = 400_000
 COUNTER_WORDS = 300_000
 
 
+def tokens(text: str) -> list[str]:
+    """Words with what a scan may have put between their letters; plain words are found by a plain pattern."""
+    return ASCII_TOKEN.findall(text) if text.isascii() and not HAS_SIGN.search(text) else TOKEN.findall(text)
+
+
 def character_value(char: str) -> int:
     return pow(ord(char), 5, 2**56)
 
@@ -114,13 +122,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if "\n" in text and BREAK.search(text):
                 broken = False
                 for line in text.split("\n"):
-                    words = TOKEN.findall(line)
+                    words = tokens(line)
                     if broken and words:
                         words = words[1:]
                     broken = bool(BROKEN.search(line))
                     counts.update(words[:-1] if broken else words)
             else:
-                counts.update(TOKEN.findall(text))
+                counts.update(tokens(text))
         if len(counts) + len(edges) > COUNTER_WORDS:
             yield _flushed(counts, edges)
     if counts or edges:
@@ -284,16 +292,17 @@ class Repairer:
             meant = re.sub(f"[{re.escape(SIGNS)}]", lambda m: dict(CONFUSIONS)[m.group()], bare)
         return meant.upper() if token.isupper() and len(token) > 1 else meant.capitalize() if token[0].isupper() else meant
 
-    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool) -> tuple[str, list[str]]:
-        """Readable text and the kinds of noise found."""
+    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool, write: bool = True) -> tuple[str | None, list[str]]:
+        """Readable text, if it is to be written, and the kinds of noise found."""
         found: set[str] = set()
         kept = self._without_edges(text.split("\n"), pages, headers, page_lines, found)
         if len(kept) > 1 and BREAK.search(text):
             kept = self._joined(kept, found)
         whole = "\n".join(kept)
-        if any(map(self.readings.__getitem__, TOKEN.findall(whole))):
+        if any(map(self.readings.__getitem__, tokens(whole))):
             found.add("misread")
-            whole = TOKEN.sub(self._fix, whole)
+            if write:
+                whole = TOKEN.sub(self._fix, whole)
         if NUMBER_HINT.search(whole):
 
             def figures(match: re.Match) -> str:
@@ -303,7 +312,7 @@ class Repairer:
                 return _fix_number(match.group())
 
             whole = NUMBER_MISREAD.sub(figures, whole)
-        return unwrap(whole.split("\n")), sorted(found)
+        return unwrap(whole.split("\n")) if write else None, sorted(found)
 
     def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, found: set[str]) -> list[str]:
         kept = []
@@ -311,7 +320,7 @@ class Repairer:
             if headers and 6 <= len(line) <= 170 and _line_hash(skeleton(line, pages)) in headers:
                 found.add("running_header")
                 continue
-            if page_lines and len(line) < 40:
+            if page_lines and len(line) < 40 and PAGE_HINT.search(line):
                 number = PAGE_LINE.match(line) or ROMAN_LINE.match(line)
                 if number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
                     found.add("page_number")
@@ -416,9 +425,9 @@ def repair_records(blocks: DataFrame, tables: DataFrame, texts: bool = True) ->
             kinds, documents, ids, pages, bodies, edges = (batch.column(i).to_pylist() for i in range(6))
             rows = []
             for kind, document, id_, page, body, edge in zip(kinds, documents, ids, pages, bodies, edges, strict=True):
-                clean, noise = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell")
+                clean, noise = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell", texts)
                 if texts or noise:
-                    rows.append((kind, document, id_, clean if texts else None, noise))
+                    rows.append((kind, document, id_, clean, noise))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "document_id", "record_id", "clean_text", "noise"])

@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
     blocks, catalog = table(spark, folder, "document_blocks"), table(spark, folder, "document_catalog")
-    return site_lines.repeated_lines(blocks, catalog)
+    return site_lines.repeated_words(blocks, catalog)
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,5 +109,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_lines, p3_clean, p5_found, p5_pieces, p6_found, p6_repaired, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_quality)}
 
 
+#: One row per id, as deliveries are repeated.
+_BLOCKS = "(SELECT DISTINCT document_id, block_id, text FROM document_blocks)"
+_LINES = f"""(SELECT b.document_id, b.block_id, line_no, collection, trim(regexp_replace(lower(lines[line_no]), '[^a-z]+', ' ', 'g')) AS words
+  FROM (SELECT document_id, block_id, string_split(text, chr(10)) AS lines, unnest(generate_series(1, len(string_split(text, chr(10)))))::INT AS line_no FROM {_BLOCKS} WHERE text IS NOT NULL) b
+  JOIN (SELECT DISTINCT document_id, collection FROM document_catalog WHERE collection IS NOT NULL) c USING (document_id))"""
+_REPEATED = f"""(SELECT l.collection, l.words, count(DISTINCT l.document_id) AS documents FROM {_LINES} l JOIN (SELECT collection, count(*) AS n FROM document_catalog GROUP BY 1) s USING (collection)
+  WHERE len(string_split(l.words, ' ')) >= 3 GROUP BY l.collection, l.words, s.n HAVING count(DISTINCT l.document_id) >= 5 AND count(DISTINCT l.document_id) * 10 >= s.n)"""
+_TRIM = "' ' || chr(9) || chr(10)"
+_SECTION_SIZES = f"""(SELECT r.document_id, r.section_id, sum(length(p.text)) + 2 * (count(*) - 1) AS size FROM (
+    SELECT DISTINCT document_id, section_id, 0 AS kind, unnest(blocks) AS part FROM document_sections UNION ALL SELECT DISTINCT document_id, section_id, 1, unnest(tables) FROM document_sections) r
+  JOIN (SELECT DISTINCT document_id, 0 AS kind, block_id AS part, trim(text, {_TRIM}) AS text FROM document_blocks UNION ALL SELECT DISTINCT document_id, 1, table_id, trim(native_text, {_TRIM}) FROM parsed_tables) p USING (document_id, kind, part)
+  WHERE length(p.text) > 0 GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express over whole tables; the others are tested against brute force or round trips."""
+    return {
+        "p3_found": f"SELECT DISTINCT document_id, block_id, line_no FROM {_LINES} JOIN {_REPEATED} USING (collection, words)",
+        "p3_lines": f"SELECT collection, words, documents FROM {_REPEATED}",
+        "p3_clean": f"""SELECT b.document_id, b.block_id, CASE WHEN d.drop_lines IS NULL THEN b.text ELSE array_to_string(list_filter(string_split(b.text, chr(10)), lambda x, i: NOT list_contains(d.drop_lines, i)), chr(10)) END AS clean_text, coalesce(len(d.drop_lines), 0)::INT AS lines_removed
+          FROM {_BLOCKS} b LEFT JOIN (SELECT document_id, block_id, list(DISTINCT line_no) AS drop_lines FROM {_LINES} JOIN {_REPEATED} USING (collection, words) GROUP BY 1, 2) d USING (document_id, block_id)""",
+        "p5_found": f"""SELECT 'section' AS item_kind, document_id, section_id AS item_id FROM {_SECTION_SIZES} WHERE size > {splitting.LIMIT}
+          UNION ALL SELECT DISTINCT 'chunk', document_id, chunk_id FROM retrieved_chunks WHERE length(trim(text, {_TRIM})) > {splitting.LIMIT}""",
+    }

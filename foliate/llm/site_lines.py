@@ -98,6 +98,14 @@ def _lookup(rows: DataFrame, confirmed: DataFrame, catalog: DataFrame) -> DataFr
     return rows.join(sources, "document_id").join(known.select("collection", "line_hash"), ["collection", "line_hash"])
 
 
+def repeated_words(blocks: DataFrame, catalog: DataFrame, **limits: float) -> DataFrame:
+    """(collection, words, documents): the confirmed lines by their words."""
+    confirmed = materialize(repeated_lines(blocks, catalog, **limits))
+    lines = _lines(blocks, "text", "document_id", min_words=int(limits.get("min_words", 3)))
+    found = _lookup(lines, confirmed, catalog)
+    return found.select("collection", "words", "line_hash").distinct().join(confirmed, ["collection", "line_hash"]).select("collection", "words", "documents")
+
+
 def find_repeated(blocks: DataFrame, catalog: DataFrame, **limits: float) -> DataFrame:
     """(document_id, block_id, line_no, collection) of every confirmed line in every block, distinct."""
     confirmed = materialize(repeated_lines(blocks, catalog, **limits))

@@ -76,7 +76,8 @@ DIFFERENCES = {(read, meant): anagram_hash(meant) - anagram_hash(read) for read,
 
 _FRONT = re.compile(r"(\d+) *[|:.–—-]* +(.*)$")
 _BACK = re.compile(r"(.*?) *[|–—-]* +(\d+)$")
-_PLAIN = str.maketrans("€c†@!|1l05689$", "eetaiiiiosbbgs")
+#: Each character as what all its readings share, so that a letter and the letters it is read as come out alike.
+_PLAIN = str.maketrans({"€": "e", "c": "e", "†": "t", "@": "a", "!": "i", "|": "i", "1": "i", "l": "i", "0": "o", "5": "s", "6": "b", "8": "b", "9": "g", "$": "s", "3": "e", "4": "a", "7": "t", "m": "rri", "n": "ri", "h": "ii", "u": "ii", "w": "vv", "d": "ei"})
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -87,8 +88,6 @@ def skeleton(line: str, pages: list[int]) -> str:
         text = found.group(2)
     elif text[-1:].isdigit() and (found := _BACK.match(text)) and int(found.group(2)) in pages:
         text = found.group(1)
-    for read, meant in (("rn", "m"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("ii", "u"), ("cl", "d")):
-        text = text.replace(read, meant)
     return _OTHER.sub(" ", text.translate(_PLAIN)).strip()
 
 
@@ -306,7 +305,7 @@ class Repairer:
         if NUMBER_HINT.search(whole):
 
             def figures(match: re.Match) -> str:
-                if len(re.findall(r"\d", match.group())) < 2 and not re.search("[lI|]", match.group()):
+                if len(match.group()) < 3:
                     return match.group()
                 found.add("misread")
                 return _fix_number(match.group())

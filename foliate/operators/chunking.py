@@ -41,20 +41,21 @@ def pack_runs(segments: DataFrame, keys: list[str], limit: int = LIMIT) -> DataF
     """
     order = Window.partitionBy(*keys).orderBy("pos")
     ordered = segments.withColumn("n", F.row_number().over(order))
-    items = F.sort_array(F.collect_list(F.struct("n", "id", "text", "used")))
-    empty = F.array().cast("array<struct<n:int,id:string,text:string,used:int>>")
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("group"), F.array().cast("array<struct<g:int,item:struct<n:int,id:string,text:string,used:int>>>").alias("out"))
+    # The fold carries lengths and group numbers only; texts stay where they are.
+    sizes = F.sort_array(F.collect_list(F.struct("n", F.length("text").alias("size"), "used")))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
 
     def step(state: Column, item: Column) -> Column:
-        grown = state["size"] + F.when(state["size"] > item["used"], 2).otherwise(0) + F.length(item["text"])
-        fresh = (F.size(state["out"]) == 0) | (grown > limit)
-        group = F.when(F.size(state["out"]) == 0, 0).when(fresh, state["group"] + 1).otherwise(state["group"])
-        size = F.when(fresh, item["used"] + F.length(item["text"])).otherwise(grown)
-        return F.struct(size.alias("size"), group.alias("group"), F.concat(state["out"], F.array(F.struct(group.alias("g"), item.alias("item")))).alias("out"))
+        first = F.size(state["out"]) == 0
+        grown = state["size"] + F.when(state["size"] > item["used"], 2).otherwise(0) + item["size"]
+        fresh = first | (grown > limit)
+        group = F.when(first, 0).when(fresh, state["group"] + 1).otherwise(state["group"])
+        size = F.when(fresh, item["used"] + item["size"]).otherwise(grown)
+        return F.struct(size.alias("size"), group.alias("group"), F.concat(state["out"], F.array(group)).alias("out"))
 
-    packed = ordered.groupBy(*keys).agg(F.coalesce(items, empty).alias("items")).withColumn("packed", F.aggregate("items", start, step)["out"])
-    rows = packed.select(*keys, F.explode("packed").alias("p")).select(*keys, F.col("p.g").alias("group_no"), "p.item.*")
-    return rows.groupBy(*keys, "group_no").agg(F.sort_array(F.collect_list(F.struct("n", "id", "text"))).alias("segments"))
+    folded = ordered.groupBy(*keys).agg(F.aggregate(sizes, start, step)["out"].alias("groups"), F.sort_array(F.collect_list(F.struct("n", "id", "text"))).alias("items"))
+    rows = folded.select(*keys, F.explode(F.arrays_zip("groups", "items")).alias("p")).select(*keys, F.col("p.groups").alias("group_no"), F.col("p.items").alias("item"))
+    return rows.groupBy(*keys, "group_no").agg(F.sort_array(F.collect_list("item")).alias("segments"))
 
 
 def chunk_identity(*fields: object) -> str:
@@ -80,7 +81,7 @@ def chunk_documents(sections: DataFrame, blocks: DataFrame, tables: DataFrame, l
     """
     paths = section_paths(sections)
     listed = materialize(sections.join(paths, ["document_id", "section_id"], "left")).select("document_id", "section_id", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), "page_start", F.array_distinct("blocks").alias("b"), F.array_distinct("tables").alias("t"), "heading_block_id")
-    body = render_tables(table_cells(tables)).join(tables.select("document_id", "table_id", "native_text", "native_text_coverage", "page_number", "reading_order_index", "page_numbers"), ["document_id", "table_id"])
+    body = render_tables(materialize(table_cells(tables))).join(tables.select("document_id", "table_id", "native_text", "native_text_coverage", "page_number", "reading_order_index", "page_numbers"), ["document_id", "table_id"])
     body = body.select("document_id", F.col("table_id").alias("id"), F.lit(1).alias("kind"), "page_number", "reading_order_index", table_body(F.col("rendered"), F.col("native_text"), F.col("native_text_coverage")).alias("text"), F.coalesce(F.array_max("page_numbers"), F.col("page_number")).alias("last_page"))
     prose = blocks.where(~is_blank(F.col("text"))).select("document_id", F.col("block_id").alias("id"), F.lit(0).alias("kind"), "page_number", "reading_order_index", "text", F.col("page_number").alias("last_page"))
     content = prose.unionByName(body)

@@ -132,6 +132,13 @@ ORACLES: dict[str, str] = {
         SELECT r.document_id, r.table_id, r.row_index, unnest(generate_series(0, m.last)) AS column_index FROM (SELECT DISTINCT document_id, table_id, row_index FROM {CELLS}) r
         JOIN (SELECT document_id, table_id, max(column_index) AS last FROM {CELLS} GROUP BY 1, 2) m USING (document_id, table_id)) g
       LEFT JOIN {CELLS} c USING (document_id, table_id, row_index, column_index) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "table_markdown": f"""WITH g AS (SELECT g.document_id, g.table_id, g.row_index, g.column_index, replace(coalesce({_collapse("c.text")}, ''), '|', chr(92) || '|') AS text FROM (
+        SELECT r.document_id, r.table_id, r.row_index, unnest(generate_series(0, m.last)) AS column_index FROM (SELECT DISTINCT document_id, table_id, row_index FROM {CELLS}) r
+        JOIN (SELECT document_id, table_id, max(column_index) AS last FROM {CELLS} GROUP BY 1, 2) m USING (document_id, table_id)) g LEFT JOIN {CELLS} c USING (document_id, table_id, row_index, column_index)),
+      w AS (SELECT document_id, table_id, column_index, greatest(max(length(text)), 3)::INT AS width FROM g GROUP BY 1, 2, 3),
+      r AS (SELECT document_id, table_id, row_index, '| ' || string_agg(rpad(text, width, ' '), ' | ' ORDER BY column_index) || ' |' AS line, '| ' || string_agg(repeat('-', width), ' | ' ORDER BY column_index) || ' |' AS rule FROM g JOIN w USING (document_id, table_id, column_index) GROUP BY 1, 2, 3),
+      n AS (SELECT *, row_number() OVER (PARTITION BY document_id, table_id ORDER BY row_index) AS i FROM r)
+      SELECT document_id, table_id, string_agg(CASE WHEN i = 1 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY i) AS markdown FROM n GROUP BY 1, 2""",
     "token_coverage": f"""WITH s AS (SELECT document_id, table_id, token, count(*) AS n FROM (SELECT document_id, table_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+')) AS token FROM {CELLS}) GROUP BY ALL),
       c AS (SELECT document_id, table_id, token, count(*) AS m FROM (SELECT document_id, table_id, unnest(regexp_extract_all(lower(coalesce(native_text, '')), '[a-z0-9%]+')) AS token FROM {TABLES}) GROUP BY ALL)
       SELECT t.document_id, t.table_id, round(coalesce(x.v, 1.0), 6) AS coverage FROM (SELECT DISTINCT document_id, table_id FROM {CELLS}) t
@@ -187,6 +194,13 @@ ORACLES: dict[str, str] = {
       SELECT document_id, table_id || '-row-' || row_index AS unit_id, string_agg(CASE WHEN header IS NOT NULL AND NOT is_header THEN header || ': ' || text ELSE text END, ' | ' ORDER BY column_index) AS text, string_agg(cell_id, ',' ORDER BY column_index) AS cell_ids
       FROM c LEFT JOIN h USING (document_id, table_id, column_index) WHERE text <> '' AND (document_id, table_id) IN (SELECT (document_id, table_id) FROM {TABLES} WHERE page_number IS NOT NULL)
       GROUP BY document_id, table_id, row_index HAVING NOT bool_and(is_header)""",
+    "markdown_lines": f"""WITH m AS (SELECT document_id, block_id, arg_min(section_id, regexp_extract(section_id, '([0-9]+)$', 1)::INT) AS section_id FROM {LISTED} GROUP BY 1, 2),
+      r AS (SELECT b.document_id, b.block_id, block_type, page_number, reading_order_index, {_collapse("b.text")} AS text, s.title FROM {BLOCKS} b LEFT JOIN m ON m.document_id = b.document_id AND m.block_id = b.block_id
+        LEFT JOIN document_sections s ON s.document_id = m.document_id AND s.section_id = m.section_id WHERE NOT {_blank("b.text")}),
+      w AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {ORDER}, block_id) AS pos, lag(page_number) OVER (PARTITION BY document_id ORDER BY {ORDER}, block_id) AS page_before,
+        last_value(title IGNORE NULLS) OVER (PARTITION BY document_id, page_number ORDER BY {ORDER}, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title_before FROM r)
+      SELECT document_id, pos::INT AS pos, concat_ws(chr(10), CASE WHEN page_number IS DISTINCT FROM page_before THEN '<!-- page ' || page_number || ' -->' END, CASE WHEN title IS NOT NULL AND title IS DISTINCT FROM title_before THEN '## ' || title END,
+        CASE WHEN block_type = 'list_item' THEN '- ' || text ELSE text END) AS line FROM w""",
     "duplicate_ids": """SELECT kind, document_id, id, count(*) AS rows FROM (SELECT 'block' AS kind, document_id, block_id AS id FROM document_blocks UNION ALL SELECT 'table', document_id, table_id FROM parsed_tables UNION ALL SELECT 'section', document_id, section_id FROM document_sections) WHERE id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
     "missing_provenance": f"""SELECT * FROM (SELECT document_id, block_id, array_to_string(list_filter([CASE WHEN page_number IS NULL THEN 'page' END, CASE WHEN reading_order_index IS NULL THEN 'order' END, CASE WHEN bounding_box IS NULL THEN 'box' END], lambda x: x IS NOT NULL), ',') AS missing FROM {BLOCKS}) WHERE missing <> ''""",
     "empty_pages": f"SELECT document_id, page_number FROM {PAGES} WHERE blocks + tables = 0",

@@ -7,6 +7,7 @@ executors share, so that a lost executor never loses an intermediate table.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like :func:`materialize`, but as a columnar, compressed table, for rows that hold long texts."""
+    path = f"{checkpoint_dir(df.sparkSession)}/foliate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores before a costly narrow stage when the input came in fewer pieces than there are cores.
 

@@ -28,10 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import materialize, small_enough, written
 
 LIKENESS = 0.65
 LEAST_WORDS = 8
@@ -39,7 +39,9 @@ LEAST_WORDS = 8
 SLOTS = 1 << 20
 #: A pivot counted more often than this has its region divided by the next pivots.
 REGION_TEXTS = 1000
-SKETCH_WORDS = 8
+SKETCH_WORDS = 6
+#: Text numbers are broadcast up to so many rows.
+BROADCAST_ROWS = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -87,10 +89,13 @@ def _windows(items: np.ndarray, counts: np.ndarray, likeness: float, region_text
     often = counts[(items % np.uint64(SLOTS)).astype(np.int64)]
     order = np.lexsort((items, often))
     near = items[order[: spare + 1]]
-    hot = often[order[: spare + 1]] > region_texts
+    times = often[order[: spare + 1]]
+    # An element counted once lies in no other text, so its region holds no pair.
+    cold, hot = times > 1, times > region_texts
     if not hot.any() or need < 2:
-        return near, np.arange(len(near))
-    regions, positions = [near[~hot]], [np.flatnonzero(~hot)]
+        return near[cold], np.flatnonzero(cold)
+    cold &= ~hot
+    regions, positions = [near[cold]], [np.flatnonzero(cold)]
     ranked = items[order]
     for at in np.flatnonzero(hot):
         # ``at`` elements differ already, so the second common one is among the next spare - at + 1.
@@ -184,20 +189,23 @@ def _join(likeness: float):  # noqa: ANN202
     return run
 
 
-def normal_words(text: str = "text"):  # noqa: ANN201
+def normal_words(text: Column) -> Column:
     """The words of a text (runs of a-z and 0-9 after lower-casing), separated by blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def distinct_texts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, texts) of (kind, id, text): members (kind, id, key), texts (tid, kind, key, copies, words).
 
-    Null texts and texts of fewer than eight words are left out; repeated rows of an id count once.
+    Null texts and texts of fewer than eight words are left out; repeated rows of an id count once. Deliveries of an id
+    are combined within each task before texts are shuffled, and normalised after.
     """
-    rows = records.select("kind", "id", normal_words().alias("words")).where(F.length("words") - F.length(F.translate("words", " ", "")) >= LEAST_WORDS - 1)
-    members = materialize(rows.distinct().withColumn("key", F.md5(F.concat_ws("|", "kind", "words"))))
+    delivered = records.groupBy("kind", "id").agg(F.collect_set("text").alias("texts"))
+    rows = delivered.select("kind", "id", F.explode(F.array_distinct(F.transform("texts", normal_words))).alias("words"))
+    rows = rows.where(F.length("words") - F.length(F.translate("words", " ", "")) >= LEAST_WORDS - 1)
+    members = written(rows.withColumn("key", F.md5(F.concat_ws("|", "kind", "words"))))
     texts = members.groupBy("kind", "key", "words").agg(F.count("*").alias("copies"))
-    return members.select("kind", "id", "key"), materialize(texts.select(F.monotonically_increasing_id().alias("tid"), "kind", "key", "copies", "words"))
+    return members.select("kind", "id", "key"), written(texts.select(F.monotonically_increasing_id().alias("tid"), "kind", "key", "copies", "words"))
 
 
 def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: int = REGION_TEXTS) -> DataFrame:
@@ -238,6 +246,10 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
     postings = kinds.select("tid", "kind", "words").mapInArrow(post, "region bigint, body binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     met = postings.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join(likeness), "a bigint, b bigint").distinct()
+    met = materialize(met)
+    # Only texts that met another are fetched for the verification.
+    involved = met.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    kinds = kinds.join(F.broadcast(involved) if small_enough(involved, BROADCAST_ROWS) else involved, "tid", "left_semi")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

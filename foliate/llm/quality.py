@@ -1,15 +1,16 @@
 """Per-document text statistics, their exact ranks within each language, and what each text is.
 
 Statistics: word count, mean word length, symbol ratio, share of lines that end in punctuation, and share of common
-words (words that occur in at least ``COMMON_SHARE`` of all documents).
+words (words that occur in at least ``COMMON_SHARE`` of all different texts).
 
 Ranks: the distinct values of each statistic and language are counted, sorted by range partitioning, and summed
 within partitions; the totals of the partitions before give each its offset, so that ranks are exact at any size
 without a global window. Both tails of the empirical distribution are combined over the statistics into one outlier
 score (the larger of the summed left, right and skew-chosen negative logarithms).
 
-Kinds: texts whose score lies above that of everyday prose are looked at line by line; one that is for more than half
-``list``, ``table`` or ``junk`` (by characters) is that, all others are ``prose``.
+Kinds: every text of ``LEAST_CHARS`` or more is looked at line by line; one that is for more than half ``list``,
+``table`` or ``junk`` (by characters) is that, all others are ``prose``. The score has no part in this: it falls as equal
+texts or a thin language make their own values usual, whatever the text is.
 """
 
 from __future__ import annotations
@@ -28,12 +29,10 @@ from ..plans.storage import materialize, small_enough
 from . import endings, pairs
 
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
-#: Words in at least this share of all documents are common (and in no fewer than COMMON_LEAST of them); there are
+#: Words in at least this share of all different texts are common (and in no fewer than COMMON_LEAST of them); there are
 #: at most (mean distinct words of a document) / COMMON_SHARE of them, whatever the corpus.
 COMMON_SHARE = 0.001
 COMMON_LEAST = 3
-#: The score from which a text is looked at: below it, every statistic lies about the middle of its language.
-SCORE_FROM = 3.0
 BROADCAST_ROWS = 400_000
 #: Distinct words that one task counts before it hands them on.
 COUNTER_WORDS = 300_000
@@ -66,6 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
+            counts[""] += 1
             if text:
                 counts.update(set(WORD.findall(text.lower())))
             if len(counts) > COUNTER_WORDS:
@@ -75,10 +75,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_words(df: DataFrame, text: str = "text", share: float = COMMON_SHARE) -> DataFrame:
-    """(word, documents) of the words in at least ``share`` of all rows; counts are combined before the shuffle."""
-    total = df.count()
-    counted = df.select(F.col(text).alias("t")).mapInArrow(_counted, "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("documents")).where(F.col("documents") >= max(COMMON_LEAST, share * total))
+    """(word, documents) of the words in at least ``share`` of all different texts; counts are combined before the shuffle.
+
+    Copies count once, or the signs of a junk text that is often repeated would pass for words. The number of all
+    different texts comes from the same pass, as the count of the empty word.
+    """
+    texts = df.select(F.col(text).alias("t")).distinct()
+    counted = materialize(texts.mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("documents")))
+    total = counted.where("word = ''").agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
+    return counted.where((F.col("word") != "") & (F.col("documents") >= max(COMMON_LEAST, share * total)))
 
 
 def statistics(text: str, words: list[str], common: frozenset[str]) -> tuple[int, float, float, float, float]:
@@ -274,5 +279,5 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     scores = long.distinct().join(known, ["lang", "stat", "value"]).groupBy("key", "lang").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("a").alias("a"))
     scores = scores.select("key", "lang", F.round(F.greatest("l", "r", "a"), 6).alias("outlier_score"))
     out = stats.join(scores, ["key", "lang"])
-    kind = F.when((F.col("outlier_score") >= SCORE_FROM) & (F.col("n_chars") >= LEAST_CHARS), F.col("lines_kind")).otherwise("prose")
+    kind = F.when(F.col("n_chars") >= LEAST_CHARS, F.col("lines_kind")).otherwise("prose")
     return out.select(F.col("key").alias(key), "lang", "n_chars", F.col("word_count").cast("bigint").alias("word_count"), *STATISTICS[1:], "outlier_score", kind.alias("kind"))

@@ -69,3 +69,18 @@ def test_one_value_for_a_third_of_all_rows(spark):
     values = spark.range(900).selectExpr("'g' AS g", "IF(id % 3 = 0, 0.5D, CAST(id AS DOUBLE)) AS v").groupBy("g", "v").count().withColumnRenamed("count", "n")
     rows = {r.v: r for r in quality.exact_ranks(values, ["g"], "v", "n").collect()}
     assert rows[0.5].below == 0 and rows[0.5].n == 300 and rows[1.0].below == 300 and rows[899.0].below == 899 and all(r.total == 900 for r in rows.values())
+
+
+BULLETS = "Annual permit:\n" + "- monthly ledger form\n- secure annex\n" * 6
+JUNK = "xqzjk wvbnt rtplk zzkqw plkmn qwrtz bnmvc xcvbn lkjhg fdsap " * 2
+
+
+@pytest.mark.parametrize(("text", "kind"), [(BULLETS, "list"), (JUNK, "junk")])
+@pytest.mark.parametrize("lang", ["en", "xx"])
+def test_copies_and_thin_languages_keep_their_kind(spark, text, kind, lang):
+    prose = [(i, f"{PROSE * (1 + i % 4)}Form {i} is due.", "en") for i in range(40)]
+    # A third of a language, all of a language, and the only row of one.
+    for copies in (20, 1):
+        df = spark.createDataFrame(prose + [(100 + i, text, lang) for i in range(copies)], "doc_id long, text string, lang string")
+        got = {r.doc_id: r.kind for r in quality.assess(df).collect()}
+        assert len(got) == 40 + copies and all(got[i] == ("prose" if i < 100 else kind) for i in got)

@@ -21,13 +21,13 @@ def heading_parents(rows: DataFrame) -> DataFrame:
 
     An unnumbered heading is a root and does not end the numbered ones before it. For each smaller level, the last
     heading of that level is a running value; the nearest of them is the parent. No self-join, whatever the number of
-    headings.
+    headings. The levels are those of the table, which is read once for them.
     """
     before = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    deepest = 12
-    seen = [F.max(F.when(F.col("numbered") & (F.col("level") == i), F.col("pos"))).over(before) for i in range(1, deepest)]
-    known = rows.select("*", *[c.alias(f"last_{i}") for i, c in enumerate(seen, 1)])
-    candidates = F.array(*[F.when(F.col("level") > i, F.col(f"last_{i}")) for i in range(1, deepest)])
+    levels = sorted(r.level for r in rows.where("numbered").select("level").distinct().collect())[:-1]
+    seen = [F.max(F.when(F.col("numbered") & (F.col("level") == i), F.col("pos"))).over(before) for i in levels]
+    known = rows.select("*", *[c.alias(f"last_{i}") for i, c in zip(levels, seen, strict=True)])
+    candidates = F.array(F.lit(None).cast("int"), *[F.when(F.col("level") > i, F.col(f"last_{i}")) for i in levels])
     parent = F.when(F.col("numbered"), F.array_max(candidates))
     return known.select(*rows.columns, parent.alias("parent_pos"))
 
@@ -47,22 +47,26 @@ def active_sections(blocks: DataFrame) -> DataFrame:
     return numbered.where(~is_heading).select("document_id", "block_id", F.nullif("heading_no", F.lit(0)).alias("section_pos"))
 
 
-def ancestor_closure(sections: DataFrame, depth: int = 32) -> DataFrame:
+def ancestor_closure(sections: DataFrame) -> DataFrame:
     """(document_id, ancestor, section_id, distance), each section being its own ancestor at distance 0.
 
-    Distances double in each round, so that a tree of depth d takes log2(d) joins.
+    Distances double in each round, so that a tree of depth d takes log2(d) joins, whatever d is. Where parents form a
+    circle, it ends once a round gives no new pair.
     """
     parents = sections.select("document_id", "section_id", F.col("parent_section_id").alias("ancestor")).where("ancestor IS NOT NULL").distinct()
     reach = parents.withColumn("distance", F.lit(1))
     span = 1
-    while span < depth:
+    while True:
         reach = materialize(reach)
         ends = reach.where(F.col("distance") == span).select("document_id", F.col("section_id").alias("via"), F.col("ancestor").alias("top"))
         if ends.isEmpty():
             break
         step = reach.select("document_id", "section_id", F.col("ancestor").alias("via"), F.col("distance").alias("d"))
         longer = step.where(F.col("d") == span).join(reach.select("document_id", F.col("section_id").alias("via"), F.col("ancestor"), "distance"), ["document_id", "via"])
-        reach = reach.unionByName(longer.select("document_id", "section_id", "ancestor", (F.col("d") + F.col("distance")).alias("distance")))
+        longer = longer.select("document_id", "section_id", "ancestor", (F.col("d") + F.col("distance")).alias("distance"))
+        if not reach.where("section_id = ancestor").isEmpty() and longer.join(reach, ["document_id", "section_id", "ancestor"], "left_anti").isEmpty():
+            break
+        reach = reach.unionByName(longer)
         span *= 2
     own = sections.select("document_id", "section_id", F.col("section_id").alias("ancestor"), F.lit(0).alias("distance")).distinct()
     return own.unionByName(reach).select("document_id", "ancestor", "section_id", "distance")

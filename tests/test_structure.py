@@ -165,3 +165,19 @@ def test_hard_split(spark, n):
     df = spark.createDataFrame([("a" * n,)], "t string").select(chunking.hard_split(F.col("t"), F.lit(1000)).alias("p"))
     parts = df.first().p
     assert "".join(parts) == "a" * n and len(parts) == max(1, -(-n // 1000))
+
+
+def test_trees_of_any_depth(spark):
+    n = 70
+    levels = [*range(1, 15), 15, 14, 13, 15]
+    rows = [("d", f"b{i:02}", 1, i, "section_header", ".".join(["1"] * level) + (". T" if level == 1 else " T")) for i, level in enumerate(levels)]
+    got = {r.section_id: r.parent_section_id for r in S.reconstruct_sections(spark.createDataFrame(rows, BLOCK)).collect()}
+    assert [got[f"section-{i}"] for i in range(len(levels))] == [None if p is None else f"section-{p}" for p in _stack(levels)]
+    chain = [("d", f"section-{i}", f"section-{i - 1}" if i else None, f"T{i}", i, i) for i in range(n)]
+    # Parents in a circle end too.
+    chain += [("e", "section-0", "section-1", "A", 1, 1), ("e", "section-1", "section-0", "B", 2, 2), ("e", "section-2", "section-0", "C", 3, 3)]
+    df = spark.createDataFrame(chain, "document_id string, section_id string, parent_section_id string, title string, page_start int, page_end int")
+    paths = {r.section_id: r for r in S.section_paths(df.where("document_id = 'd'")).collect()}
+    assert all(paths[f"section-{i}"].depth == i and paths[f"section-{i}"].section_path == [f"T{k}" for k in range(i + 1)] for i in range(n))
+    ends = {(r.document_id, r.section_id): r.page_end for r in S.rolled_up_pages(df).collect()}
+    assert all(ends["d", f"section-{i}"] == n - 1 for i in range(n)) and ends["e", "section-0"] == ends["e", "section-1"] == 3

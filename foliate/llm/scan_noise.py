@@ -174,14 +174,13 @@ def _sites(word: str) -> list[tuple[int, str, str]]:
 def _variants(word: str) -> set[str]:
     """Words that up to two confusions could have turned into this one, three if they are signs or digits."""
     sites = _sites(word)
+    signs = [s for s in sites if not s[1].isalpha()]
     out = set()
     for n in (1, 2, 3):
-        for chosen in combinations(sites[:14], n):
+        for chosen in combinations(sites if n < 3 else signs, n):
             spots = sorted(chosen)
             if any(a[0] + len(a[1]) > b[0] for a, b in zip(spots, spots[1:], strict=False)):
                 continue
-            if n > 1 and sum(read.isalpha() for _, read, _ in spots) > (1 if n == 2 else 0):
-                continue
             text = word
             for at, read, meant in reversed(spots):
                 text = text[:at] + meant + text[at + len(read) :]
@@ -189,21 +188,37 @@ def _variants(word: str) -> set[str]:
     return out
 
 
+def _misread_as(word: str, meant: str) -> bool:
+    """Whether ``meant`` is one of the :func:`_variants` of ``word``, found without listing them."""
+    todo, seen = [(0, 0, 0, 0)], set()
+    while todo:
+        state = i, j, letters, signs = todo.pop()
+        if state in seen:
+            continue
+        seen.add(state)
+        if i == len(word) and j == len(meant) and letters + signs:
+            return True
+        if i < len(word) and j < len(meant) and word[i] == meant[j]:
+            todo.append((i + 1, j + 1, letters, signs))
+        for read, right in CONFUSIONS:
+            if word.startswith(read, i) and meant.startswith(right, j):
+                more = (letters + 1, signs) if read.isalpha() else (letters, signs + 1)
+                if sum(more) <= (2 if more[0] else 3):
+                    todo.append((i + len(read), j + len(right), *more))
+    return False
+
+
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anagram-hash keys of the words that may be misread: own hash plus the differences of possible confusions."""
     for frame in frames:
         rows = []
         for word, n in zip(frame["word"], frame["n"], strict=True):
             own = anagram_hash(word)
-            sites = _sites(word)[:14]
-            keys = {own + DIFFERENCES[read, meant] for _, read, meant in sites}
-            signs = [s for s in sites if not s[1].isalpha()]
-            for (_, r1, m1), (_, r2, m2) in combinations(sites, 2):
-                if r1.isalpha() and r2.isalpha():
-                    continue
-                keys.add(own + DIFFERENCES[r1, m1] + DIFFERENCES[r2, m2])
-            for three in combinations(signs, 3):
-                keys.add(own + sum(DIFFERENCES[r, m] for _, r, m in three))
+            # Where a confusion stands does not change the hash, so that three of each kind do for any word.
+            sites = [kind for kind, times in Counter(s[1:] for s in _sites(word)).items() for _ in range(min(times, 3))]
+            keys = {own + DIFFERENCES[kind] for kind in sites}
+            keys |= {own + DIFFERENCES[one] + DIFFERENCES[two] for one, two in combinations(sites, 2)}
+            keys |= {own + sum(map(DIFFERENCES.get, three)) for three in combinations([s for s in sites if not s[0].isalpha()], 3)}
             rows += [(word, n, key) for key in keys]
         yield pd.DataFrame(rows, columns=["word", "n", "key"])
 
@@ -222,7 +237,7 @@ def corrections(words: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fits = [meant in _variants(word) for word, meant in zip(frame["word"], frame["meant"], strict=True)]
+            fits = [_misread_as(word, meant) for word, meant in zip(frame["word"], frame["meant"], strict=True)]
             yield frame.loc[fits, ["word", "meant", "m"]]
 
     checked = met.select("word", "meant", "m").mapInPandas(check, "word string, meant string, m bigint")

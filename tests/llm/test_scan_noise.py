@@ -59,3 +59,12 @@ def test_tables_blocks_and_headers(spark):
     assert found["cell", "d", "c0"] == (["misread"], "reminder") and found["cell", "d", "c2"][0] == [] and found["native_text", "d", "t"][0] == ["page_number"]
     assert ("block", "d", "n") not in found and ("cell", "d", "c1") not in found
     assert S.repair_records(blocks.limit(0), tables.limit(0)).count() == 0
+
+
+def test_two_letter_confusions_and_long_words(spark):
+    long = "c" * 16 + "lessness"
+    words = [("management", 400), ("rnanagernent", 2), ("reference", 400), ("rcfercnce", 3), (long, 400), (long[:-5] + "n€ss", 1), (long.replace("less", "l€ss"), 2)]
+    got = {r.word: r.meant for r in S.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert got["rnanagernent"] == "management" and got["rcfercnce"] == "reference" and got[long.replace("less", "l€ss")] == long
+    for word in ("rnanagernent", "rcfercnce", "r€m1nder", "f!|€"):
+        assert all(S._misread_as(word, v) for v in S._variants(word)) and not S._misread_as(word, word) and not S._misread_as(word, "other")

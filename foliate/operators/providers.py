@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 DIMENSION = 64
 WORD = re.compile(r"[^\W_]+")
 _EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
-_SCORERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {}
+_SCORERS: dict[str, tuple[Callable[[list[str], list[str]], list[float]], int | None]] = {}
 _ANSWERERS: dict[str, Callable[[list[str], list[str]], list[str]]] = {}
 
 
@@ -26,8 +26,9 @@ def register_embedder(name: str, function: Callable[[list[str]], np.ndarray]) ->
     _EMBEDDERS[name] = function
 
 
-def register_scorer(name: str, function: Callable[[list[str], list[str]], list[float]]) -> None:
-    _SCORERS[name] = function
+def register_scorer(name: str, function: Callable[[list[str], list[str]], list[float]], passage_words: int | None = None) -> None:
+    """``passage_words``: so many words of a passage are all that the model can read; None if it reads any number."""
+    _SCORERS[name] = function, passage_words
 
 
 def register_answerer(name: str, function: Callable[[list[str], list[str]], list[str]]) -> None:
@@ -90,15 +91,17 @@ def embed(df: DataFrame, text: str, out: str = "embedding", embedder: str = "has
     return df.withColumn(out, run(F.col(text)))
 
 
-def pair_score(query: Column, passage: Column, scorer: str = "overlap", passage_words: int = 512) -> Column:
-    """Score of (query, passage) pairs; a passage counts up to so many words."""
-    function = _SCORERS[scorer]
+def pair_score(query: Column, passage: Column, scorer: str = "overlap") -> Column:
+    """Score of (query, passage) pairs; passages are whole unless the scorer was registered with a limit."""
+    function, limit = _SCORERS[scorer]
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, passages in batches:
-            cut = [" ".join((p or "").split()[:passage_words]) for p in passages]
-            yield pd.Series(function(queries.fillna("").tolist(), cut))
+            read = passages.fillna("").tolist()
+            if limit is not None:
+                read = [" ".join(p.split()[:limit]) for p in read]
+            yield pd.Series(function(queries.fillna("").tolist(), read))
 
     return run(query, passage)
 

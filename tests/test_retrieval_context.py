@@ -91,3 +91,10 @@ def test_rendering(spark):
 def test_embedding_is_unit_and_stable():
     a, b = providers.hashed_embedding(["one two", ""]), providers.hashed_embedding(["one two", None])
     assert (a == b).all() and abs((a * a).sum(axis=1) - 1).max() < 1e-12
+
+
+def test_passages_are_scored_whole(spark):
+    providers.register_scorer("first_three", providers.overlap_score, passage_words=3)
+    df = spark.createDataFrame([("needle", "hay " * 600 + "needle"), ("needle", None), (None, "x")], "q string, p string")
+    got = df.select(providers.pair_score(F.col("q"), F.col("p")).alias("whole"), providers.pair_score(F.col("q"), F.col("p"), "first_three").alias("cut")).collect()
+    assert [(r.whole, r.cut) for r in got] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]

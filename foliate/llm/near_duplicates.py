@@ -290,15 +290,15 @@ def similar_records(records: DataFrame, likeness: float = LIKENESS, region_texts
     return found.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of edges (a, b): the least node of each component.
 
     Alternating large-star and small-star steps on written tables; a hub with any number of links is only ever
-    aggregated, never collected. Ends when nothing changes.
+    aggregated, never collected. Ends only when nothing changes.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     links = materialize(links)
-    for _ in range(rounds):
+    while True:
         before = links
         sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

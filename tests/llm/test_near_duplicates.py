@@ -76,3 +76,11 @@ def test_groups_and_empty(spark):
 def test_copies_of_one_text(spark):
     df = spark.range(300).selectExpr("'x' AS kind", "concat('i', id) AS id", "IF(id % 3 = 0, 'one two three four five six seven eight', concat('t', id, ' a', id, ' b', id, ' c', id, ' d', id, ' e', id, ' f', id, ' g', id)) AS text")
     assert near_duplicates.similar_records(df).count() == 100 * 99 // 2
+
+
+def test_components_run_until_they_settle(spark, monkeypatch):
+    # A bound on the rounds, should there be one, allows a single round here.
+    monkeypatch.setattr(near_duplicates, "range", lambda n: range(1), raising=False)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    got = {r.node: r.root for r in near_duplicates.components(chain).collect()}
+    assert got == {i: 0 for i in range(1, 51)}

@@ -1,16 +1,17 @@
 """Per-document text statistics, their exact ranks within each language, and what each text is.
 
-Statistics: word count, mean word length, symbol ratio, share of lines that end in punctuation, and share of common
-words (words that occur in at least ``COMMON_SHARE`` of all different texts).
-
-Ranks: the distinct values of each statistic and language are counted, sorted by range partitioning, and summed
-within partitions; the totals of the partitions before give each its offset, so that ranks are exact at any size
-without a global window. Both tails of the empirical distribution are combined over the statistics into one outlier
-score (the larger of the summed left, right and skew-chosen negative logarithms).
-
-Kinds: every text of ``LEAST_CHARS`` or more is looked at line by line; one that is for more than half ``list``,
-``table`` or ``junk`` (by characters) is that, all others are ``prose``. The score has no part in this: it falls as equal
-texts or a thin language make their own values usual, whatever the text is.
+Statistics: word count, mean word length, symbol ratio, share of lines that end in punctuation, share of common words
+(words that occur in at least ``COMMON_SHARE`` of all different texts), share of function words, share of different
+words, and the shares of the text that a line grammar takes for list entries, table rows and junk.
+
+Ranks: the distinct values of each statistic and language are counted over different texts, sorted by range
+partitioning, and summed within partitions; the totals of the partitions before give each its offset, so that ranks are
+exact at any size without a global window. A language of few texts, or none, is ranked within the whole collection.
+
+Tail probabilities: both tails of each statistic, as negative logarithms, are the coordinates of a text. The outlier
+score is the largest of the summed left, right and skew-chosen tails. The kind is the direction (prose, list, table,
+junk) along which the tails of all statistics sum to most. The weights of the directions are fitted on at most
+``SAMPLE_TEXTS`` different texts, those that the grammar is clear about; every text is then decided by its own tails.
 """
 
 from __future__ import annotations
@@ -22,18 +23,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize, small_enough
 from . import endings, pairs
 
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
+FURTHER = ("function_words", "different_words", "list_lines", "table_lines", "junk_lines")
+KINDS = ("prose", "list", "table", "junk")
 #: Words in at least this share of all different texts are common (and in no fewer than COMMON_LEAST of them); there are
 #: at most (mean distinct words of a document) / COMMON_SHARE of them, whatever the corpus.
 COMMON_SHARE = 0.001
 COMMON_LEAST = 3
 BROADCAST_ROWS = 400_000
+#: A language of fewer different texts is ranked within the whole collection.
+THIN_TEXTS = 1000
+#: Bound of the sample that the directions are fitted on, and the grammar's shares from which it is clear about a text.
+SAMPLE_TEXTS = 20_000
+CLEAR = 0.8
+FIT_STEPS = 500
 #: Distinct words that one task counts before it hands them on.
 COUNTER_WORDS = 300_000
 LEAST_CHARS = 40
@@ -196,36 +205,39 @@ def composition(text: str, lower_words: list[str], common: frozenset[str]) -> di
     return out
 
 
-def kind_of(text: str, lower_words: list[str], common: frozenset[str]) -> str:
-    parts = composition(text, lower_words, common)
+def further_statistics(text: str, lower_words: list[str], common: frozenset[str]) -> tuple[float, ...]:
+    n = len(lower_words)
+    parts = composition(text, lower_words, common) if len(text) >= LEAST_CHARS else dict.fromkeys(KINDS, 0)
     total = sum(parts.values())
-    best = max(("list", "table", "junk"), key=parts.get)
-    return best if total and parts[best] > 0.5 * total else "prose"
+    return (
+        round(sum(map(FUNCTION_WORDS.__contains__, lower_words)) / n, 3) if n else 0.0,
+        round(len(set(lower_words)) / n, 3) if n else 0.0,
+        *(round(parts[kind] / total, 2) if total else 0.0 for kind in KINDS[1:]),
+    )
 
 
 def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: ``key``, lang (primary subtag, ``und`` if there is none), n_chars, statistics, kind by lines.
+    """One row per document: key, lang (primary subtag, ``und`` if there is none), n_chars, h (hash of the text), statistics.
 
-    Null and empty texts have zeros and kind ``prose``.
+    Null and empty texts have zeros.
     """
-    common = common_words(df, text)
-    if not small_enough(common, 4_000_000):
-        raise ValueError("too many common words for a broadcast; raise the share")
-    sent = df.sparkSession.sparkContext.broadcast(frozenset(r.word for r in common.select("word").collect()))
+    # Sums over all words of the texts they are in are the distinct words of all texts, so that at most (mean distinct
+    # words of a text) / COMMON_SHARE words reach the share, however many texts there are.
+    sent = df.sparkSession.sparkContext.broadcast(common_words(df, text).select("word").toArrow().column(0).combine_chunks())
+    names = (*STATISTICS, *FURTHER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
+        words = frozenset(sent.value.to_pylist())
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(3).to_pylist()]
             lower = [WORD.findall(t.lower()) for t in texts]
-            rows = [statistics(t, w, words) for t, w in zip(texts, lower, strict=True)]
-            kinds = [kind_of(t, w, words) if len(t) >= LEAST_CHARS else "prose" for t, w in zip(texts, lower, strict=True)]
-            columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int64()), *columns, pa.array(kinds)], names=["key", "lang", "n_chars", *STATISTICS, "lines_kind"])
+            rows = [statistics(t, w, words) + further_statistics(t, w, words) for t, w in zip(texts, lower, strict=True)]
+            columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(map(len, texts)), pa.int64()), *columns], names=["key", "lang", "h", "n_chars", *names])
 
     language = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.col(lang), "^[A-Za-z]+", 0)), F.lit("")), F.lit("und"))
-    schema = f"key {dict(df.dtypes)[key]}, lang string, n_chars bigint, " + ", ".join(f"{s} double" for s in STATISTICS) + ", lines_kind string"
-    return df.select(F.col(key).alias("key"), language.alias("lang"), F.col(text).alias("t")).mapInArrow(run, schema)
+    schema = f"key {dict(df.dtypes)[key]}, lang string, h bigint, n_chars bigint, " + ", ".join(f"{s} double" for s in names)
+    return df.select(F.col(key).alias("key"), language.alias("lang"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def exact_ranks(values: DataFrame, groups: list[str], value: str, count: str) -> DataFrame:
@@ -250,34 +262,97 @@ def exact_ranks(values: DataFrame, groups: list[str], value: str, count: str) ->
             yield frame
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in values.columns) + ", part int, below bigint"
-    # Written once, as a second computation of the ranges might cut elsewhere.
+    # Written once, as a second computation of the ranks might cut elsewhere.
     local = materialize(placed.mapInPandas(running, schema))
     parts = local.groupBy(*groups, "part").agg(F.sum(count).alias("here"))
-    other = parts.select(*[F.col(g).alias(f"o_{g}") for g in groups], F.col("part").alias("o_part"), F.col("here").alias("o_here"))
-    same = [F.col(g) == F.col(f"o_{g}") for g in groups]
-    offsets = parts.join(other, same).groupBy(*groups, "part").agg(F.sum(F.when(F.col("o_part") < F.col("part"), F.col("o_here")).otherwise(0)).alias("offset"), F.sum("o_here").alias("total"))
-    joined = local.join(F.broadcast(offsets), [*groups, "part"])
+    before = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*groups, "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset"), F.sum("here").over(Window.partitionBy(*groups)).alias("total"))
+    joined = local.join(offsets, [*groups, "part"])
     return joined.select(*values.columns, (F.col("below") + F.col("offset")).alias("below"), "total")
 
 
-def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``key``, lang, n_chars, the statistics, ``outlier_score`` and ``kind`` of every row.
+def _long(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each statistic: the kept columns, stat (its number) and value."""
+    names = (*STATISTICS, *FURTHER)
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(names)]))
+    return rows.select(*keep, listed.alias("x")).select(*keep, "x.stat", "x.value")
+
 
-    Rows keep their number; a repeated ``key`` with equal statistics shares its score. An empty table gives no rows.
+def tail_probabilities(different: DataFrame) -> DataFrame:
+    """(scope, stat, value, l, r, a): negative logarithms of the left, right and skew-chosen tails of each value.
+
+    ``different`` has one row per text and ``scope``: a language, or the empty string for the whole collection.
     """
-    stats = materialize(document_statistics(df, key, text, lang))
-    long = stats.select("key", "lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATISTICS)])).alias("x")).select("key", "lang", "x.stat", "x.value")
-    values = long.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
-    ranks = exact_ranks(values, ["lang", "stat"], "value", "n")
-    skew = stats.groupBy("lang").agg(*[F.coalesce(F.skewness(s), F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(STATISTICS)])
-    skew = skew.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(f"s{i}").alias("skew")) for i in range(len(STATISTICS))])).alias("x")).select("lang", "x.stat", "x.skew")
+    values = _long(different, "scope").groupBy("scope", "stat", "value").agg(F.count("*").alias("n"))
+    ranks = exact_ranks(values, ["scope", "stat"], "value", "n")
+    names = (*STATISTICS, *FURTHER)
+    skew = different.groupBy("scope").agg(*[F.coalesce(F.skewness(s), F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(names)])
+    skew = skew.select("scope", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(f"s{i}").alias("skew")) for i in range(len(names))])).alias("x")).select("scope", "x.stat", "x.skew")
     left = -F.log((F.col("below") + F.col("n")) / F.col("total"))
     right = -F.log((F.col("total") - F.col("below")) / F.col("total"))
-    tails = ranks.join(F.broadcast(skew), ["lang", "stat"]).select("lang", "stat", "value", left.alias("l"), right.alias("r"), F.when(F.col("skew") < 0, left).otherwise(right).alias("a"))
-    tails = materialize(tails)
-    known = F.broadcast(tails) if small_enough(tails, BROADCAST_ROWS) else tails
-    scores = long.distinct().join(known, ["lang", "stat", "value"]).groupBy("key", "lang").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("a").alias("a"))
-    scores = scores.select("key", "lang", F.round(F.greatest("l", "r", "a"), 6).alias("outlier_score"))
-    out = stats.join(scores, ["key", "lang"])
-    kind = F.when(F.col("n_chars") >= LEAST_CHARS, F.col("lines_kind")).otherwise("prose")
-    return out.select(F.col("key").alias(key), "lang", "n_chars", F.col("word_count").cast("bigint").alias("word_count"), *STATISTICS[1:], "outlier_score", kind.alias("kind"))
+    return ranks.join(skew, ["scope", "stat"]).select("scope", "stat", "value", left.alias("l"), right.alias("r"), F.when(F.col("skew") < 0, left).otherwise(right).alias("a"))
+
+
+def fit_directions(tails: np.ndarray, kinds: np.ndarray, steps: int = FIT_STEPS, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (tails x kinds) and offsets of the directions: a multinomial logistic fit, kinds balanced by root of count."""
+    n, width = tails.shape
+    if not n:
+        return np.zeros((width, len(KINDS))), np.eye(len(KINDS))[0]
+    mean, spread_ = tails.mean(axis=0), tails.std(axis=0) + 1e-6
+    x = np.column_stack([(tails - mean) / spread_, np.ones(n)])
+    goal = np.eye(len(KINDS))[kinds]
+    weight = 1 / np.sqrt(np.maximum(1, np.bincount(kinds, minlength=len(KINDS))))[kinds]
+    weight /= weight.mean()
+    w = np.zeros((width + 1, len(KINDS)))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        share = x @ w
+        share = np.exp(share - share.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        slope = x.T @ ((share - goal) * weight[:, None]) / n + shrink * w
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    scaled = w[:-1] / spread_[:, None]
+    return scaled, w[-1] - mean @ scaled
+
+
+def _fitted(different: DataFrame, tails: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The directions, from the texts of least hash among those that the grammar is clear about."""
+    shares = [F.col(f"{kind}_lines") for kind in KINDS[1:]]
+    most = F.greatest(*shares)
+    label = F.when(most <= 1 - CLEAR, 0).otherwise(F.array_position(F.array(*shares), most).cast("int"))
+    clear = different.where((F.col("n_chars") >= LEAST_CHARS) & ((most >= CLEAR) | (most <= 1 - CLEAR))).dropDuplicates(["h"])
+    sample = clear.withColumn("label", label).orderBy("h").limit(SAMPLE_TEXTS)
+    rows = _long(sample, "h", "scope", "label").join(tails, ["scope", "stat", "value"]).groupBy("h", "label").agg(F.array_sort(F.collect_list(F.struct("stat", "l", "r"))).alias("x"))
+    table = rows.select("h", "label", F.flatten(F.transform("x", lambda x: F.array(x["l"], x["r"]))).alias("x")).toPandas().sort_values("h")
+    width = 2 * len(STATISTICS + FURTHER)
+    return fit_directions(np.array(table["x"].tolist(), dtype=float).reshape(-1, width), table["label"].to_numpy(dtype=int))
+
+
+def assess(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``key``, lang, n_chars, the five statistics, ``outlier_score`` and ``kind`` of every row.
+
+    Rows keep their number. A text of fewer than ``LEAST_CHARS`` characters is ``prose``. Copies count once in all ranks,
+    so that no number of them makes a text usual. An empty table gives no rows.
+    """
+    names = (*STATISTICS, *FURTHER)
+    stats = materialize(document_statistics(df, key, text, lang).withColumn("rid", F.monotonically_increasing_id()))
+    texts = stats.where("n_chars > 0").dropDuplicates(["lang", "h"])
+    thick = texts.where("lang != 'und'").groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= THIN_TEXTS).select("lang", F.col("lang").alias("own"))
+    scoped = materialize(stats.join(F.broadcast(thick), "lang", "left").withColumn("scope", F.coalesce("own", F.lit(""))).drop("own"))
+    different = scoped.where("n_chars > 0").dropDuplicates(["lang", "h"])
+    pooled = scoped.where("n_chars > 0").dropDuplicates(["h"]).withColumn("scope", F.lit(""))
+    tails = materialize(tail_probabilities(pooled.unionByName(different.where("scope != ''"))))
+    weights, offsets = _fitted(different, tails)
+    along = [F.col("l") * F.element_at(F.array(*map(F.lit, weights[0::2, k].tolist())), F.col("stat") + 1) + F.col("r") * F.element_at(F.array(*map(F.lit, weights[1::2, k].tolist())), F.col("stat") + 1) for k in range(len(KINDS))]
+    shares = tails.select("scope", "stat", "value", "l", "r", "a", *[c.alias(f"k{k}") for k, c in enumerate(along)])
+    known = F.broadcast(shares) if small_enough(shares, BROADCAST_ROWS) else shares
+    # The rows of one text lie in one task, where they are summed before the shuffle.
+    keep = ("rid", "key", "lang", "n_chars", *STATISTICS)
+    sums = _long(scoped.withColumns({s: F.col(s) for s in names}), *keep, "scope").join(known, ["scope", "stat", "value"], "left")
+    sums = sums.groupBy(*keep).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"sum_{c}") for c in ("l", "r", "a", *(f"k{k}" for k in range(len(KINDS))))])
+    heights = [F.col(f"sum_k{k}") + F.lit(float(offsets[k])) for k in range(len(KINDS))]
+    best = F.element_at(F.array(*map(F.lit, KINDS)), F.array_position(F.array(*heights), F.greatest(*heights)).cast("int"))
+    kind = F.when(F.col("n_chars") >= LEAST_CHARS, best).otherwise("prose")
+    score = F.round(F.greatest("sum_l", "sum_r", "sum_a"), 6)
+    return sums.select(F.col("key").alias(key), "lang", "n_chars", F.col("word_count").cast("bigint").alias("word_count"), *STATISTICS[1:], score.alias("outlier_score"), kind.alias("kind"))

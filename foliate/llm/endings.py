@@ -1,8 +1,10 @@
 """Whether a text ends where it was meant to end.
 
 Three answers: ``complete``, ``open`` (in mid-word or mid-sentence, or a JSON payload that is not closed) and
-``unsure``: a title, list entry or few words without a full stop. The last are decided by the terminal context of
-their last word in all texts: a word that is never seen followed by anything else is half a word.
+``unsure``: a title, list entry or few words without a full stop. The last are decided by a terminal-context model of
+their last word: over all different texts, how often it has something behind it against how often a text stops right
+after it. Half a word is seen at the end of texts, a whole one mostly within them; the ratio stays the same however many
+texts there are.
 """
 
 from __future__ import annotations
@@ -90,19 +92,33 @@ def ending(text: str) -> tuple[str, str | None]:
     return prose_ending(text)
 
 
-def followed_words(df: DataFrame, text: str | Column) -> DataFrame:
-    """(word, seen): how often each word of all texts has something behind it, so that it is known to be whole."""
+def stopped(text: str) -> bool:
+    """Whether a text has terminal punctuation: a closed payload, or a sign that ends a sentence, citation or aside."""
+    body = payload(text)
+    if body is not None:
+        return closed(body)
+    t = text.strip().strip(INVISIBLE).rstrip()
+    return not CUT_MARK.search(t) and bool(CITATION.search(t) or STOP.search(t) or ASIDE.search(t))
+
+
+def word_contexts(df: DataFrame, text: str | Column) -> DataFrame:
+    """(word, inner, last): how often each word of all different texts has something behind it, and how often a text
+    stops right after it."""
     words = F.expr("regexp_extract_all(lower(t), \"(\\\\p{L}+(?:['’-]\\\\p{L}+)*)(?=[\\\\s.,;:!?\\\\[\\\\])\\\"])\", 1)")
+    end = F.regexp_extract(F.lower("t"), "(\\p{L}+(?:['’-]\\p{L}+)*)\\s*$", 1)
     column = F.col(text) if isinstance(text, str) else text
-    return df.select(column.alias("t")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
+    texts = df.select(column.alias("t")).distinct()
+    inner = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("inner"), F.lit(0).alias("last")))
+    # The last word of a text with space behind it was taken for an inner one.
+    last = F.array(F.struct(end.alias("word"), F.when(F.col("t").rlike("\\s$"), -1).otherwise(0).alias("inner"), F.lit(1).alias("last")))
+    each = texts.select(F.explode(F.concat(inner, last)).alias("x")).select("x.*").where("word != ''")
+    return each.groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("last").alias("last"))
 
 
-def settle(rows: DataFrame, words: DataFrame, at_limit: str | None = None) -> DataFrame:
-    """Replaces ``unsure`` in column ``state``: open if ``last_word`` was never seen whole, or the text ends at a limit."""
+def settle(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Replaces ``unsure`` in column ``state``: open if texts stop at ``last_word`` more often than they go on."""
     sure = rows.where("state != 'unsure'")
-    rest = rows.where("state = 'unsure'").join(words, F.col("last_word") == F.col("word"), "left")
-    doubt = F.col("seen").isNull()
-    if at_limit:
-        doubt = doubt | F.col(at_limit)
+    rest = rows.where("state = 'unsure'").join(contexts, F.col("last_word") == F.col("word"), "left")
+    doubt = F.coalesce(F.col("inner"), F.lit(0)) < F.greatest(F.coalesce(F.col("last"), F.lit(0)), F.lit(1))
     rest = rest.withColumn("state", F.when(doubt, "open").otherwise("complete"))
     return sure.unionByName(rest.select(*rows.columns))

@@ -1,11 +1,12 @@
 """Broken prompt-response pairs, each with its one defect.
 
 * ``empty``: nothing, space, or a mere placeholder.
-* ``copies_question``: the response is compressed with its prompt as a zstandard dictionary; a response that costs
-  next to nothing then is checked word by word for anything that the prompt does not say.
+* ``copies_question``: the response is compressed with its prompt (and the words that may frame it) as a zstandard
+  dictionary, and the prompt with the response. Where both cost next to nothing, each says what the other says; only a
+  response with more words of its own than it leaves out of the prompt adds something.
 * ``refusal``: phrases of refusing, by dictionary, unless the answer only says that the evidence is missing.
 * ``other_language``: function-word dictionaries of both sides disagree clearly.
-* ``truncated``: the ending is open (:mod:`.endings`), with the terminal contexts of all responses.
+* ``truncated``: the ending is open (:mod:`.endings`), with the terminal-context model of all responses.
 
 The first that applies in this order is the defect. Saying that evidence is missing and answering in few words are
 no defects.
@@ -16,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import zstandard
@@ -36,7 +36,7 @@ FRAME = frozenset("question the is was answer you asked your ask frage die laute
 REFUSING = re.compile(
     r"\bi(?:'m| am) (?:afraid|unable|not (?:able|permitted|allowed|in a position|comfortable))|\bi (?:cannot|can't|can not|won't|will not|must decline|decline|refuse|do not wish|don't wish|would rather not|am unable|have to (?:decline|apologi[sz]e|refuse|pass))"
     r"|\bi'd rather not|\bno comment\b|not something i\b|(?:outside|beyond) (?:of )?what i\b|i must decline|not (?:going to|willing to) (?:answer|discuss)|instead of me\b|against my\b|my (?:guidelines|instructions|rules|polic(?:y|ies)|principles)"
-    r"|tut mir leid|darf ich|kann ich (?:ihnen )?(?:leider |dabei |dazu |hierbei )?nicht|möchte ich|bedau[re]|nicht helfen|nicht beantworten|meine(?:n|r)? (?:richtlinien|vorgaben|regeln)|kein kommentar|mir ist es nicht"
+    r"|tut mir leid|(?:darf|kann|möchte|will|werde) ich (?:\w+ ){0,4}?(?:nicht|keine)\b|ich bedau(?:e?re)\b|nicht helfen|nicht beantworten|meine(?:n|r)? (?:richtlinien|vorgaben|regeln)|kein kommentar|mir ist es nicht"
     r"|désolé|je regrette|je ne (?:peux|puis|suis|souhaite|veux|dois)|mes (?:consignes|instructions|règles|directives)|sans commentaire|je préfère ne|m'est (?:interdit|impossible|pas permis)|m'excuse|il m'est"
     r"|lo siento|no puedo|no me (?:está|es)|no estoy|no debo|prefiero no|mis (?:normas|directrices|instrucciones|reglas)|sin comentarios",
     re.IGNORECASE,
@@ -58,33 +58,62 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des du de et à au aux est sont dans pour par sur avec ne pas que qui ce cette ces il elle se sa son doit peut être si aucun aucune chaque puis après quand combien où quel quelle comment ni sera dont jusqu plus".split(),
     "es": "el la los las un una unos de del y a al es son en para por con no que se su sus este esta lo debe puede ser si ningún ninguna cada tras luego cuando cuándo cuánto quién dónde cómo qué ni será hasta como más según después queda sin".split(),
 }
+#: The same for languages that are only looked for where their own words stand out.
+FURTHER_WORDS = {
+    "it": "il lo la gli le un una di del della dei delle che è sono per con non nel nella dal alla al ai si più come anche questo questa deve può essere ogni dopo prima entro senza ha".split(),
+    "pt": "o a os as um uma do da dos das em no na nos nas não é são para por com que se ao aos seu sua este esta deve pode ser cada depois antes até sem mais".split(),
+    "nl": "de het een van en is zijn wordt worden werd niet met op voor in bij naar uit moet mag kan als ook of wie hoe wanneer waar welke zonder dat dit deze na tot elk geen".split(),
+}
+#: Scripts that are languages apart.
+SCRIPTS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "arabic": re.compile("[؀-ۿ]"), "hebrew": re.compile("[֐-׿]"), "devanagari": re.compile("[ऀ-ॿ]"), "japanese": re.compile("[぀-ヿ]"), "korean": re.compile("[가-힯]"), "chinese": re.compile("[一-鿿]")}
 SIGNS = {"de": "äöüß", "fr": "çèêëœàùîï", "es": "ñ¿¡áíóú"}
-_WEIGHT: dict[str, dict[str, float]] = {}
-for _language, _words in FUNCTION_WORDS.items():
-    for _word in set(_words):
-        _WEIGHT.setdefault(_word, {})[_language] = 1.0
-for _shares in _WEIGHT.values():
-    for _language in _shares:
-        _shares[_language] = 1.0 / len(_shares)
+
+
+def _weights(dictionaries: dict[str, list[str]]) -> dict[str, dict[str, float]]:
+    """The languages of each word; a word of several counts for each in part."""
+    out: dict[str, dict[str, float]] = {}
+    for name, words in dictionaries.items():
+        for word in words:
+            out.setdefault(word, {})[name] = 1.0
+    return {word: dict.fromkeys(names, 1.0 / len(names)) for word, names in out.items()}
+
+
+_WEIGHT = _weights(FUNCTION_WORDS)
+_WIDE_WEIGHT = _weights(FUNCTION_WORDS | FURTHER_WORDS)
 LETTERS = re.compile(r"[^\W\d_]+")
+CODES = re.compile(r"\b[A-Z]{2,}(?:-[A-Z]+)*-\d+\b")
 
-#: A response is looked at word by word if its bytes beyond the prompt are at most this share of it.
-COPY_SHARE = 0.75
+#: A response repeats its prompt if its bytes beyond the prompt are at most this share of it, and the bytes of the prompt
+#: beyond the response at most that.
+COPY_SHARE = 0.4
+ASKED_SHARE = 0.5
+LEVEL = 3
+WORDS = re.compile(r"\w+")
+_FRAMING = " ".join(sorted(FRAME))
 
 
-def language(text: str) -> str | None:
-    """en, de, fr or es where function words and letters say so clearly."""
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    lower = text.lower()
-    words = LETTERS.findall(lower)
+def _clear(words: list[str], lower: str, weights: dict[str, dict[str, float]], names: list[str]) -> str | None:
+    score = dict.fromkeys(names, 0.0)
     for word in words:
-        for name, weight in _WEIGHT.get(word, {}).items():
+        for name, weight in weights.get(word, {}).items():
             score[name] += weight
     for name, signs in SIGNS.items():
         score[name] += min(2.0, 0.5 * sum(lower.count(s) for s in signs))
     best, second = sorted(score, key=score.get, reverse=True)[:2]
-    clear = score[best] >= 1.2 and score[best] >= 1.6 * score[second] + 0.3 and score[best] >= 0.12 * len(words)
-    return best if clear else None
+    return best if score[best] >= 1.2 and score[best] >= 1.6 * score[second] + 0.3 and score[best] >= 0.12 * len(words) else None
+
+
+def language(text: str) -> str | None:
+    """The language of a text, or its script, where function words and letters say so clearly."""
+    lower = CODES.sub(" ", text).lower()
+    words = LETTERS.findall(lower)
+    letters = sum(map(len, words))
+    for name, pattern in SCRIPTS.items():
+        share = len(pattern.findall(lower))
+        if letters and share >= (0.1 if name == "japanese" else 0.5) * letters:
+            return name
+    wide = _clear(words, lower, _WIDE_WEIGHT, [*FUNCTION_WORDS, *FURTHER_WORDS])
+    return wide if wide in FURTHER_WORDS else _clear(words, lower, _WEIGHT, list(FUNCTION_WORDS))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -97,40 +126,33 @@ def is_empty(answer: str | None) -> bool:
     return core in PLACEHOLDERS and not CITATIONS.search(t)
 
 
-def extra_share(question: str, answer: str) -> float:
-    """Compressed bytes of the answer, with the question as dictionary, for each of its own bytes."""
-    q, a = (" ".join(re.findall(r"\w+", t.lower())).encode() for t in (question, answer))
+def extra_share(known: str, text: str) -> float:
+    """Compressed bytes of a text, with what is known as dictionary, for each of its own bytes."""
+    q, a = (" ".join(WORDS.findall(t.lower())).encode() for t in (known, text))
     if len(q) < 8 or not a:
         return 1.0
-    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
     frame = 9  # magic number, header and block header
     return max(0, len(packer.compress(a)) - frame) / len(a)
 
 
+def adds(question: str, answer: str) -> bool:
+    """Whether more words of an answer are new than words of the question are left out: those are not mere alterations."""
+    asked, said = (Counter(w for w in WORDS.findall(t.lower()) if w not in FRAME) for t in (question, answer))
+    new = sum(n for w, n in said.items() if w not in asked)
+    return new > sum((asked - said).values())
+
+
 def copies(question: str, answer: str) -> bool:
     """Whether the answer repeats the question, perhaps slightly altered, and adds nothing."""
     answer = CITATIONS.sub("", answer)
-    if extra_share(question, answer) > COPY_SHARE:
-        return False
-    asked, said = (re.findall(r"\w+", t.lower()) for t in (question, answer))
-    core = [w for w in said if w in asked or w not in FRAME]
-    if not asked or not core:
+    if extra_share(answer, question) > ASKED_SHARE or extra_share(f"{_FRAMING} {question}", answer) > COPY_SHARE:
         return False
-    left = Counter(w for w in core if w not in FRAME)
-    left.subtract(w for w in asked if w not in FRAME)
-    if sum(n for n in left.values() if n > 0) > max(0, -sum(n for n in left.values() if n < 0)) and len(core) < 1.6 * len(asked):
-        return False  # more words are new than are missing: it adds something
-    whole, part = " ".join(w for w in asked if w not in FRAME), " ".join(w for w in core if w not in FRAME)
-    if len(part) > 1.3 * len(whole) + 8:
-        # Repeated more than once is still nothing but the question.
-        return not set(core) - set(asked)
-    return SequenceMatcher(None, whole, part, autojunk=False).ratio() >= 0.8
+    return not adds(question, answer)
 
 
 def refuses(answer: str) -> bool:
-    if CITATIONS.search(answer) or len(answer.split()) > 60:
-        return False
-    bare = QUOTED.sub(" ", answer)
+    bare = QUOTED.sub(" ", CITATIONS.sub("", answer))
     if MISSING.search(bare):
         return False
     return bool(REFUSING.search(bare) or (REGRET.search(bare) and SELF.search(bare)))
@@ -175,6 +197,6 @@ def find_defects(pairs: DataFrame, key: str = "request_id", question: str = "que
             yield out
 
     judged = materialize(rows.mapInPandas(run, "k string, defect string, state string, last_word string"))
-    settled = endings.settle(judged, endings.followed_words(pairs, answer))
+    settled = endings.settle(judged, endings.word_contexts(pairs, answer))
     defect = F.coalesce("defect", F.when(F.col("state") == "open", F.lit("truncated")))
     return settled.select(F.col("k").alias(key), defect.alias("defect")).where("defect IS NOT NULL")

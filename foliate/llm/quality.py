@@ -36,7 +36,7 @@ KINDS = ("prose", "list", "table", "junk")
 #: at most (mean distinct words of a document) / COMMON_SHARE of them, whatever the corpus.
 COMMON_SHARE = 0.001
 COMMON_LEAST = 3
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 100_000
 #: A language of fewer different texts is ranked within the whole collection.
 THIN_TEXTS = 1000
 #: Bound of the sample that the directions are fitted on, and the grammar's shares from which it is clear about a text.

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 #: that belongs to the byte-level rank files.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same language over ASCII texts, where \p{L} and \p{N} are plain ranges; the standard engine is faster.
+#: The same language over ASCII texts, where \p{L} and \p{N} are plain ranges; the standard engine is faster. It must be
+#: compiled with re.ASCII, as \s would take the separators U+001C to U+001F otherwise, which are no space to a tokenizer.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Most pre-tokens that a worker remembers; the memo is emptied when it is full.
 MEMO_ENTRIES = 400_000
@@ -121,7 +122,7 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.memo = _Memo(RankMerger(ranks))
         self.any_text = regex.compile(PATTERN)
-        self.ascii_text = re.compile(ASCII_PATTERN)
+        self.ascii_text = re.compile(ASCII_PATTERN, re.ASCII)
 
     def pieces(self, text: str) -> list[str]:
         return (self.ascii_text if text.isascii() else self.any_text).findall(text)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 from collections import defaultdict
 
@@ -86,3 +87,20 @@ def test_a_third_of_one_size_and_none_at_all(spark):
 def test_large_items_pair_greedily():
     plan = packing.plan_containers({60: 2, 40: 1, 35: 2, 5: 1}, 100)
     assert plan.containers == 3
+
+
+def test_all_ascii_triples_are_cut_as_by_the_library():
+    import tiktoken
+
+    ours = tokens.encoder(tokens.vocabulary_path())
+    with open(tokens.vocabulary_path(), "rb") as file:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
+    library = tiktoken.Encoding("local", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    signs = [chr(i) for i in range(128)]
+    for a in signs:
+        # Every triple that begins with a, set apart by a letter and a digit.
+        text = "".join(f"{a}{b}{c}x7" for b in signs for c in signs)
+        assert ours.encode(text) == library.encode_ordinary(text)
+        assert ours.encode(text + "é") == library.encode_ordinary(text + "é")
+    for text in ("a\n\n\x1fb", "a\x85\x85b é", "\x1c\x1d \u2003é\u00a0\u00a0x", "é\x1f\x1f x"):
+        assert ours.encode(text) == library.encode_ordinary(text)

@@ -4,6 +4,7 @@
 2. Each task keeps one mergeable heavy-hitter summary (Misra-Gries) per source. Its size follows from the source's
    own number of pairs and threshold, so that no line above the threshold can fall out: a summary of k counters
    loses at most pairs / (k + 1) of a count, and k is chosen to keep that below the threshold.
+   Summaries are merged in a tree, a few at a time, so that no task ever holds more than ``FAN_IN`` of them.
 3. Only the lines that survive are counted exactly, and those at the threshold are confirmed.
 4. Confirmed lines are looked up in the blocks again, as a broadcast set while that set is small, else by a join.
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialize, small_enough
 
+#: Summaries of a source that one task merges, and counters that a task holds before it hands its summaries on.
+FAN_IN = 16
+HELD_COUNTERS = 500_000
 #: A confirmed set of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -53,13 +57,35 @@ class Summary:
 
 
 def _summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One summary per source, or several where a task holds too many counters; all may be merged."""
     own: dict[str, Summary] = {}
+
+    def handed_on() -> Iterator[pd.DataFrame]:
+        for source, summary in own.items():
+            if summary.counts:
+                yield pd.DataFrame({"source": source, "size": summary.size, "line_hash": list(summary.counts), "n": list(summary.counts.values())})
+        own.clear()
+
     for frame in frames:
         for (source, size), part in frame.groupby(["source", "size"], sort=False):
             own.setdefault(source, Summary(int(size))).add(part.groupby("line_hash")["n"].sum().to_dict())
-    for source, summary in own.items():
-        if summary.counts:
-            yield pd.DataFrame({"source": source, "size": summary.size, "line_hash": list(summary.counts), "n": list(summary.counts.values())})
+        if sum(len(summary.counts) for summary in own.values()) > HELD_COUNTERS:
+            yield from handed_on()
+    yield from handed_on()
+
+
+def merged_summaries(partial: DataFrame, tasks: int) -> DataFrame:
+    """One summary per source out of those of ``tasks`` tasks: (source, size, line_hash, n), merged in a tree."""
+    schema = "source string, size long, line_hash long, n long"
+    level = partial.withColumn("place", F.spark_partition_id())
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([*_summarize(iter([frame.drop(columns="place")]))] or [frame.iloc[:0]])[["source", "size", "line_hash", "n"]].assign(place=int(frame["place"].iloc[0]))
+
+    while tasks > 1:
+        level = level.withColumn("place", F.expr(f"place div {FAN_IN}").cast("int")).groupBy("source", "place").applyInPandas(merge, f"{schema}, place int")
+        tasks = -(-tasks // FAN_IN)
+    return level.select("source", "size", "line_hash", "n")
 
 
 def repeated_lines(blocks: DataFrame, catalog: DataFrame, min_documents: int = 5, min_share: float = 0.1, min_words: int = 3) -> DataFrame:
@@ -79,9 +105,11 @@ def repeated_lines(blocks: DataFrame, catalog: DataFrame, min_documents: int = 5
     sizes = sizes.select("source", "needed", (F.floor(F.col("pairs") / F.col("needed")) + 1).alias("size"))
     sized = pairs.join(sizes.select("source", "size"), "source").withColumn("n", F.lit(1).cast("long"))
     schema = "source string, size long, line_hash long, n long"
-    partial = sized.mapInPandas(_summarize, schema)
-    merged = partial.groupBy("source").applyInPandas(lambda frame: next(_summarize(iter([frame])), frame.iloc[:0]), schema)
-    kept = merged.select("source", "line_hash")
+    partial = sized.mapInPandas(_summarize, "source string, size long, line_hash long, n long")
+    # Written, as the number of its tasks is that of the leaves of the tree.
+    partial = materialize(partial)
+    merged = merged_summaries(partial, partial.rdd.getNumPartitions())
+    kept = merged.select("source", "line_hash").distinct()
 
     exact = pairs.join(kept, ["source", "line_hash"]).groupBy("source", "line_hash").agg(F.count("*").alias("documents"))
     return exact.join(sizes, "source").where("documents >= needed").select(F.col("source").alias("collection"), "line_hash", "documents")

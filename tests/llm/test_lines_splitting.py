@@ -91,3 +91,13 @@ def test_sections_and_chunks(spark, small):
         assert len(p.text) <= 3000 and p.n_pieces > 1
         if p.item_kind == "section":
             assert whole[p.document_id, p.item_id][p.piece_start : p.piece_end] == p.text
+
+
+def test_summaries_merge_in_a_tree(spark, monkeypatch):
+    """300 summaries of one source, each flushed early, keep every line above the threshold."""
+    monkeypatch.setattr(site_lines, "HELD_COUNTERS", 3)
+    size, rows = 8, 3000
+    df = spark.range(rows).selectExpr("'s' AS source", f"{size}L AS size", "IF(id % 4 = 0, 1L, id + 10) AS line_hash", "1L AS n").repartition(300)
+    partial = df.mapInPandas(site_lines._summarize, "source string, size long, line_hash long, n long")
+    got = {r.line_hash: r.n for r in site_lines.merged_summaries(partial, 300).collect()}
+    assert len(got) <= size and got[1] >= rows // 4 - rows // (size + 1)

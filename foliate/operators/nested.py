@@ -13,8 +13,11 @@ empty fields. :func:`elements` reads all of them alike.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 from typing import Any
 
 import pandas as pd
@@ -33,13 +36,19 @@ class Edge:
 
 @dataclass(frozen=True)
 class Element:
-    """One element type: its own fields, the elements inside it, and the field that a bare value stands for."""
+    """One element type: its own fields (``name`` or ``name:type``), the elements inside it, and the field that a bare
+    value stands for."""
 
     name: str
-    fields: tuple[str, ...] = ()
+    typed: tuple[str, ...] = ()
     edges: tuple[Edge, ...] = ()
     bare: str | None = None
 
+    @property
+    def fields(self) -> list[tuple[str, str]]:
+        """Names and SQL types."""
+        return [(name, kind or "string") for name, _, kind in (f.partition(":") for f in self.typed)]
+
 
 @dataclass(frozen=True)
 class SchemaGraph:
@@ -70,13 +79,13 @@ class SchemaGraph:
                 out.append(name)
         return out
 
-    def columns(self, name: str) -> list[tuple[tuple[str, ...], str]]:
-        """Paths and names of the columns of a table: its own fields and those of the elements inlined into it."""
+    def columns(self, name: str) -> list[tuple[tuple[str, ...], str, str]]:
+        """Paths, names and types of the columns of a table: its own fields and those of the elements inlined into it."""
         own = set(self.tables())
         out = []
 
         def visit(at: str, path: tuple[str, ...]) -> None:
-            out.extend(((*path, f), "_".join((*path, f))) for f in self.elements[at].fields)
+            out.extend(((*path, f), "_".join((*path, f)), kind) for f, kind in self.elements[at].fields)
             for edge in self.elements[at].edges:
                 if edge.child not in own:
                     visit(edge.child, (*path, edge.name))
@@ -92,15 +101,15 @@ DOCUMENT = SchemaGraph(
         e.name: e
         for e in (
             Element("document", (), (Edge("metadata", "metadata", False), Edge("parser_metadata", "parser_metadata", False), Edge("pages", "page", True), Edge("sections", "section", True), Edge("tables", "table", True))),
-            Element("metadata", ("document_id", "filename", "source_path", "file_type", "page_count", "title", "author", "created_at")),
+            Element("metadata", ("document_id", "filename", "source_path", "file_type", "page_count:int", "title", "author", "created_at")),
             Element("parser_metadata", ("parser_name", "parser_version", "parse_status", "parse_strategy")),
-            Element("page", ("page_number", "width", "height", "parse_status"), (Edge("blocks", "block", True), Edge("tables", "table", True)), bare="page_number"),
-            Element("section", ("section_id", "title", "level", "page_start", "page_end"), (Edge("blocks", "block", True), Edge("tables", "table", True), Edge("child_sections", "section", True)), bare="section_id"),
-            Element("block", ("block_id", "page_number", "text", "block_type", "reading_order_index"), (Edge("bounding_box", "bounding_box", False),), bare="block_id"),
-            Element("bounding_box", ("page_number", "x0", "y0", "x1", "y1", "coordinate_origin")),
-            Element("table", ("table_id", "page_number", "caption", "native_text", "reading_order_index"), (Edge("rows", "row", True),), bare="table_id"),
-            Element("row", ("row_index",), (Edge("cells", "cell", True),)),
-            Element("cell", ("cell_id", "row_index", "column_index", "text", "row_span", "column_span", "is_header"), bare="text"),
+            Element("page", ("page_number:int", "width:double", "height:double", "parse_status"), (Edge("blocks", "block", True), Edge("tables", "table", True)), bare="page_number"),
+            Element("section", ("section_id", "title", "level:int", "page_start:int", "page_end:int"), (Edge("blocks", "block", True), Edge("tables", "table", True), Edge("child_sections", "section", True)), bare="section_id"),
+            Element("block", ("block_id", "page_number:int", "text", "block_type", "reading_order_index:int"), (Edge("bounding_box", "bounding_box", False),), bare="block_id"),
+            Element("bounding_box", ("page_number:int", "x0:double", "y0:double", "x1:double", "y1:double", "coordinate_origin")),
+            Element("table", ("table_id", "page_number:int", "caption", "native_text", "reading_order_index:int"), (Edge("rows", "row", True),), bare="table_id"),
+            Element("row", ("row_index:int",), (Edge("cells", "cell", True),)),
+            Element("cell", ("cell_id", "row_index:int", "column_index:int", "text", "row_span:int", "column_span:int", "is_header:boolean"), bare="text"),
         )
     },
 )
@@ -124,12 +133,132 @@ def _whole(value: Any) -> int | None:
         return None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_LITERALS = {"null": None, "true": True, "false": False, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+
+
+def parse(text: str) -> Any:
+    """The value of a JSON text of any depth; ValueError if it is none."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str) -> Any:
+    """Like json.loads, with a stack of its own in place of the interpreter's."""
+
+    def space(at: int) -> int:
+        return _SPACE.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no key at {at}")
+        name, at = scanstring(text, at + 1, True)
+        at = space(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return name, space(at + 1)
+
+    top: list[Any] = []
+    open_: list[tuple[Any, str | None]] = [(top, None)]
+    at = space(0)
+    while True:
+        sign, inner = text[at : at + 1], None
+        if sign in ("{", "["):
+            value = inner = {} if sign == "{" else []
+            at = space(at + 1)
+        elif sign == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif number := _NUMBER.match(text, at):
+            value, at = (float if number.group(1) or number.group(2) else int)(number.group()), number.end()
+        else:
+            name = next((name for name in _LITERALS if text.startswith(name, at)), None)
+            if name is None:
+                raise ValueError(f"no value at {at}")
+            value, at = _LITERALS[name], at + len(name)
+        holder, name = open_[-1]
+        if name is None:
+            holder.append(value)
+        else:
+            holder[name] = value
+        if inner is not None and text[at : at + 1] != ("}" if sign == "{" else "]"):
+            name = None
+            if sign == "{":
+                name, at = key(at)
+            open_.append((inner, name))
+            continue
+        if inner is not None:
+            at += 1
+        while True:
+            at = space(at)
+            if len(open_) == 1:
+                if at < len(text):
+                    raise ValueError(f"more than one value at {at}")
+                return top[0]
+            holder, name = open_[-1]
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = space(at + 1)
+                if name is not None:
+                    name, at = key(at)
+                    open_[-1] = (holder, name)
+                break
+            if sign != ("]" if name is None else "}"):
+                raise ValueError(f"neither a comma nor an end at {at}")
+            open_.pop()
+            at += 1
+
+
+def _written(value: Any) -> str:
+    """An object or array as JSON text with sorted keys, of any depth."""
+    out, todo = [], [value]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, _Sign):
+            out.append(str(at))
+        elif isinstance(at, dict):
+            todo.append(_Sign("}"))
+            for i, name in enumerate(sorted(at, reverse=True)):
+                todo += [at[name], _Sign(f"{json.dumps(name, ensure_ascii=False)}: ")] + ([_Sign(", ")] if i < len(at) - 1 else [])
+            out.append("{")
+        elif isinstance(at, list):
+            todo.append(_Sign("]"))
+            for i, inner in enumerate(reversed(at)):
+                todo += [inner] + ([_Sign(", ")] if i < len(at) - 1 else [])
+            out.append("[")
+        else:
+            out.append(json.dumps(at, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Sign(str):
+    """A piece of the text that is already written."""
+
+
 def _text(value: Any) -> str | None:
     if value is None or isinstance(value, str):
         return value
     if isinstance(value, bool):
         return "true" if value else "false"
-    return json.dumps(value, ensure_ascii=False, sort_keys=True) if isinstance(value, dict | list) else str(value)
+    return _written(value) if isinstance(value, dict | list) else str(value)
+
+
+def _typed(value: Any, kind: str) -> str | None:
+    """The text of a value of a column of this type; None if it is not of the type."""
+    if kind == "int":
+        number = _whole(value)
+        return str(number) if number is not None and -(1 << 31) <= number < 1 << 31 else None
+    if kind == "double":
+        try:
+            number = None if isinstance(value, bool) else float(value)
+        except (TypeError, ValueError, OverflowError):
+            return None
+        return repr(number) if number is not None and math.isfinite(number) else None
+    if kind == "boolean":
+        return {"true": "true", "1": "true", "yes": "true", "false": "false", "0": "false", "no": "false"}.get((_text(value) or "").strip().lower())
+    return _text(value)
 
 
 def _identity(kind: str, body: dict[str, Any], at: int, parent_id: str, row: int) -> tuple[str | None, int]:
@@ -147,11 +276,12 @@ def _identity(kind: str, body: dict[str, Any], at: int, parent_id: str, row: int
     return _text(body.get(f"{kind}_id")), row
 
 
-def shred(document_id: str | None, text: str | None, graph: SchemaGraph = DOCUMENT) -> Iterator[tuple]:
-    """Rows (table, document_id, parent kind, parent id, id, position, values) of one record; none if unreadable."""
+def shred(document_id: str | None, text: str | None, graph: SchemaGraph = DOCUMENT, only: str | None = None) -> Iterator[tuple]:
+    """Rows (table, document_id, parent kind, parent id, id, position, values) of one record, of the table ``only`` if
+    one is named; none if unreadable."""
     try:
-        record = json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
+        record = parse(text) if text is not None else None
+    except ValueError:
         return
     if not isinstance(record, dict):
         return
@@ -162,16 +292,17 @@ def shred(document_id: str | None, text: str | None, graph: SchemaGraph = DOCUME
 
     def values(kind: str, body: dict[str, Any]) -> dict[str, str]:
         out = {}
-        for path, column in columns[kind]:
+        for path, column, type_ in columns[kind]:
             at: Any = body
             for step in path:
                 at = at.get(step) if isinstance(at, dict) else None
             if at is not None:
-                out[column] = _text(at)
+                out[column] = _typed(at, type_)
         return out
 
     todo: list[tuple[str, dict[str, Any], str | None, int]] = [(graph.root, record, name, 0)]
-    yield graph.root, name, None, None, name, 0, values(graph.root, record)
+    if only in (None, graph.root):
+        yield graph.root, name, None, None, name, 0, values(graph.root, record)
     while todo:
         kind, body, parent_id, row = todo.pop()
         for edge in graph.elements[kind].edges:
@@ -188,13 +319,15 @@ def shred(document_id: str | None, text: str | None, graph: SchemaGraph = DOCUME
                 child_id, child_row = _identity(edge.child, inner, at, parent_id or "", row)
                 if child_id is None:
                     continue
-                yield edge.child, name, kind, parent_id, child_id, at, values(edge.child, inner)
+                if only in (None, edge.child):
+                    yield edge.child, name, kind, parent_id, child_id, at, values(edge.child, inner)
                 if shape.edges:
                     todo.append((edge.child, inner, child_id, child_row))
 
 
-def flatten_records(records: DataFrame, key: str = "document_id", text: str = "parsed_document_json", graph: SchemaGraph = DOCUMENT) -> DataFrame:
-    """All rows of all tables: table, document_id, parent_kind, parent_id, child_id, position, ``values`` (a map).
+def flatten_records(records: DataFrame, key: str = "document_id", text: str = "parsed_document_json", graph: SchemaGraph = DOCUMENT, only: str | None = None) -> DataFrame:
+    """All rows of all tables, or of the table ``only``: table, document_id, parent_kind, parent_id, child_id, position,
+    ``values`` (a map).
 
     Narrow. Null, unreadable and non-object records give no rows; records sent twice give their rows twice (see
     :func:`flat_table` and :func:`links`, which count them once).
@@ -205,7 +338,7 @@ def flatten_records(records: DataFrame, key: str = "document_id", text: str = "p
         for frame in frames:
             for start in range(0, len(frame), 200):
                 part = frame.iloc[start : start + 200]
-                rows = [row for key_, json_ in zip(part["key"], part["json"], strict=True) for row in shred(key_, json_, graph)]
+                rows = [row for key_, json_ in zip(part["key"], part["json"], strict=True) for row in shred(key_, json_, graph, only)]
                 yield pd.DataFrame(rows, columns=names)
 
     schema = "table string, document_id string, parent_kind string, parent_id string, child_id string, position int, values map<string,string>"
@@ -213,8 +346,11 @@ def flatten_records(records: DataFrame, key: str = "document_id", text: str = "p
 
 
 def flat_table(rows: DataFrame, name: str, graph: SchemaGraph = DOCUMENT) -> DataFrame:
-    """The table of one element type: document_id, parent_kind, parent_id, {name}_id, position and its columns."""
-    columns = [F.col("values")[column].alias(column) for _, column in graph.columns(name) if column not in {f"{name}_id", "document_id"}]
+    """The table of one element type: document_id, parent_kind, parent_id, {name}_id, position and its typed columns.
+
+    Values of another type than their column's are null.
+    """
+    columns = [F.col("values")[column].try_cast(kind).alias(column) for _, column, kind in graph.columns(name) if column not in {f"{name}_id", "document_id"}]
     keys = [] if name == graph.root else ["parent_kind", "parent_id", F.col("child_id").alias(f"{name}_id"), "position"]
     return rows.where(F.col("table") == name).select("document_id", *keys, *columns).distinct()
 

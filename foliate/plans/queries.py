@@ -458,7 +458,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def _flat(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         records = spread(table(spark, folder, "parsed_documents").select("document_id", "parsed_document_json"))
-        return nested.flat_table(nested.flatten_records(records), name)
+        return nested.flat_table(nested.flatten_records(records, only=name), name)
 
     return run
 

@@ -61,18 +61,14 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-def _repaired(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     blocks = table(spark, folder, "document_blocks").select("document_id", "block_id", "page_number", "text")
     tables = table(spark, folder, "parsed_tables").select("document_id", "table_id", "page_number", "page_numbers", "cells", "native_text")
-    return scan_noise.repair_records(spread(blocks), spread(tables), texts)
-
-
-def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    return _repaired(spark, folder, True)
+    return scan_noise.repair_records(spread(blocks), spread(tables))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _repaired(spark, folder, False)
+    rows = p6_repaired(spark, folder)
     return rows.select(F.col("kind").alias("record_kind"), "document_id", "record_id", F.explode("noise").alias("noise_kind")).distinct()
 
 

@@ -1,31 +1,37 @@
 """Repair of text from scanned pages: broken words, misread characters, running headers and page numbers.
 
-1. Words of all records are counted, those at broken line ends left out. Every rare word is looked up among the
-   frequent ones by anagram hash: the hash of a word is a sum over its characters, so that reading ``m`` as ``rn``
-   always changes it by the same amount, and a rare word meets its variants in one SQL join on hash plus difference.
-   The meeting words are checked character by character and ranked by frequency.
+1. Words of all records are counted; those at broken line ends, and what they may join to, are listed without a count.
+   Every rare word is looked up among the frequent ones by anagram hash: the hash of a word is a sum over its
+   characters (modulo 2^63, so that it fits however long the word is), reading ``m`` as ``rn`` always changes it by the
+   same amount, and a rare word meets its variants in one SQL join on hash plus difference. The meeting words are
+   checked character by character and ranked by frequency.
 2. Edge lines: a line of a document that is the same, apart from the page's number and misreadings, on at least three
    pages and stands alone on one of them is its running header. A line that holds nothing but the number of its page
    is a page number.
 3. Hyphen evidence: a break at a line end is closed if the joined word is known, or if its halves are not; a
    compound of known words keeps its hyphen. Edge lines between the halves are skipped.
 4. What is left is joined into paragraphs.
+
+The words found reach the texts as a broadcast while they take at most ``VOCABULARY_BYTES``; beyond that, each text
+lists its words, which are joined to the vocabulary and come back to it. Both ways give the same result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, small_enough
+from ..plans.storage import materialize, small_enough, written
 
 #: What a scan makes of letters (read, meant).
 CONFUSIONS = [
@@ -54,6 +60,9 @@ RATIO = 12
 RATIO_SIGNS = 3
 KNOWN_LEAST = 3
 BROADCAST_ROWS = 400_000
+VOCABULARY_BYTES = 64_000_000
+#: Known words that are sent in any case, so that only rarer ones have to be joined to large vocabularies.
+FREQUENT_WORDS = 100_000
 COUNTER_WORDS = 300_000
 
 
@@ -62,16 +71,20 @@ def tokens(text: str) -> list[str]:
     return ASCII_TOKEN.findall(text) if text.isascii() and not HAS_SIGN.search(text) else TOKEN.findall(text)
 
 
+MODULUS = 1 << 63
+
+
+@lru_cache(maxsize=100_000)
 def character_value(char: str) -> int:
     return pow(ord(char), 5, 2**56)
 
 
 def anagram_hash(word: str) -> int:
     """Sum over the characters: equal for anagrams, and changed by a fixed difference by each confusion."""
-    return sum(map(character_value, word))
+    return sum(map(character_value, word)) % MODULUS
 
 
-DIFFERENCES = {(read, meant): anagram_hash(meant) - anagram_hash(read) for read, meant in CONFUSIONS}
+DIFFERENCES = {(read, meant): (anagram_hash(meant) - anagram_hash(read)) % MODULUS for read, meant in CONFUSIONS}
 
 
 _FRONT = re.compile(r"(\d+) *[|:.–—-]* +(.*)$")
@@ -102,12 +115,44 @@ def _edge_lines(text: str, page: int | None) -> Iterator[tuple[int, int]]:
     lines = text.split("\n")
     for line in lines:
         s = line.strip()
-        if 6 <= len(s) <= 160 and s[-1] not in ".,;:?!":
+        if s and s[-1] not in ".,;:?!":
             bare = skeleton(s, [page])
             if " " in bare:
                 yield _line_hash(bare), int(len(lines) == 1)
 
 
+def _halves(lines: list[str]) -> Iterator[tuple[int, re.Match, list[int]]]:
+    """Broken lines, with the lines that may hold the other half: the next three, and the next one at any distance that
+    goes on in small letters (in capitals, if the half is in capitals)."""
+    low = caps = None
+    after: list[tuple[int | None, int | None]] = [(None, None)] * len(lines)
+    for at in range(len(lines) - 1, -1, -1):
+        after[at] = (low, caps)
+        first = FIRST.match(lines[at])
+        if first and any(map(str.isalpha, first.group(1))):
+            if first.group(1)[0].isupper():
+                caps = at if first.group(1).isupper() else caps
+            else:
+                low = at
+    for at, line in enumerate(lines[:-1]):
+        broken = BROKEN.search(line)
+        if broken:
+            far = after[at][1 if broken.group(1).isupper() and len(broken.group(1)) > 1 else 0]
+            yield at, broken, [*range(at + 1, min(at + 4, len(lines))), *([far] if far is not None and far > at + 3 else [])]
+
+
+def _possible_words(lines: list[str]) -> Iterator[str]:
+    """Halves of broken words and what they may join to, over all lines and over those without space and figures."""
+    for part in (lines, [line for line in lines if re.search(r"[^\W\d_]{2}", line)]):
+        for _, broken, follow in _halves(part):
+            yield broken.group(1)
+            for at in follow:
+                first = FIRST.match(part[at])
+                if first:
+                    yield first.group(1)
+                    yield broken.group(1) + first.group(1)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (tag w: word, n) and of possible header lines (tag h: document, hash, page, alone)."""
     counts: Counter = Counter()
@@ -126,6 +171,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         words = words[1:]
                     broken = bool(BROKEN.search(line))
                     counts.update(words[:-1] if broken else words)
+                for word in _possible_words(text.split("\n")):
+                    counts[word] += 0
             else:
                 counts.update(tokens(text))
         if len(counts) + len(edges) > COUNTER_WORDS:
@@ -216,9 +263,9 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = anagram_hash(word)
             # Where a confusion stands does not change the hash, so that three of each kind do for any word.
             sites = [kind for kind, times in Counter(s[1:] for s in _sites(word)).items() for _ in range(min(times, 3))]
-            keys = {own + DIFFERENCES[kind] for kind in sites}
-            keys |= {own + DIFFERENCES[one] + DIFFERENCES[two] for one, two in combinations(sites, 2)}
-            keys |= {own + sum(map(DIFFERENCES.get, three)) for three in combinations([s for s in sites if not s[0].isalpha()], 3)}
+            keys = {(own + DIFFERENCES[kind]) % MODULUS for kind in sites}
+            keys |= {(own + DIFFERENCES[one] + DIFFERENCES[two]) % MODULUS for one, two in combinations(sites, 2)}
+            keys |= {(own + sum(map(DIFFERENCES.get, three))) % MODULUS for three in combinations([s for s in sites if not s[0].isalpha()], 3)}
             rows += [(word, n, key) for key in keys]
         yield pd.DataFrame(rows, columns=["word", "n", "key"])
 
@@ -229,11 +276,14 @@ def corrections(words: DataFrame) -> DataFrame:
     Candidates are joined to frequent words on the anagram hash, checked, and ranked by frequency.
     """
     letters = words.where(F.col("word").rlike(r"^\p{L}+$"))
-    frequent = letters.where(F.col("n") > KNOWN_LEAST).mapInPandas(lambda frames: (f.assign(key=[anagram_hash(w) for w in f["word"]]) for f in frames), "word string, n bigint, key bigint")
+    frequent = letters.where(F.col("n") >= KNOWN_LEAST).mapInPandas(lambda frames: (f.assign(key=[anagram_hash(w) for w in f["word"]]) for f in frames), "word string, n bigint, key bigint")
     signed = F.col("word").rlike(r"[€†@!|$\d]")
     doubtful = words.where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}.*\p{L}") & F.col("word").rlike(r"[€†@!|$0-9c]|rn|ii|li|ri|vv|cl"))
     keyed = doubtful.mapInPandas(_keys, "word string, n bigint, key bigint")
-    met = keyed.join(frequent.select(F.col("word").alias("meant"), F.col("n").alias("m"), "key"), "key").where(F.col("m") >= F.when(signed, RATIO_SIGNS * F.col("n")).otherwise(RATIO * F.col("n")))
+    met = keyed.join(frequent.select(F.col("word").alias("meant"), F.col("n").alias("m"), "key"), "key")
+    # A word that is hardly seen at all needs no more than a known one to be taken for it.
+    rare = (F.col("n") < KNOWN_LEAST) & (F.length("word") > 3)
+    met = met.where(rare | (F.col("m") >= F.when(signed, RATIO_SIGNS * F.col("n")).otherwise(RATIO * F.col("n"))))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -275,22 +325,13 @@ class _Readings(dict):
 
 
 class Repairer:
-    def __init__(self, misread: dict[str, str | None], known: frozenset[str]) -> None:
+    def __init__(self, misread: dict[str, str | None], known: Container[str]) -> None:
         self.misread, self.known = misread, known
-        self.guesses: dict[str, str | None] = {}
         self.readings = _Readings(self)
 
-    def guess(self, word: str) -> str | None:
-        """What a word that was never counted, as it stands at a broken line, may be a misreading of."""
-        if word not in self.guesses:
-            if len(self.guesses) > 100_000:
-                self.guesses.clear()
-            self.guesses[word] = min((v for v in _variants(word) if v in self.known), default=None) if 3 < len(word) < 30 else None
-        return self.guesses[word]
-
     def whole(self, word: str) -> bool:
         word = word.lower()
-        return word in self.known or (self.misread.get(word) or "") in self.known or self.guess(word) is not None
+        return word in self.known or self.misread.get(word) is not None
 
     def read(self, token: str) -> str | None:
         """What a token should read, if it is misread."""
@@ -299,15 +340,15 @@ class Repairer:
         bare = token.lower().rstrip("!")
         if CODE.match(token) or bare in self.known:
             return None
-        meant = self.misread.get(bare) or self.guess(bare)
-        if meant is None and bare not in self.misread:
+        if bare not in self.misread:
             return None
+        meant = self.misread[bare]
         if meant is None:
             meant = re.sub(f"[{re.escape(SIGNS)}]", lambda m: dict(CONFUSIONS)[m.group()], bare)
         return meant.upper() if token.isupper() and len(token) > 1 else meant.capitalize() if token[0].isupper() else meant
 
-    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool, write: bool = True) -> tuple[str | None, list[str]]:
-        """Readable text, if it is to be written, and the kinds of noise found."""
+    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool) -> tuple[str, list[str]]:
+        """Readable text and the kinds of noise found."""
         found: set[str] = set()
         kept = self._without_edges(text.split("\n"), pages, headers, page_lines, found)
         if len(kept) > 1 and BREAK.search(text):
@@ -315,8 +356,7 @@ class Repairer:
         whole = "\n".join(kept)
         if any(map(self.readings.__getitem__, tokens(whole))):
             found.add("misread")
-            if write:
-                whole = TOKEN.sub(self._fix, whole)
+            whole = TOKEN.sub(self._fix, whole)
         if NUMBER_HINT.search(whole):
 
             def figures(match: re.Match) -> str:
@@ -326,16 +366,18 @@ class Repairer:
                 return _fix_number(match.group())
 
             whole = NUMBER_MISREAD.sub(figures, whole)
-        return unwrap(whole.split("\n")) if write else None, sorted(found)
+        return unwrap(whole.split("\n")), sorted(found)
 
     def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, found: set[str]) -> list[str]:
         kept = []
         for line in lines:
-            if headers and 6 <= len(line) <= 170 and _line_hash(skeleton(line, pages)) in headers:
+            if headers and _line_hash(skeleton(line, pages)) in headers:
                 found.add("running_header")
                 continue
-            if page_lines and len(line) < 40 and PAGE_HINT.search(line):
-                number = PAGE_LINE.match(line) or ROMAN_LINE.match(line)
+            # Without the space and marks around it, no page number is as long as 40.
+            core = line if len(line) < 40 else " ".join(line.split()).strip("-–—|[]() ")
+            if page_lines and len(core) < 40 and PAGE_HINT.search(core):
+                number = PAGE_LINE.match(core) or ROMAN_LINE.match(core)
                 if number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
                     found.add("page_number")
                     continue
@@ -346,22 +388,23 @@ class Repairer:
         """Lines with words that were broken at their ends put together."""
         out: list[str] = []
         taken: dict[int, int] = {}
+        others = {at: follow for at, _, follow in _halves(kept)}
         for at, line in enumerate(kept):
             if at in taken:
                 line = line[taken[at] :].lstrip()
-            broken = BROKEN.search(line) if at + 1 < len(kept) else None
+            broken = BROKEN.search(line) if at in others else None
             if broken:
                 half = broken.group(1)
-                for step in range(1, min(4, len(kept) - at)):
-                    follow = FIRST.match(kept[at + step])
-                    if not follow:
+                for place in others[at]:
+                    follow = FIRST.match(kept[place])
+                    if not follow or place in taken:
                         continue
                     joined = half + follow.group(1)
-                    if self.whole(joined) or (step == 1 and self.closes(half, follow.group(1), broken.group(0))):
+                    if self.whole(joined) or (place == at + 1 and self.closes(half, follow.group(1), broken.group(0))):
                         found.add("hyphenation")
-                        tail = re.match(r"[.,;:!?)\]\"'”]*", kept[at + step][follow.end() :])
+                        tail = re.match(r"[.,;:!?)\]\"'”]*", kept[place][follow.end() :])
                         line = line[: broken.start(1)] + joined + tail.group(0)
-                        taken[at + step] = follow.end() + tail.end()
+                        taken[place] = follow.end() + tail.end()
                         break
             out.append(line)
         return out
@@ -386,6 +429,8 @@ class Repairer:
 def unwrap(lines: list[str]) -> str:
     """Lines that a page width has cut are joined; a line ends a paragraph if it is short or ends a sentence, and a
     list entry begins one."""
+    if len(lines) == 1:
+        return " ".join(filter(None, re.split(r"[ \t]+", lines[0]))).strip() if "  " in lines[0] or "\t" in lines[0] else lines[0].strip()
     out: list[str] = []
     width = max((len(x) for x in lines), default=0)
     open_before = False
@@ -411,40 +456,90 @@ def scanned_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return block.unionByName(native).unionByName(cells).where(F.length("text") > 0)
 
 
-def repair_records(blocks: DataFrame, tables: DataFrame, texts: bool = True) -> DataFrame:
+class _Either:
+    """Members of either of two sets."""
+
+    def __init__(self, one: Container[str], other: Container[str]) -> None:
+        self.one, self.other = one, other
+
+    def __contains__(self, word: object) -> bool:
+        return word in self.one or word in self.other
+
+
+def lookups(text: str) -> set[str]:
+    """All words that the repair of a text may ask the vocabulary for."""
+    words = set(tokens(text))
+    if "\n" in text and BREAK.search(text):
+        words.update(_possible_words(text.split("\n")))
+        words.update(w for joined in list(words) for w in tokens(joined))
+    return {form for w in map(str.lower, words) for form in (w, w.rstrip("!"))}
+
+
+def _with_words(records: DataFrame, vocabulary: DataFrame, frequent: Broadcast) -> DataFrame:
+    """Adds ``words``, an array of (word, meant), of the vocabulary that each text needs beyond the frequent words."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(frequent.value.to_pylist())
+        for batch in batches:
+            wanted = [sorted(lookups(t) - known) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wanted, pa.list_(pa.string()))], names=["rid", "wanted"])
+
+    numbered = written(records.withColumn("rid", F.monotonically_increasing_id()))
+    wanted = numbered.select("rid", "text").mapInArrow(listed, "rid bigint, wanted array<string>").select("rid", F.explode("wanted").alias("word"))
+    found = wanted.join(vocabulary, "word").groupBy("rid").agg(F.collect_list(F.struct("word", "meant")).alias("words"))
+    return numbered.join(found, "rid", "left").drop("rid")
+
+
+def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """(kind, document_id, record_id, clean_text, noise): every block, native text and cell with a text, repaired.
 
-    ``noise`` lists what was found (hyphenation, misread, page_number, running_header); without ``texts``, only records
-    with noise are returned and ``clean_text`` is null. Null and empty texts give no rows; repeated rows stay repeated.
-    Texts are never shuffled unless the documents with headers exceed ``BROADCAST_ROWS``.
+    ``noise`` lists what was found (hyphenation, misread, page_number, running_header). Null and empty texts give no
+    rows; repeated rows stay repeated. Texts are shuffled only if the documents with headers exceed ``BROADCAST_ROWS``
+    or the vocabulary ``vocabulary_bytes``.
     """
     spark = blocks.sparkSession
     records = scanned_records(blocks, tables)
     counted = survey(records)
     words = counted.where("tag = 'w'").select(F.col("k").alias("word"), "n")
     wrong = materialize(corrections(words))
-    known = words.where((F.col("n") >= KNOWN_LEAST) & F.col("word").rlike(r"^\p{L}{2,}$")).join(wrong, "word", "left_anti").select("word")
-    # Vocabularies grow with the number of different words, far slower than the texts; checked before they are sent.
-    if not (small_enough(wrong, 5_000_000) and small_enough(known, 5_000_000)):
-        raise ValueError("too many different words for a broadcast; raise KNOWN_LEAST")
-    misread = {r.word: r.meant for r in wrong.collect()}
-    sent = spark.sparkContext.broadcast((misread, frozenset(r.word for r in known.collect())))
+    known = words.where((F.col("n") >= KNOWN_LEAST) & F.col("word").rlike(r"^\p{L}{2,}$")).join(wrong, "word", "left_anti")
+    # A known word stands for itself.
+    vocabulary = materialize(wrong.select("word", "meant", F.lit(0).cast("long").alias("n")).unionByName(known.select("word", F.col("word").alias("meant"), "n")))
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("word") + F.coalesce(F.octet_length("meant"), F.lit(0)) + 8), F.lit(0))).first()[0]
+    small = size <= vocabulary_bytes
     headers = materialize(running_headers(counted))
     headed = records.join(F.broadcast(headers) if small_enough(headers, BROADCAST_ROWS) else headers, "document_id", "left")
+    if small:
+        sent = spark.sparkContext.broadcast(vocabulary.select("word", "meant").toArrow().combine_chunks())
+        headed = headed.withColumn("words", F.lit(None).cast("array<struct<word:string,meant:string>>"))
+    else:
+        most = vocabulary.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word").toArrow().column(0).combine_chunks()
+        sent = spark.sparkContext.broadcast(most)
+        headed = _with_words(headed, vocabulary.select("word", "meant"), sent)
+
+    def split(pairs: Iterator[tuple[str, str | None]]) -> tuple[dict[str, str | None], frozenset[str]]:
+        pairs = list(pairs)
+        return {w: m for w, m in pairs if w != m}, frozenset(w for w, m in pairs if w == m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(*sent.value)
+        if small:
+            whole = Repairer(*split(zip(*(c.to_pylist() for c in sent.value.columns), strict=True)))
+        else:
+            frequent = frozenset(sent.value.to_pylist())
         none: frozenset[int] = frozenset()
         for batch in batches:
-            kinds, documents, ids, pages, bodies, edges = (batch.column(i).to_pylist() for i in range(6))
-            rows = []
-            for kind, document, id_, page, body, edge in zip(kinds, documents, ids, pages, bodies, edges, strict=True):
-                clean, noise = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell", texts)
-                if texts or noise:
-                    rows.append((kind, document, id_, clean, noise))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "document_id", "record_id", "clean_text", "noise"])
+            kinds, documents, ids, pages, bodies, edges, listed = (batch.column(i).to_pylist() for i in range(7))
+            clean, noise = [], []
+            for kind, page, body, edge, own in zip(kinds, pages, bodies, edges, listed, strict=True):
+                if small:
+                    repairer = whole
+                else:
+                    misread, some = split((w["word"], w["meant"]) for w in own or [])
+                    repairer = Repairer(misread, _Either(frequent, some))
+                text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell")
+                clean.append(text)
+                noise.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(clean, pa.string()), pa.array(noise, pa.list_(pa.string()))], names=["kind", "document_id", "record_id", "clean_text", "noise"])
 
     schema = "kind string, document_id string, record_id string, clean_text string, noise array<string>"
-    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers").mapInArrow(run, schema)
+    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers", "words").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import pytest
 from foliate.llm import scan_noise as S
 
 KNOWN = frozenset("the reminder is scheduled within agreed window connector consolidated permit read only multi tenant and annex for each clerk of".split())
-MISREAD = {"remindcr": "reminder", "consol1dated": "consolidated", "ven€ra": None}
+MISREAD = {"remindcr": "reminder", "corinector": "connector", "consol1dated": "consolidated", "ven€ra": None}
 
 
 def _repair(text, pages=(3,), headers=(), page_lines=True):
@@ -36,7 +36,8 @@ def test_cells_keep_their_figures():
 
 def test_hash_differences():
     for read, meant in S.CONFUSIONS:
-        assert S.anagram_hash("x" + read + "y") + S.DIFFERENCES[read, meant] == S.anagram_hash("x" + meant + "y")
+        assert (S.anagram_hash("x" + read + "y") + S.DIFFERENCES[read, meant]) % S.MODULUS == S.anagram_hash("x" + meant + "y")
+    assert S.anagram_hash("龍" * 300) < 1 << 63
     assert "modern" in S._variants("modern".replace("m", "rn", 1)) and S.roman("xiv") == 14 and S.roman("iiii") is None and S.roman("") is None
 
 
@@ -46,7 +47,7 @@ def test_corrections_need_a_frequent_word(spark):
     assert got == {"remindcr": "reminder", "rerninder": "reminder", "r€m1nder": "reminder", "q€z": None}
 
 
-def test_tables_blocks_and_headers(spark):
+def test_tables_blocks_and_headers(spark, monkeypatch):
     head = "Annex of the monthly permit"
     rows = [("d", f"h{p}", p, f"{p}   {head}" if p % 2 else head.upper()) for p in range(2, 6)] + [("d", "in", 6, f"the permit is scheduled\n{head.replace('m', 'rn', 1)}\nand agreed"), ("e", "x", 1, head), ("d", "n", 2, None), ("d", "s", None, "the remind-\ner is due"), ("d", "h2", 2, head.upper())]
     rows += [("d", f"w{i}", 1, "the reminder is due and the annex of the permit") for i in range(40)]
@@ -58,9 +59,28 @@ def test_tables_blocks_and_headers(spark):
     assert found["block", "e", "x"][0] == [] and found["block", "d", "s"] == (["hyphenation"], "the reminder is due")
     assert found["cell", "d", "c0"] == (["misread"], "reminder") and found["cell", "d", "c2"][0] == [] and found["native_text", "d", "t"][0] == ["page_number"]
     assert ("block", "d", "n") not in found and ("cell", "d", "c1") not in found
+    # A vocabulary that is joined gives the same as one that is sent.
+    monkeypatch.setattr(S, "FREQUENT_WORDS", 3)
+    joined = {(r.kind, r.document_id, r.record_id): (r.noise, r.clean_text) for r in S.repair_records(blocks, tables, vocabulary_bytes=0).collect()}
+    assert joined == found
     assert S.repair_records(blocks.limit(0), tables.limit(0)).count() == 0
 
 
+def test_other_half_at_any_distance():
+    between = "\n".join(f"Unknown Line {i}" for i in range(9))
+    assert _repair(f"the con-\n{between}\nnector is scheduled")[1] == ["hyphenation"]
+    assert _repair("THE CON-\nUnknown line\nUnknown line\nUnknown line\nUnknown line\nNECTOR IS")[1] == ["hyphenation"]
+    long = "Permit for the clerk " * 12
+    assert _repair(long.upper(), headers=[long])[1] == ["running_header"]
+    assert _repair(" " * 60 + "- 3 -" + " " * 60)[1] == ["page_number"]
+
+
+def test_words_of_any_length_and_script(spark):
+    words = [("龍" * 300, 5), ("c" * 40 + "lear", 500), ("c" * 20 + "e" + "c" * 19 + "lear", 2)]
+    got = {r.word: r.meant for r in S.corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert "龍" * 300 not in got
+
+
 def test_two_letter_confusions_and_long_words(spark):
     long = "c" * 16 + "lessness"
     words = [("management", 400), ("rnanagernent", 2), ("reference", 400), ("rcfercnce", 3), (long, 400), (long[:-5] + "n€ss", 1), (long.replace("less", "l€ss"), 2)]

@@ -4,19 +4,22 @@ A text is the multiset of its adjacent word pairs (k-th occurrences count as ele
 and two texts lie d = 1 - |A & B| / max(|A|, |B|) apart, which is a Jaccard-type metric. All pairs with d <= radius
 are found:
 
-* Pivots are the elements themselves, as singleton sets. Weighted by rarity, the pivot nearest to a text is its rarest
-  element, the next nearest the second rarest, and so on; the Voronoi region of a pivot holds the texts nearest to it.
-* Windows: let B miss the k nearest pivots of A. Taking those away moves A by k / |A|, and by the triangle
-  inequality B is at least that far from A. So A is replicated into the regions of its nearest pivots up to the radius,
-  and no further: every pair within the radius meets in the region of its nearest common pivot.
-* Recursion: a region whose pivot is frequent is divided by the next pivots behind it, within what the radius leaves
-  after the elements already known to differ.
+* First division, by elements. Unrelated texts lie almost equally far from every whole text, so that windows around
+  whole texts exclude nothing there (README has figures). A text therefore goes to the regions of its rarest elements,
+  as many as it may lose within the radius and one more: every pair within the radius meets at its rarest common element.
+* Further divisions, of regions above ``region_texts``, by documents. ``PIVOTS`` texts of the region are its pivots; each
+  text belongs to the Voronoi cell of its nearest one. If A belongs to cell j and B to cell i, the triangle inequality
+  gives d(B, j) <= d(B, i) + 2 * radius for every pair within the radius, so a text is replicated into just the cells
+  within that window, and pairs of two replicas are not looked at. Cells above ``region_texts`` are divided again with
+  pivots of their own, as long as that at least halves the pairs to be compared.
+* What cannot be divided so is cut into blocks, and each pair of blocks is a region: no region is held whole by a task.
 * Within a region, sizes (distances to the empty set) and positions bound the overlap, and parity sketches bound the
   symmetric difference from below: popcount(sketch A ^ sketch B) <= |A - B| + |B - A|. All are exact bounds.
 * What is left is verified by the elements.
 
-Rarity comes from a table of hashed counts over all texts, of fixed size however large the collection is; any order
-of pivots gives exact results, a better one smaller regions. Equal texts are joined once, as one representative.
+Rarity comes from a table of hashed counts over all texts, sized to the collection within fixed bounds. It orders the
+elements and says which regions may be large; their true sizes are counted. Any order gives exact results. Equal texts
+are joined once, as one representative.
 """
 
 from __future__ import annotations
@@ -28,17 +31,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize, small_enough, written
 
 LIKENESS = 0.65
 LEAST_WORDS = 8
-#: Counters of the rarity table: fixed, 4 bytes each in the broadcast.
-SLOTS = 1 << 20
-#: A pivot counted more often than this has its region divided by the next pivots.
+#: Bounds of the number of counters of the rarity table, of 4 bytes each in the broadcast: one for each four elements.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 22
+#: A region of more texts is divided.
 REGION_TEXTS = 1000
+#: Documents that divide a region, and rows of a region that one task measures against them.
+PIVOTS = 16
+MEASURED_ROWS = 20_000
 SKETCH_WORDS = 6
 #: Text numbers are broadcast up to so many rows.
 BROADCAST_ROWS = 1_000_000
@@ -81,49 +87,58 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _windows(items: np.ndarray, counts: np.ndarray, likeness: float, region_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Regions that a text belongs to, and for each the number of elements known to differ when pairs meet there."""
-    size = len(items)
-    need = int(least_common(size, likeness))
-    spare = size - need
-    often = counts[(items % np.uint64(SLOTS)).astype(np.int64)]
-    order = np.lexsort((items, often))
-    near = items[order[: spare + 1]]
-    times = often[order[: spare + 1]]
+def _prefix(items: np.ndarray, counts: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest elements of a text, their positions (elements known to differ when a pair meets there first), and
+    how often their counters say that they occur, which is never too low."""
+    spare = len(items) - int(least_common(len(items), likeness))
+    often = counts[(items % np.uint64(len(counts))).astype(np.int64)]
+    order = np.lexsort((items, often))[: spare + 1]
+    times = often[order]
     # An element counted once lies in no other text, so its region holds no pair.
-    cold, hot = times > 1, times > region_texts
-    if not hot.any() or need < 2:
-        return near[cold], np.flatnonzero(cold)
-    cold &= ~hot
-    regions, positions = [near[cold]], [np.flatnonzero(cold)]
-    ranked = items[order]
-    for at in np.flatnonzero(hot):
-        # ``at`` elements differ already, so the second common one is among the next spare - at + 1.
-        after = ranked[at + 1 : spare + 2]
-        regions.append(_mix(after ^ _mix(ranked[at : at + 1] + _C)))
-        positions.append(np.arange(at, at + len(after)))  # one less, as the first pivot is common too
-    return np.concatenate(regions), np.concatenate(positions)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for batch in batches:
-        for words in batch.column(0).to_pylist():
-            np.add.at(counts, (elements(words) % np.uint64(SLOTS)).astype(np.int64), 1)
-    slots = np.flatnonzero(counts)
-    for start in range(0, len(slots), 50_000):
-        part = slots[start : start + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+    met = np.flatnonzero(times > 1)
+    return items[order][met], met, times[met]
+
+
+def _count(slots: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                np.add.at(counts, (elements(words) % np.uint64(slots)).astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        for start in range(0, len(used), 50_000):
+            part = used[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+
+    return run
+
+
+#: ``left``: elements from the position on. ``mark``: REPLICA, and the side of a text in a pair of blocks (FIRST or SECOND).
+BODY = np.dtype([("tid", "<i8"), ("size", "<i4"), ("left", "<i4"), ("sketch", "<u8", (SKETCH_WORDS,)), ("mark", "<i4")])
+REPLICA, FIRST, SECOND = 1, 2, 4
+
 
+def _packed(regions: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * BODY.itemsize)
+    bodies = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(regions), bodies], names=["region", "body"])
 
-POSTING = np.dtype([("region", "<i8"), ("tid", "<i8"), ("size", "<i4"), ("left", "<i4"), ("sketch", "<u8", (SKETCH_WORDS,))])
 
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=BODY)
 
-def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of one region, i < j, that no bound rules out. ``left``: elements from the pivot on."""
+
+def _comparable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Not two replicas, nor two texts of one side of a pair of blocks."""
+    return (a & b & (REPLICA | FIRST | SECOND)) == 0
+
+
+def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, mark: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one region, i < j, that no bound rules out."""
     out_i, out_j = [], []
     order = np.argsort(size, kind="stable")
-    size, left, sketches = size[order], left[order], sketches[order]
+    size, left, sketches, mark = size[order], left[order], sketches[order], mark[order]
+    marked = mark.any()
     n = len(size)
     # Only texts up to size / likeness can be a partner of a smaller one.
     reach = np.searchsorted(size, np.floor(size / likeness + 1e-9), side="right")
@@ -134,6 +149,8 @@ def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, liken
             cols = np.arange(begin, min(begin + 4096, width))
             need = np.ceil(size[cols] * likeness - 1e-9)
             fits = (cols[None, :] > rows[:, None]) & (cols[None, :] < reach[rows][:, None]) & (left[rows][:, None] >= need[None, :]) & (left[cols] >= need)[None, :]
+            if marked:
+                fits &= _comparable(mark[rows][:, None], mark[cols][None, :])
             i, j = np.nonzero(fits)
             if not len(i):
                 continue
@@ -149,18 +166,17 @@ def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, liken
 
 def _join(likeness: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by region; a region may span batches."""
-        held: np.ndarray | None = None
+        """Rows come sorted by region; a region, which has at most two blocks of texts, may span batches."""
+        held: tuple[np.ndarray, np.ndarray] | None = None
 
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            region = rows["region"]
+        def pairs(region: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
             ends = np.append(starts[1:], len(rows))
             many = ends - starts > 1
             found_a, found_b = [], []
             for a, b in zip(starts[many], ends[many], strict=True):
                 part = rows[a:b]
-                i, j = _join_region(part["size"], part["left"], part["sketch"], likeness)
+                i, j = _join_region(part["size"], part["left"], part["sketch"], part["mark"], likeness)
                 if len(i):
                     x, y = part["tid"][i], part["tid"][j]
                     found_a.append(np.minimum(x, y))
@@ -171,24 +187,118 @@ def _join(likeness: float):  # noqa: ANN202
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            rows = np.empty(batch.num_rows, dtype=POSTING)
-            rows["region"] = batch.column(0).to_numpy()
-            packed = b"".join(batch.column(1).to_pylist())
-            body = np.frombuffer(packed, dtype=np.dtype([("tid", "<i8"), ("size", "<i4"), ("left", "<i4"), ("sketch", "<u8", (SKETCH_WORDS,))]))
-            for name in ("tid", "size", "left", "sketch"):
-                rows[name] = body[name]
-            rows = rows if held is None else np.concatenate([held, rows])
-            last = rows["region"][-1]
-            cut = np.searchsorted(rows["region"], last)
-            held = rows[cut:]
+            region, rows = batch.column(0).to_numpy(), _unpacked(batch.column(1))
+            if held is not None:
+                region, rows = np.concatenate([held[0], region]), np.concatenate([held[1], rows])
+            cut = np.searchsorted(region, region[-1])
+            held = region[cut:], rows[cut:]
             if cut:
-                yield from pairs(rows[:cut])
-        if held is not None and len(held):
-            yield from pairs(held)
+                yield from pairs(region[:cut], rows[:cut])
+        if held is not None:
+            yield from pairs(*held)
 
     return run
 
 
+def _measure(radius: float):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (region, part, pivot, tid, words, body) sorted by region and part, pivots (``pivot`` >= 0) first in each:
+        a row for each Voronoi cell that a text belongs to or is replicated into."""
+        here: tuple | None = None
+        pivots: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            out: dict[str, list] = {"region": [], "cell": [], "own": [], "tid": [], "body": []}
+            for region, part, pivot, tid, words, body in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (region, part) != here:
+                    here, pivots = (region, part), []
+                items = elements(words)
+                if pivot >= 0:
+                    pivots.append((pivot, items))
+                    continue
+                apart = np.array([1 - len(np.intersect1d(items, p, assume_unique=True)) / max(len(items), len(p)) for _, p in pivots])
+                nearest = int(apart.argmin())
+                for at in np.flatnonzero(apart <= apart[nearest] + 2 * radius + 1e-9):
+                    out["region"].append(region)
+                    out["cell"].append(pivots[at][0])
+                    out["own"].append(bool(at == nearest))
+                    out["tid"].append(tid)
+                    out["body"].append(body)
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    return run
+
+
+def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bodies with REPLICA where ``own`` is false; a text that was a replica once stays one."""
+    for batch in batches:
+        rows = _unpacked(batch.column(2)).copy()
+        rows["mark"] |= np.where(batch.column(1).to_numpy(zero_copy_only=False), 0, REPLICA).astype(np.int32)
+        yield _packed(batch.column(0).to_numpy(), rows)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, body, blocks) to a row for each pair of blocks that a text takes part in."""
+    for batch in batches:
+        regions, rows = batch.column(0).to_numpy(), _unpacked(batch.column(1))
+        for region, row, blocks in zip(regions, rows, batch.column(2).to_pylist(), strict=True):
+            mine = int(_mix(np.array([row["tid"]]).view(np.uint64))[0] % np.uint64(blocks))
+            out = np.repeat(row, blocks)
+            other = np.arange(blocks)
+            out["mark"] |= np.where(other == mine, 0, np.where(other > mine, FIRST, SECOND)).astype(np.int32)
+            cells = (np.minimum(other, mine) * blocks + np.maximum(other, mine)).astype(np.uint64)
+            yield _packed(_mix(cells * _A + _mix(np.array([region]).view(np.uint64) + _C)).view(np.int64), out)
+
+
+POSTINGS = "region bigint, body binary"
+
+
+def _sized(postings: DataFrame, region_texts: int) -> DataFrame:
+    """(region, texts) of the regions above ``region_texts``."""
+    return postings.groupBy("region").agg(F.count("*").alias("texts")).where(F.col("texts") > region_texts)
+
+
+def divided(postings: DataFrame, texts: DataFrame, likeness: float, region_texts: int) -> DataFrame:
+    """The same postings in regions of at most ``region_texts``, or two blocks of that: by documents as pivots as long as
+    their windows exclude enough, then in blocks.
+
+    ``postings`` (region, body) is materialized; ``texts`` has tid and words.
+    """
+    done: list[DataFrame] = []
+    number = F.conv(F.hex(F.reverse(F.substring("body", 1, 8))), 16, 10).cast("bigint")
+    level = 0
+    while True:
+        sizes = materialize(_sized(postings, region_texts))
+        done.append(postings.join(sizes, "region", "left_anti"))
+        if sizes.isEmpty():
+            break
+        large = materialize(postings.join(sizes, "region").select("region", "body", "texts", number.alias("tid")))
+        # The pivots of a region are its texts of least hash, other ones on each level.
+        drawn = F.struct(F.xxhash64("tid", F.lit(level)).alias("h"), "tid")
+        ranked = large.select("region", drawn.alias("x"), F.pmod(F.xxhash64("tid", F.lit(-1)), F.lit(64)).alias("slice"))
+        best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("region", "slice").orderBy("x"))).where(F.col("r") <= PIVOTS)
+        best = best.withColumn("pivot", F.row_number().over(Window.partitionBy("region").orderBy("x")) - 1).where(F.col("pivot") < PIVOTS)
+        parts = F.ceil(F.col("texts") / MEASURED_ROWS)
+        pivots = best.join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "pivot", "x.tid", F.lit(b"").alias("body"))
+        rows = large.select("region", F.pmod(F.xxhash64("tid", F.lit(-2)), parts).alias("part"), F.lit(-1).alias("pivot"), "tid", "body").unionByName(pivots)
+        rows = rows.join(texts.select("tid", "words"), "tid").select("region", "part", "pivot", "tid", "words", "body")
+        rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", F.desc("pivot"))
+        cells = materialize(rows.mapInArrow(_measure(1 - likeness), "region bigint, cell int, own boolean, tid bigint, body binary"))
+        # Pairs to be compared in the cells, against those in the undivided region.
+        work = cells.groupBy("region", "cell").agg(F.count_if("own").cast("double").alias("own"), F.count("*").cast("double").alias("all"))
+        work = work.groupBy("region").agg(F.sum(F.col("own") * F.col("all")).alias("work")).join(sizes, "region")
+        worth = materialize(work.where(F.col("work") * 2 <= F.col("texts").cast("double") * F.col("texts")).select("region"))
+        whole = large.join(worth, "region", "left_anti").select("region", "body", F.ceil(F.col("texts") / region_texts).cast("int").alias("blocks"))
+        done.append(whole.mapInArrow(_blocks, POSTINGS))
+        inner = cells.join(worth, "region").select(F.xxhash64("region", "cell").alias("region"), "own", "body")
+        postings = materialize(inner.mapInArrow(_replicas, POSTINGS))
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def normal_words(text: Column) -> Column:
     """The words of a text (runs of a-z and 0-9 after lower-casing), separated by blanks."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -216,34 +326,43 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
     """
     spark = texts.sparkSession
     kinds = texts.withColumn("words", F.col("words"))
-    counted = kinds.select("words").mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = np.zeros(SLOTS, dtype=np.int32)
-    table = counted.toArrow()  # at most SLOTS rows
+    pairs = F.length("words") - F.length(F.translate("words", " ", ""))
+    total = kinds.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0]
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (total // 4).bit_length()))
+    counted = kinds.select("words").mapInArrow(_count(slots), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(slots, dtype=np.int32)
+    table = counted.toArrow()  # at most MOST_SLOTS rows
     counts[table.column("slot").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
     sent = spark.sparkContext.broadcast(counts)
-    body = np.dtype([("tid", "<i8"), ("size", "<i4"), ("left", "<i4"), ("sketch", "<u8", (SKETCH_WORDS,))])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 200):
-                batch = whole.slice(start, 200)
-                regions, bodies = [], []
-                for tid, kind, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    items = elements(words)
-                    near, position = _windows(items, table, likeness, region_texts)
-                    rows = np.empty(len(near), dtype=body)
-                    rows["tid"], rows["size"], rows["left"], rows["sketch"] = tid, len(items), len(items) - position, sketch(items)
-                    regions.append(_mix(near + _mix(np.array([_word(kind)], dtype=np.uint64))).view(np.int64))
-                    bodies.append(rows)
-                if not regions:
-                    continue
-                packed = np.concatenate(bodies)
-                offsets = pa.py_buffer(np.arange(len(packed) + 1, dtype=np.int32) * body.itemsize)
-                column = pa.Array.from_buffers(pa.binary(), len(packed), [None, offsets, pa.py_buffer(packed.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), column], names=["region", "body"])
 
-    postings = kinds.select("tid", "kind", "words").mapInArrow(post, "region bigint, body binary")
+    def post(large: bool):  # noqa: ANN202
+        """Postings in regions that may be above ``region_texts``, or in all others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 200):
+                    batch = whole.slice(start, 200)
+                    regions, bodies = [], []
+                    for tid, kind, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                        items = elements(words)
+                        near, position, times = _prefix(items, sent.value, likeness)
+                        chosen = (times > region_texts) == large
+                        if not chosen.any():
+                            continue
+                        near, position = near[chosen], position[chosen]
+                        rows = np.zeros(len(near), dtype=BODY)
+                        rows["tid"], rows["size"], rows["left"], rows["sketch"] = tid, len(items), len(items) - position, sketch(items)
+                        regions.append(_mix(near + _mix(np.array([_word(kind)], dtype=np.uint64))).view(np.int64))
+                        bodies.append(rows)
+                    if regions:
+                        yield _packed(np.concatenate(regions), np.concatenate(bodies))
+
+        return run
+
+    postings = kinds.select("tid", "kind", "words").mapInArrow(post(False), POSTINGS)
+    if (counts > region_texts).any():
+        may_be_large = materialize(kinds.select("tid", "kind", "words").mapInArrow(post(True), POSTINGS))
+        postings = postings.unionByName(divided(may_be_large, kinds, likeness, region_texts))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     met = postings.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join(likeness), "a bigint, b bigint").distinct()
     met = materialize(met)

@@ -44,7 +44,7 @@ def _rows(seed, n):
     return [*rows, ("x", "null", None), ("x", "empty", ""), ("x", "one", "a b c d e f g"), ("x", "c1", "a a a a a a a a a"), ("x", "c2", "a a a a a a a a a a"), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize(("seed", "region"), [(1, 1000), (2, 3), (3, 12)])
+@pytest.mark.parametrize(("seed", "region"), [(1, 1000), (2, 3), (3, 12), (4, 40)])
 def test_equals_brute_force(spark, seed, region):
     rows = _rows(seed, 260)
     df = spark.createDataFrame([(*r, 1) for r in rows], "kind string, id string, text string, a int")
@@ -84,3 +84,48 @@ def test_components_run_until_they_settle(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(chain).collect()}
     assert got == {i: 0 for i in range(1, 51)}
+
+
+def _clusters(n, groups, edits, seed=9):
+    """Texts of one region: all share an opening, and the texts of a group nearly everything."""
+    rng = random.Random(seed)
+    cores = [[f"g{g}w{i}" for i in range(40)] for g in range(groups)]
+    rows = []
+    for i in range(n):
+        words = list(cores[i % groups])
+        for _ in range(edits):
+            words[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+        rows.append(("x", f"id{i}", " ".join(["the same rare opening", *words])))
+    return rows
+
+
+def test_documents_divide_large_regions(spark):
+    rows = _clusters(240, 6, 1)
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    members, texts = near_duplicates.distinct_texts(df)
+    body = lambda tid, n: near_duplicates.np.array([(tid, n, n, near_duplicates.np.zeros(6, "<u8"), 0)], dtype=near_duplicates.BODY).tobytes()
+    postings = spark.createDataFrame([(7, bytearray(body(r.tid, len(r.words.split()) - 1))) for r in texts.collect()], near_duplicates.POSTINGS)
+    out = near_duplicates.divided(postings, texts, 0.65, 60).collect()
+    sizes = Counter(r.region for r in out)
+    # Six groups of forty: the windows keep them apart, so that a text is replicated among the pivots of its group only.
+    assert max(sizes.values()) <= 60 and len(out) < 5 * 240
+    got = {tuple(r) for r in near_duplicates.similar_records(df, region_texts=60).collect()}
+    assert got == _brute(set(rows))
+
+
+def test_a_region_that_cannot_be_divided_is_cut_into_blocks(spark):
+    rows = _clusters(150, 1, 3)
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    members, texts = near_duplicates.distinct_texts(df)
+    body = lambda tid, n: near_duplicates.np.array([(tid, n, n, near_duplicates.np.zeros(6, "<u8"), 0)], dtype=near_duplicates.BODY).tobytes()
+    postings = spark.createDataFrame([(7, bytearray(body(r.tid, len(r.words.split()) - 1))) for r in texts.collect()], near_duplicates.POSTINGS)
+    sizes = Counter(r.region for r in near_duplicates.divided(postings, texts, 0.65, 30).collect())
+    assert len(sizes) == 5 * 6 // 2 and max(sizes.values()) < 100
+    got = {tuple(r) for r in near_duplicates.similar_records(df, region_texts=30).collect()}
+    assert got == _brute(set(rows)) and len(got) > 5000
+
+
+def test_postings_do_not_grow_with_the_counters():
+    items = near_duplicates.elements(" ".join(f"w{i}" for i in range(121)))
+    few, many = (near_duplicates._prefix(items, near_duplicates.np.full(1 << 20, n, dtype="i4"), 0.65) for n in (2, 10**6))
+    assert len(few[0]) == len(many[0]) == 120 - 78 + 1

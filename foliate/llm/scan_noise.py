@@ -42,7 +42,6 @@ SIGNS = "€†@!|$"
 HYPHENS = "-­¬‐‑"
 TOKEN = re.compile(rf"[^\W_{re.escape(SIGNS)}](?:[^\W_]|[{re.escape(SIGNS)}])*|[{re.escape(SIGNS)}](?=[^\W\d_])(?:[^\W_]|[{re.escape(SIGNS)}])+")
 ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+")
-HAS_SIGN = re.compile(rf"[{re.escape(SIGNS)}]")
 BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[{re.escape(SIGNS)}])*)[ ]?[{HYPHENS}][ \t]*$")
 BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n")
 FIRST = re.compile(rf"^\s*((?:[^\W_]|[{re.escape(SIGNS)}])+)")
@@ -52,7 +51,7 @@ NUMBER_MISREAD = re.compile(r"(?<![\w.,-])(?=[lIOoSB|.,]*\d)(?=[\d.,]*[lIOoSB|])
 PAGE_LINE = re.compile(r"^[\s\-–—|\[(]*(?:(?:pages?|pag\.?|p\.?|seite|s\.|página|pág\.?)\s*)?[\s\[(]*(\d{1,6})[\s\])]*(?:(?:of|/|von|sur|de)\s*\d{1,6})?[\s\-–—|\])]*$", re.IGNORECASE)
 PAGE_HINT = re.compile(r"\d[^A-Za-z]*$|^[^A-Za-z]*[ivxlc]{1,8}[^A-Za-z]*$")
 ROMAN_LINE = re.compile(r"^[\s\-–—|\[(]*([ivxlc]+)[\s\-–—|\])]*$")
-NUMBER_HINT = re.compile(r"[lIOoSB|][.,]?\d|\d[.,]?[lIOoSB|]")
+NUMBER_HINT = re.compile(r"\d(?:[.,]?[lIOoSB|]|(?<=[lIOoSB|]\d)|(?<=[lIOoSB|][.,]\d))")
 HEADER_PAGES = 3
 #: A frequent word is at least so many times as frequent as a misreading of it; fewer suffice if signs or digits
 #: stand among its letters.
@@ -68,7 +67,8 @@ COUNTER_WORDS = 300_000
 
 def tokens(text: str) -> list[str]:
     """Words with what a scan may have put between their letters; plain words are found by a plain pattern."""
-    return ASCII_TOKEN.findall(text) if text.isascii() and not HAS_SIGN.search(text) else TOKEN.findall(text)
+    plain = text.isascii() and "!" not in text and "|" not in text and "@" not in text and "$" not in text
+    return ASCII_TOKEN.findall(text) if plain else TOKEN.findall(text)
 
 
 MODULUS = 1 << 63
@@ -89,8 +89,12 @@ DIFFERENCES = {(read, meant): (anagram_hash(meant) - anagram_hash(read)) % MODUL
 
 _FRONT = re.compile(r"(\d+) *[|:.–—-]* +(.*)$")
 _BACK = re.compile(r"(.*?) *[|–—-]* +(\d+)$")
-#: Each character as what all its readings share, so that a letter and the letters it is read as come out alike.
-_PLAIN = str.maketrans({"€": "e", "c": "e", "†": "t", "@": "a", "!": "i", "|": "i", "1": "i", "l": "i", "0": "o", "5": "s", "6": "b", "8": "b", "9": "g", "$": "s", "3": "e", "4": "a", "7": "t", "m": "rri", "n": "ri", "h": "ii", "u": "ii", "w": "vv", "d": "ei"})
+#: Each character as what all its readings share, so that a letter and the letters it is read as come out alike. Signs
+#: for signs are exchanged at once, which is fast in ASCII; letters that stand for two are replaced before.
+_PLAIN = str.maketrans({"€": "e", "c": "e", "†": "t", "@": "a", "!": "i", "|": "i", "1": "i", "l": "i", "0": "o", "5": "s", "6": "b", "8": "b", "9": "g", "$": "s", "3": "e", "4": "a", "7": "t"})
+_ASCII_PLAIN = _PLAIN | {i: " " for i in range(128) if not chr(i).isalnum() and i not in _PLAIN}
+_WIDE = (("m", "rri"), ("n", "ri"), ("h", "ii"), ("u", "ii"), ("w", "vv"), ("d", "ei"))
+_NO_LETTER = {i: None for i in range(128) if not chr(i).isalnum()}
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -101,7 +105,9 @@ def skeleton(line: str, pages: list[int]) -> str:
         text = found.group(2)
     elif text[-1:].isdigit() and (found := _BACK.match(text)) and int(found.group(2)) in pages:
         text = found.group(1)
-    return _OTHER.sub(" ", text.translate(_PLAIN)).strip()
+    for letter, two in _WIDE:
+        text = text.replace(letter, two)
+    return " ".join(text.translate(_ASCII_PLAIN).split()) if text.isascii() else _OTHER.sub(" ", text.translate(_PLAIN)).strip()
 
 
 def _line_hash(text: str) -> int:
@@ -109,7 +115,8 @@ def _line_hash(text: str) -> int:
 
 
 def _edge_lines(text: str, page: int | None) -> Iterator[tuple[int, int]]:
-    """(hash, alone) of the lines of a block that may be running headers."""
+    """(hash, weight) of the lines of a block that may be running headers: twice the length of the skeleton, and one more
+    if the line stands alone."""
     if page is None:
         return
     lines = text.split("\n")
@@ -118,7 +125,7 @@ def _edge_lines(text: str, page: int | None) -> Iterator[tuple[int, int]]:
         if s and s[-1] not in ".,;:?!":
             bare = skeleton(s, [page])
             if " " in bare:
-                yield _line_hash(bare), int(len(lines) == 1)
+                yield _line_hash(bare), 2 * len(bare) + int(len(lines) == 1)
 
 
 def _halves(lines: list[str]) -> Iterator[tuple[int, re.Match, list[int]]]:
@@ -205,13 +212,14 @@ def survey(records: DataFrame) -> DataFrame:
     A document of any size is only aggregated: by line and page here, by line in :func:`running_headers`.
     """
     rows = records.select(F.when(F.col("kind") == "block", F.col("document_id")).alias("d"), F.col("pages")[0].alias("p"), "text")
-    return materialize(rows.mapInArrow(_count, "tag string, k string, h bigint, page int, n bigint").groupBy("tag", "k", "h", "page").agg(F.sum("n").alias("n")))
+    return materialize(rows.mapInArrow(_count, "tag string, k string, h bigint, page int, n bigint").groupBy("tag", "k", "h", "page").agg(F.when(F.col("tag") == "w", F.sum("n")).otherwise(F.max("n")).alias("n")))
 
 
 def running_headers(counted: DataFrame) -> DataFrame:
-    """(document_id, headers): hashes of the running header lines of each document that has any."""
-    lines = counted.where("tag = 'h'").groupBy(F.col("k").alias("document_id"), "h").agg(F.count("*").alias("pages"), F.max("n").alias("alone"))
-    return lines.where((F.col("pages") >= HEADER_PAGES) & (F.col("alone") > 0)).groupBy("document_id").agg(F.collect_set("h").alias("headers"))
+    """(document_id, headers, longest): hashes of the running header lines of each document that has any, and the length of
+    the longest skeleton."""
+    lines = counted.where("tag = 'h'").groupBy(F.col("k").alias("document_id"), "h").agg(F.count("*").alias("pages"), F.max("n").alias("weight"))
+    return lines.where((F.col("pages") >= HEADER_PAGES) & (F.col("weight") % 2 == 1)).groupBy("document_id").agg(F.collect_set("h").alias("headers"), F.max(F.expr("weight div 2")).cast("int").alias("longest"))
 
 
 def _sites(word: str) -> list[tuple[int, str, str]]:
@@ -347,10 +355,10 @@ class Repairer:
             meant = re.sub(f"[{re.escape(SIGNS)}]", lambda m: dict(CONFUSIONS)[m.group()], bare)
         return meant.upper() if token.isupper() and len(token) > 1 else meant.capitalize() if token[0].isupper() else meant
 
-    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool) -> tuple[str, list[str]]:
+    def repair(self, text: str, pages: list[int], headers: frozenset[int], page_lines: bool, longest: int = 1 << 30) -> tuple[str, list[str]]:
         """Readable text and the kinds of noise found."""
         found: set[str] = set()
-        kept = self._without_edges(text.split("\n"), pages, headers, page_lines, found)
+        kept = self._without_edges(text.split("\n"), pages, headers, page_lines, longest, found)
         if len(kept) > 1 and BREAK.search(text):
             kept = self._joined(kept, found)
         whole = "\n".join(kept)
@@ -368,14 +376,20 @@ class Repairer:
             whole = NUMBER_MISREAD.sub(figures, whole)
         return unwrap(whole.split("\n")), sorted(found)
 
-    def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, found: set[str]) -> list[str]:
+    def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, longest: int, found: set[str]) -> list[str]:
         kept = []
+        # A skeleton is no shorter than the letters and figures of its line, apart from a page number.
+        most = longest + max((len(str(p)) for p in pages), default=0)
         for line in lines:
-            if headers and _line_hash(skeleton(line, pages)) in headers:
+            if headers and (len(line) <= most or len(line.translate(_NO_LETTER) if line.isascii() else _OTHER.sub("", line)) <= most) and _line_hash(skeleton(line, pages)) in headers:
                 found.add("running_header")
                 continue
             # Without the space and marks around it, no page number is as long as 40.
-            core = line if len(line) < 40 else " ".join(line.split()).strip("-–—|[]() ")
+            core = line
+            if len(core) >= 40:
+                core = core.strip(" \t-–—|[]()")
+                if len(core) >= 40 and ("  " in core or "\t" in core):
+                    core = " ".join(core.split())
             if page_lines and len(core) < 40 and PAGE_HINT.search(core):
                 number = PAGE_LINE.match(core) or ROMAN_LINE.match(core)
                 if number and (int(number.group(1)) if number.group(1).isdigit() else roman(number.group(1))) in pages:
@@ -426,6 +440,10 @@ class Repairer:
         return half[0].isupper() and half[1:].islower() and other[0].islower() and half.lower() not in self.known
 
 
+_BLANKS = re.compile(r"[ \t]+")
+_ENTRY = re.compile(r"(?:[-*•·–]|\d+[.)]|[a-z][.)]|\[[ x]\])\s")
+
+
 def unwrap(lines: list[str]) -> str:
     """Lines that a page width has cut are joined; a line ends a paragraph if it is short or ends a sentence, and a
     list entry begins one."""
@@ -435,11 +453,11 @@ def unwrap(lines: list[str]) -> str:
     width = max((len(x) for x in lines), default=0)
     open_before = False
     for line in lines:
-        s = re.sub(r"[ \t]+", " ", line).strip()
+        s = (_BLANKS.sub(" ", line) if "  " in line or "\t" in line else line).strip()
         if not s:
             open_before = False
             continue
-        if open_before and not re.match(r"(?:[-*•·–]|\d+[.)]|[a-z][.)]|\[[ x]\])\s", s):
+        if open_before and not _ENTRY.match(s):
             out[-1] += " " + s
         else:
             out.append(s)
@@ -528,18 +546,18 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
             frequent = frozenset(sent.value.to_pylist())
         none: frozenset[int] = frozenset()
         for batch in batches:
-            kinds, documents, ids, pages, bodies, edges, listed = (batch.column(i).to_pylist() for i in range(7))
+            kinds, documents, ids, pages, bodies, edges, longest, listed = (batch.column(i).to_pylist() for i in range(8))
             clean, noise = [], []
-            for kind, page, body, edge, own in zip(kinds, pages, bodies, edges, listed, strict=True):
+            for kind, page, body, edge, most, own in zip(kinds, pages, bodies, edges, longest, listed, strict=True):
                 if small:
                     repairer = whole
                 else:
                     misread, some = split((w["word"], w["meant"]) for w in own or [])
                     repairer = Repairer(misread, _Either(frequent, some))
-                text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell")
+                text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell", most or 0)
                 clean.append(text)
                 noise.append(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(clean, pa.string()), pa.array(noise, pa.list_(pa.string()))], names=["kind", "document_id", "record_id", "clean_text", "noise"])
 
     schema = "kind string, document_id string, record_id string, clean_text string, noise array<string>"
-    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers", "words").mapInArrow(run, schema)
+    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers", "longest", "words").mapInArrow(run, schema)

@@ -63,6 +63,8 @@ VOCABULARY_BYTES = 64_000_000
 #: Known words that are sent in any case, so that only rarer ones have to be joined to large vocabularies.
 FREQUENT_WORDS = 100_000
 COUNTER_WORDS = 300_000
+#: Cells that a task remembers, and the longest of them.
+REMEMBERED_CELLS, CELL_CHARACTERS = 100_000, 80
 
 
 def tokens(text: str) -> list[str]:
@@ -164,6 +166,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (tag w: word, n) and of possible header lines (tag h: document, hash, page, alone)."""
     counts: Counter = Counter()
     edges: dict[tuple, int] = {}
+    plain: dict[bool, list[str]] = {True: [], False: []}
     for batch in batches:
         for document, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if document is not None:
@@ -181,7 +184,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for word in _possible_words(text.split("\n")):
                     counts[word] += 0
             else:
-                counts.update(tokens(text))
+                plain[text.isascii()].append(text)
+        for texts in plain.values():
+            # No token holds a line end, so that texts without broken lines are read at once.
+            counts.update(tokens("\n".join(texts)))
+            texts.clear()
         if len(counts) + len(edges) > COUNTER_WORDS:
             yield _flushed(counts, edges)
     if counts or edges:
@@ -545,6 +552,7 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
         else:
             frequent = frozenset(sent.value.to_pylist())
         none: frozenset[int] = frozenset()
+        cells: dict[str, tuple[str, list[str]]] = {}
         for batch in batches:
             kinds, documents, ids, pages, bodies, edges, longest, listed = (batch.column(i).to_pylist() for i in range(8))
             clean, noise = [], []
@@ -554,7 +562,15 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
                 else:
                     misread, some = split((w["word"], w["meant"]) for w in own or [])
                     repairer = Repairer(misread, _Either(frequent, some))
-                text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge and kind != "cell" else none, kind != "cell", most or 0)
+                if kind == "cell":
+                    # Nothing but its text decides on a cell, and short ones are often repeated.
+                    text, found = cells.get(body) or repairer.repair(body, [], none, False)
+                    if small and len(body) <= CELL_CHARACTERS:
+                        if len(cells) >= REMEMBERED_CELLS:
+                            cells.clear()
+                        cells[body] = text, found
+                else:
+                    text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge else none, True, most or 0)
                 clean.append(text)
                 noise.append(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(clean, pa.string()), pa.array(noise, pa.list_(pa.string()))], names=["kind", "document_id", "record_id", "clean_text", "noise"])

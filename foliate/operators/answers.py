@@ -14,8 +14,9 @@ PAYLOAD = StructType([StructField("answer_text", StringType()), StructField("cit
 #: Characters that a token of a prompt takes, where no tokenizer is at hand.
 TOKEN_CHARACTERS = 4
 BRACKET = r"\[([^\[\]]*)\]"
-ATTEMPT = r"(?i)^\s*(?:E|SOURCE)\s*[0-9]"
-WELL_FORMED = r"^\s*E[0-9]+(?:\s*,\s*E[0-9]+)*\s*$"
+#: What tries to cite, and what does so well.
+ATTEMPT = r"(?i)^\s*(?:E|SOURCE)[0-9]"
+WELL_FORMED = r"^\s*E[1-9][0-9]*(?:\s*,\s*E[1-9][0-9]*)*\s*$"
 
 
 def build_prompt(question: Column, context: Column) -> Column:

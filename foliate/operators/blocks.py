@@ -18,10 +18,16 @@ def content_order(page: str = "page_number", order: str = "reading_order_index")
     return [F.coalesce(F.nullif(F.col(page), F.lit(0)), F.lit(LAST)), F.coalesce(F.col(order), F.lit(LAST))]
 
 
-def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per (document_id, block_id): redelivered rows differ in the time of arrival only, the first wins."""
-    columns = [c for c in blocks.columns if c not in {"document_id", "block_id"}]
-    first = F.min_by(F.struct(*columns), F.col("ingested_at")).alias("r") if "ingested_at" in columns else F.min(F.struct(*columns)).alias("r")
+def distinct_blocks(blocks: DataFrame, *wanted: str) -> DataFrame:
+    """One row per (document_id, block_id): redelivered rows differ in the time of arrival only, the first wins; of
+    several that arrived at once, the least.
+
+    With ``wanted`` columns, only those are read and shuffled.
+    """
+    columns = list(wanted) or [c for c in blocks.columns if c not in {"document_id", "block_id"}]
+    plain = [c for c in columns if c != "ingested_at"]
+    order = F.struct(*[F.col(c) for c in ("ingested_at", *plain) if c in blocks.columns])
+    first = F.min_by(F.struct(*columns), order).alias("r") if len(plain) else F.min(F.struct(*columns)).alias("r")
     return blocks.groupBy("document_id", "block_id").agg(first).select("document_id", "block_id", "r.*")
 
 

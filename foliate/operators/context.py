@@ -16,12 +16,12 @@ def page_label(start: Column, end: Column) -> Column:
 
 
 def render_evidence(label: Column) -> Column:
-    """One passage with its head; lines without a value are left out."""
+    """One passage with its head. A passage outside all sections says so; there is no line for notes where there are none."""
     head = F.concat_ws(
         "\n",
         F.concat(F.lit("["), label, F.lit("]")),
         F.concat(F.lit("Document: "), F.col("document_id")),
-        F.when(F.size("section_path") > 0, F.concat(F.lit("Section: "), F.array_join("section_path", " > "))),
+        F.concat(F.lit("Section: "), F.when(F.size("section_path") > 0, F.array_join("section_path", " > ")).otherwise("NONE")),
         F.concat(F.lit("Pages: "), page_label(F.col("page_start"), F.col("page_end"))),
         F.concat(F.lit("Content type: "), F.col("content_type")),
         F.concat(F.lit("Chunk ID: "), F.col("chunk_id")),

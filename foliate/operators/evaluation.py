@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 CUTOFFS = (1, 3, 5)
@@ -36,13 +36,46 @@ def matches_locator(chunk: str = "c", locator: str = "l") -> Column:
     return F.coalesce((absent("block_id") | F.array_contains(c("source_block_ids"), l("block_id"))) & (absent("table_id") | F.array_contains(c("source_table_ids"), l("table_id"))) & (blank("section_path") | (c("section_path") == l("section_path"))) & pages & anchors, F.lit(False))
 
 
+def normalised(chunks: DataFrame) -> DataFrame:
+    """Chunks with their texts normalised, each once however often a chunk is ranked."""
+    return chunks.withColumn("text", normalise(F.col("text")))
+
+
+def normalised_anchors(locators: DataFrame) -> DataFrame:
+    """Locators with their anchors normalised; null anchors are left out of the list."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda x: None if x is None else [" ".join(unicodedata.normalize("NFKC", t).split()) for t in x if t is not None])
+
+    return locators.withColumn("anchors", run(F.col("anchors")))
+
+
+def label_ranks(rankings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, fact_id, first_rank) for labels of the first form: a list of chunk ids or, only where there is none, of
+    sections or pages of one document.
+
+    ``labels`` has query_id, fact_id, document_id, chunk_ids, section_ids and pages; lists may be null or empty. A label
+    of nothing matches nothing.
+    """
+    c, l = rankings.alias("c"), labels.alias("l")  # noqa: E741
+    given = lambda name: F.coalesce(F.size(f"l.{name}") > 0, F.lit(False))
+    section = given("section_ids") & F.coalesce(F.array_contains("l.section_ids", F.col("c.section_id")), F.lit(False))
+    page = given("pages") & F.exists("l.pages", lambda p: (p >= F.col("c.page_start")) & (p <= F.col("c.page_end")))
+    fits = F.when(given("chunk_ids"), F.array_contains("l.chunk_ids", F.col("c.chunk_id"))).otherwise(section | page)
+    met = l.join(c, (F.col("c.query_id") == F.col("l.query_id")) & (F.col("c.document_id") == F.col("l.document_id")) & F.coalesce(fits, F.lit(False)))
+    first = met.groupBy(F.col("l.query_id").alias("query_id"), F.col("l.fact_id").alias("fact_id")).agg(F.min("c.rank").alias("first_rank"))
+    return labels.select("query_id", "fact_id").distinct().join(first, ["query_id", "fact_id"], "left")
+
+
 def fact_ranks(rankings: DataFrame, locators: DataFrame) -> DataFrame:
     """(query_id, fact_id, first_rank): the first passage that shows a fact, null if none does.
 
     ``rankings`` has query_id, rank and chunk columns; ``locators`` query_id, document_id, fact_id and the clauses.
-    Passages of another document never match.
+    Passages of another document never match. Texts and anchors are compared as :func:`normalise` leaves them.
     """
-    c, l = rankings.alias("c"), locators.alias("l")  # noqa: E741
+    c, l = normalised(rankings).alias("c"), normalised_anchors(locators).alias("l")  # noqa: E741
     met = l.join(c, (F.col("c.query_id") == F.col("l.query_id")) & (F.col("c.document_id") == F.col("l.document_id")) & matches_locator())
     first = met.groupBy(F.col("l.query_id").alias("query_id"), F.col("l.fact_id").alias("fact_id")).agg(F.min("c.rank").alias("first_rank"))
     return locators.select("query_id", "fact_id").distinct().join(first, ["query_id", "fact_id"], "left")
@@ -76,9 +109,48 @@ def compare(base: DataFrame, other: DataFrame, cutoff: int = 5) -> DataFrame:
     return a.join(b, "query_id").select("query_id", "base_rank", "other_rank", change.alias("change"))
 
 
+def compare_strategies(covered: dict[str, DataFrame], base: str, cutoff: int = 5) -> DataFrame:
+    """(query_id, strategy, first_relevant_rank, full, change) of any number of strategies, each against ``base``."""
+    start = covered[base].select("query_id", F.col(f"full_{cutoff}").alias("base_full"))
+    parts = [df.select("query_id", F.lit(name).alias("strategy"), "first_relevant_rank", F.col(f"full_{cutoff}").alias("full")) for name, df in covered.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    change = F.when(F.col("base_full") < F.col("full"), "recovered").when(F.col("base_full") > F.col("full"), "regressed").otherwise("same")
+    return rows.join(start, "query_id").select("query_id", "strategy", "first_relevant_rank", "full", change.alias("change"))
+
+
+def evaluate(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], locators: DataFrame) -> DataFrame:
+    """Coverage of every query by a retriever, which gets (query_id, document_id, question) and returns ranked chunks.
+
+    Passages of other documents than the expected one are left out and the rest ranked anew.
+    """
+    wanted = queries.select("query_id", F.col("document_id").alias("expected"))
+    found = retrieve(queries).join(wanted, "query_id").where(F.col("document_id") == F.col("expected")).drop("expected")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")))
+    return coverage(fact_ranks(ranked, locators.join(queries.select("query_id"), "query_id", "left_semi")))
+
+
+def rerank_comparison(dense: DataFrame, reranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, dense_rank, reranked_rank, moved): where the first chunk of ``gold`` (query_id, chunk_id) stands before
+    and after reranking; null where it is not among the candidates."""
+    first = lambda df, name: gold.join(df.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias(name))
+    rows = gold.select("query_id").distinct().join(first(dense, "dense_rank"), "query_id", "left").join(first(reranked, "reranked_rank"), "query_id", "left")
+    moved = F.when(F.col("dense_rank") > F.col("reranked_rank"), "up").when(F.col("dense_rank") < F.col("reranked_rank"), "down").when(F.col("dense_rank").isNotNull(), "same")
+    return rows.select("query_id", "dense_rank", "reranked_rank", moved.alias("moved"))
+
+
+def metric_report(rows: list[tuple[str, Row]]) -> str:
+    """A fixed-width table of the metrics of named strategies, one row of :func:`metrics` for each."""
+    names = [n for n in (rows[0][1].asDict() if rows else {}) if n != "queries"]
+    head = f"{'strategy':<20}{'queries':>9}" + "".join(f"{n:>18}" for n in names)
+    show = lambda v: f"{'-':>18}" if v is None else f"{v:>18.4f}"
+    return "\n".join([head, *(f"{name:<20}{row['queries']:>9}" + "".join(show(row[n]) for n in names) for name, row in rows)])
+
+
 def audit_locators(locators: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, fact_id, matches, verdict): zero, ok or unexpectedly_many chunks of the document match a locator."""
-    c, l = chunks.alias("c"), locators.alias("l")  # noqa: E741
+    c, l = normalised(chunks).alias("c"), normalised_anchors(locators).alias("l")  # noqa: E741
     met = l.join(c, (F.col("c.document_id") == F.col("l.document_id")) & matches_locator()).select("l.query_id", "l.fact_id", "c.chunk_id").distinct()
     counted = locators.select("query_id", "fact_id").distinct().join(met, ["query_id", "fact_id"], "left").groupBy("query_id", "fact_id").agg(F.count("chunk_id").alias("matches"))
     return counted.withColumn("verdict", F.when(F.col("matches") == 0, "zero").when(F.col("matches") > most, "unexpectedly_many").otherwise("ok"))

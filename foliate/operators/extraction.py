@@ -21,6 +21,12 @@ def block_units(blocks: DataFrame, sections: DataFrame, walk_children: bool = Fa
     return units.join(listed, ["document_id", "block_id"], "left").select("document_id", F.col("block_id").alias("unit_id"), kind.alias("content_type"), "text", "page_number", "section_id")
 
 
+def in_order(units: DataFrame) -> DataFrame:
+    """Adds ``position`` on the page, from 0: by order (a missing one counts as 0), then by id."""
+    order = Window.partitionBy("document_id", "page_number").orderBy(F.coalesce("reading_order_index", F.lit(0)), "unit_id")
+    return units.withColumn("position", F.row_number().over(order) - 1)
+
+
 def table_row_units(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(document_id, unit_id, text, cell_ids) of table rows: ``header: cell`` joined by bars.
 

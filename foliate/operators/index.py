@@ -5,11 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
 from .providers import embed
 
+#: Tokens that the embedding model takes, and the characters of one where no tokenizer is at hand.
+TOKEN_LIMIT = 8192
+TOKEN_CHARACTERS = 4
+#: Folders of a written index.
+BUCKETS = 256
 IDENTITY = ("content_hash", "embedding_model", "embedding_revision", "embedding_config_hash", "embedding_dimension")
 
 
@@ -26,6 +33,43 @@ def with_identity(chunks: DataFrame, model: str, revision: str, config_hash: str
     return chunks.withColumn("content_hash", content_hash(F.col("text"))).withColumn("embedding_model", F.lit(model)).withColumn("embedding_revision", F.lit(revision)).withColumn("embedding_config_hash", F.lit(config_hash)).withColumn("embedding_dimension", F.lit(dimension))
 
 
+def in_space(chunks: DataFrame, model: str, revision: str, config_hash: str, dimension: int) -> DataFrame:
+    """The chunks whose vectors lie in one embedding space; vectors of other generations are not comparable."""
+    mine = (F.col("embedding_model") == model) & (F.col("embedding_revision") == revision) & (F.col("embedding_config_hash") == config_hash) & (F.col("embedding_dimension") == dimension)
+    return chunks.where(mine)
+
+
+def over_limit(df: DataFrame, text: str = "text", limit: int = TOKEN_LIMIT, tokens: Column | None = None) -> DataFrame:
+    """Adds ``over_limit``: whether a text has more tokens than the model takes. ``tokens`` counts them; by default, a
+    token stands for ``TOKEN_CHARACTERS`` characters. Null texts are within the limit."""
+    count = F.ceil(F.length(text) / TOKEN_CHARACTERS) if tokens is None else tokens
+    return df.withColumn("over_limit", F.coalesce(count > limit, F.lit(False)))
+
+
+def require_within_limit(df: DataFrame, text: str = "text", limit: int = TOKEN_LIMIT, tokens: Column | None = None) -> DataFrame:
+    """The rows as they are; fails when a text above the limit is read. Nothing is cut."""
+    checked = over_limit(df, text, limit, tokens)
+    return checked.withColumn(text, F.when(F.col("over_limit"), F.raise_error(F.lit(f"a text has more than {limit} tokens"))).otherwise(F.col(text))).drop("over_limit")
+
+
+def input_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(chunk_id, problem): ids that occur more than once, and chunks of documents that are not being indexed."""
+    repeated = repeated_keys(chunks, "chunk_id").select("chunk_id", F.lit("repeated_id").alias("problem"))
+    foreign = chunks.join(documents.select("document_id").distinct(), "document_id", "left_anti").select("chunk_id", F.lit("foreign_document").alias("problem")).distinct()
+    return repeated.unionByName(foreign)
+
+
+def document(catalog: DataFrame, document_id: str) -> DataFrame:
+    """The catalog row of one document: one or none."""
+    return catalog.where(F.col("document_id") == document_id).limit(1)
+
+
+def parsed_json(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, parsed_document_json) of the asked-for documents: the record received last, null if there is none."""
+    last = records.groupBy("document_id").agg(F.max_by("parsed_document_json", F.struct("received_at", "record_no")).alias("parsed_document_json"))
+    return documents.select("document_id").distinct().join(last, "document_id", "left")
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """(``key``, rows) of keys that occur more than once."""
     return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
@@ -65,11 +109,23 @@ def synchronise(incoming: DataFrame, stored: DataFrame, embedder: str = "hashed"
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Replaces the partitions of the documents in ``index`` and leaves all others.
+    """Replaces the rows of the documents in ``index`` and leaves those of all others.
 
-    A document that lost all its chunks writes no rows; delete its partition (see :func:`emptied_documents`).
+    Documents share ``BUCKETS`` folders by hash, so that files do not become as many as documents. Buckets that a document
+    of ``index`` falls into are written anew, with the rows of the other documents in them. A document that lost all its
+    chunks has no rows here (see :func:`emptied_documents`).
     """
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+    try:
+        stored = index.sparkSession.read.parquet(path)
+    except AnalysisException:
+        stored = None
+    if stored is not None:
+        touched = bucketed.select("bucket").distinct()
+        others = stored.join(F.broadcast(touched), "bucket").join(bucketed.select("document_id").distinct(), "document_id", "left_anti")
+        # Written elsewhere first, as the folders that are read are replaced.
+        bucketed = materialize(bucketed.unionByName(others.select(*bucketed.columns)))
+    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def emptied_documents(plan: DataFrame) -> DataFrame:

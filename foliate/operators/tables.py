@@ -64,7 +64,7 @@ def markdown_tables(cells: DataFrame) -> DataFrame:
     lines = padded.groupBy("document_id", "table_id", "row_index").agg(row.alias("row"), rule.alias("rule"))
     all_rows = F.sort_array(F.collect_list(F.struct("row_index", "row", "rule")))
     first = F.concat_ws("\n", all_rows[0]["row"], all_rows[0]["rule"])
-    rest = F.transform(F.slice(all_rows, 2, 10**6), lambda x: x["row"])
+    rest = F.transform(F.filter(all_rows, lambda _, i: i > 0), lambda x: x["row"])
     return lines.groupBy("document_id", "table_id").agg(F.concat_ws("\n", first, rest).alias("markdown"))
 
 

@@ -26,6 +26,14 @@ def _collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g'))"
 
 
+def _preview(c: str, limit: int = 300) -> str:
+    return f"CASE WHEN length({_collapse(c)}) > {limit} THEN substr({_collapse(c)}, 1, {limit}) || '...' ELSE {_collapse(c)} END"
+
+
+def _excerpt(c: str, limit: int = 240) -> str:
+    return f"CASE WHEN length({_collapse(c)}) > {limit} THEN rtrim(substr({_collapse(c)}, 1, {limit - 3})) || '...' ELSE {_collapse(c)} END"
+
+
 ORDER = f"coalesce(nullif(page_number, 0), {LAST}), coalesce(reading_order_index, {LAST})"
 PAGES = f"""(SELECT p.document_id, p.page_number, coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) AS tables
   FROM (SELECT document_id, unnest(generate_series(1, page_count))::INT AS page_number FROM document_catalog WHERE page_count > 0) p
@@ -49,17 +57,17 @@ PLAN = f"""(SELECT coalesce(n.document_id, o.document_id) AS document_id, coales
   FROM {NEW} n FULL OUTER JOIN (SELECT * FROM {OLD} WHERE document_id IN (SELECT document_id FROM {NEW})) o ON n.chunk_id = o.chunk_id)"""
 
 
-def _near(scoped: bool) -> str:
-    same = " AND v.label = q.label" if scoped else ""
+def _near(scoped: bool | str) -> str:
+    same = scoped if isinstance(scoped, str) else " AND v.label = q.label" if scoped else ""
     return f"""(SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS cosine_distance
   FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0{same})"""
 
 
-def _topk(scoped: bool, k: int) -> str:
+def _topk(scoped: bool | str, k: int) -> str:
     return f"(SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine_distance, vec_id) AS rank, vec_id, cosine_distance, round(1 - cosine_distance, 6) AS similarity FROM {_near(scoped)}) WHERE rank <= {k})"
 
 
-RENDERED = """'[E' || ordinal || ']' || chr(10) || 'Document: ' || document_id || CASE WHEN len(section_path) > 0 THEN chr(10) || 'Section: ' || array_to_string(section_path, ' > ') ELSE '' END
+RENDERED = """'[E' || ordinal || ']' || chr(10) || 'Document: ' || document_id || chr(10) || 'Section: ' || CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') ELSE 'NONE' END
   || chr(10) || 'Pages: ' || CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END || chr(10) || 'Content type: ' || content_type || chr(10) || 'Chunk ID: ' || chunk_id
   || CASE WHEN len(quality_notes) > 0 THEN chr(10) || 'Quality notes: ' || array_to_string(quality_notes, '; ') ELSE '' END || chr(10) || chr(10) || text"""
 CLASSED = f"""(SELECT *, sum(CASE WHEN state = 'candidate' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS ordinal FROM (
@@ -67,9 +75,9 @@ CLASSED = f"""(SELECT *, sum(CASE WHEN state = 'candidate' THEN 1 ELSE 0 END) OV
 PACKED = f"""(SELECT *, sum(length(rendered)) OVER (PARTITION BY query_id ORDER BY ordinal) + 2 * (ordinal - 1) AS used FROM (SELECT *, {RENDERED} AS rendered FROM {CLASSED} WHERE state = 'candidate'))"""
 EVIDENCE = f"(SELECT query_id, 'E' || ordinal AS evidence_id, chunk_id FROM {CLASSED} WHERE state = 'candidate')"
 GROUPS = "regexp_extract_all(coalesce(answer_text, ''), '\\[([^\\[\\]]*)\\]', 1)"
-WELL_FORMED = "'^\\s*E[0-9]+(?:\\s*,\\s*E[0-9]+)*\\s*$'"
+WELL_FORMED = "'^\\s*E[1-9][0-9]*(?:\\s*,\\s*E[1-9][0-9]*)*\\s*$'"
 INLINE_ALL = f"flatten(list_transform(list_filter({GROUPS}, lambda g: regexp_matches(g, {WELL_FORMED})), lambda g: regexp_extract_all(g, '(E[0-9]+)', 1)))"
-MALFORMED = f"len(list_filter({GROUPS}, lambda g: regexp_matches(g, '(?i)^\\s*(?:E|SOURCE)\\s*[0-9]') AND NOT regexp_matches(g, {WELL_FORMED})))"
+MALFORMED = f"len(list_filter({GROUPS}, lambda g: regexp_matches(g, '(?i)^\\s*(?:E|SOURCE)[0-9]') AND NOT regexp_matches(g, {WELL_FORMED})))"
 
 
 def _distinct(items: str) -> str:
@@ -83,9 +91,9 @@ LOCATORS = f"""(SELECT DISTINCT c.query_id, e.chunk_id AS cited_chunk, r.documen
   FROM {CITED} c JOIN {EVIDENCE} e USING (query_id, evidence_id) JOIN {RANKED} r ON r.query_id = c.query_id AND r.chunk_id = e.chunk_id)"""
 
 
-def _fact_ranks(rank: str) -> str:
-    return f"""(SELECT l.query_id, l.fact_id, min(r.rank) AS first_rank FROM {LOCATORS} l LEFT JOIN (SELECT * REPLACE ({rank} AS rank) FROM {RANKED}) r
-  ON r.query_id = l.query_id AND r.document_id = l.document_id AND (len(l.section_path) = 0 OR r.section_path = l.section_path) AND l.page BETWEEN r.page_start AND r.page_end AND contains(r.text, l.anchor)
+def _fact_ranks(rank: str, ranked: str = RANKED) -> str:
+    return f"""(SELECT l.query_id, l.fact_id, min(r.rank) AS first_rank FROM {LOCATORS} l LEFT JOIN (SELECT * REPLACE ({rank} AS rank) FROM {ranked}) r
+  ON r.query_id = l.query_id AND r.document_id = l.document_id AND (len(l.section_path) = 0 OR r.section_path = l.section_path) AND l.page BETWEEN r.page_start AND r.page_end AND contains({_collapse("r.text")}, {_collapse("l.anchor")})
   GROUP BY 1, 2)"""
 
 
@@ -95,6 +103,10 @@ def _coverage(ranks: str) -> str:
 
 
 COVERAGE = _coverage(_fact_ranks("rank"))
+_PAGED = f"(SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY page_start, rank, chunk_id) AS rank) FROM {RANKED})"
+_WITHOUT_FURNITURE = f"""(WITH h AS (SELECT *, CASE WHEN block_type IN ('page_header', 'section_header') THEN lower({_collapse("text")}) END AS sig FROM {BLOCKS} WHERE coalesce(block_type <> 'page_footer', true)),
+  r AS (SELECT document_id, sig FROM h WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page_number) >= 2 AND bool_or(block_type = 'page_header'))
+  SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.document_id = h.document_id AND r.sig = h.sig))"""
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -105,8 +117,9 @@ def _terms(c: str) -> str:
 ORACLES: dict[str, str] = {
     "intake_accept": """SELECT document_id, lower(regexp_extract(stored_filename, '(\\.[A-Za-z0-9]+)$', 1)) AS extension,
       CASE WHEN lower(regexp_extract(stored_filename, '(\\.[A-Za-z0-9]+)$', 1)) NOT IN ('.pdf', '.docx') THEN 'unsupported_type' WHEN size_bytes > 2000000 THEN 'too_large' WHEN size_bytes <= 0 THEN 'empty' END AS refusal FROM document_catalog""",
-    "block_projection": f"SELECT document_id, block_id, page_number, coalesce(reading_order_index, 0) AS reading_order_index, block_type, length(text)::INT AS characters FROM {BLOCKS} WHERE NOT {_blank('text')} AND page_number IS NOT NULL",
-    "semantic_blocks": f"SELECT document_id, block_id FROM {BLOCKS} WHERE coalesce(block_type <> 'page_footer', true)",
+    "block_projection": f"SELECT document_id, block_id, page_number, coalesce(reading_order_index, 0) AS reading_order_index, block_type, sha256(text) AS text_hash, {_excerpt('text')} AS excerpt FROM {BLOCKS} WHERE NOT {_blank('text')} AND page_number IS NOT NULL",
+    "semantic_blocks": f"""SELECT document_id, block_id FROM {BLOCKS} WHERE coalesce(block_type <> 'page_footer', true)
+      AND NOT coalesce(block_type = 'text' AND upper(trim(text)) IN ('CONFIDENTIAL', 'DRAFT', 'INTERNAL') AND bounding_box.x0 >= 0 AND least(bounding_box.y0, bounding_box.y1) <= 1000, false)""",
     "repeated_headers": f"""WITH h AS (SELECT *, CASE WHEN block_type IN ('page_header', 'section_header') THEN lower({_collapse("text")}) END AS sig FROM {BLOCKS}),
       r AS (SELECT document_id, sig FROM h WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page_number) >= 2 AND bool_or(block_type = 'page_header'))
       SELECT document_id, block_id FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.document_id = h.document_id AND r.sig = h.sig)""",
@@ -115,6 +128,12 @@ ORACLES: dict[str, str] = {
     "page_assembly": f"SELECT * FROM {PAGES}",
     "merge_status": """SELECT collection, CASE WHEN n > 0 AND s = n THEN 'success' WHEN n > 0 AND f = n THEN 'failed' ELSE 'partial_success' END AS status FROM (
       SELECT collection, count(*) FILTER (st NOT IN ('not_started', 'skipped')) AS n, count(*) FILTER (st = 'success') AS s, count(*) FILTER (st = 'failed') AS f FROM (SELECT collection, coalesce(parse_status, 'not_started') AS st FROM document_catalog) GROUP BY 1)""",
+    "merged_blocks": f"SELECT document_id, block_id, page_number, (row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(reading_order_index, {LAST}), block_id) - 1)::INT AS position FROM {_WITHOUT_FURNITURE}",
+    "merged_documents": f"""SELECT c.document_id, page_count::BIGINT AS page_count, coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) AS tables, coalesce(b.h, 0)::BIGINT AS sections,
+      CASE coalesce(parse_status, 'not_started') WHEN 'success' THEN 'success' WHEN 'failed' THEN 'failed' ELSE 'partial_success' END AS status, parser_name FROM document_catalog c
+      LEFT JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (block_type = 'section_header') AS h FROM {_WITHOUT_FURNITURE} GROUP BY 1) b USING (document_id)
+      LEFT JOIN (SELECT document_id, count(*) AS n FROM {TABLES} GROUP BY 1) t USING (document_id) WHERE page_count > 0""",
+    "reading_positions": "SELECT section, ref, max(position)::INT AS position FROM (SELECT document_id || '/' || section_id AS section, unnest(blocks) AS ref, generate_subscripts(blocks, 1) - 1 AS position FROM document_sections) WHERE ref IS NOT NULL GROUP BY 1, 2",
     "page_scoped_ids": f"SELECT document_id, block_id, 'page_' || page_number || '_' || block_id AS scoped_id FROM {BLOCKS}",
     "heading_levels": """SELECT document_id, section_id, CASE WHEN n <> '' THEN len(string_split(n, '.'))::INT ELSE 1 END AS heading_level FROM (
       SELECT document_id, section_id, regexp_extract(trim(title), '^([0-9]+(?:\\.[0-9]+)+)\\.?[ \\t]+\\S', 1) AS n FROM document_sections)""",
@@ -145,6 +164,20 @@ ORACLES: dict[str, str] = {
       LEFT JOIN (SELECT document_id, table_id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) AS v FROM s LEFT JOIN c USING (document_id, table_id, token) GROUP BY 1, 2) x USING (document_id, table_id)""",
     "split_fixed": """SELECT doc_id, piece_no, sha256(piece) AS piece_hash, length(piece)::INT AS characters FROM (
       SELECT doc_id, i::INT AS piece_no, substr(text, i::INT * 1000 + 1, 1000) AS piece FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0) // 1000)) AS i FROM documents WHERE text IS NOT NULL))""",
+    "chunk_report": f"SELECT chunk_id, length(text)::INT AS characters, {_preview('text')} AS preview FROM (SELECT chunk_id, min(text) AS text FROM retrieved_chunks GROUP BY 1) WHERE text IS NOT NULL",
+    "token_limit": "SELECT doc_id, coalesce(ceil(length(text) / 4.0) > 512, false) AS over_limit FROM documents",
+    "input_problems": """SELECT chunk_id, 'repeated_id' AS problem FROM (SELECT DISTINCT document_id, chunk_id FROM retrieved_chunks) GROUP BY 1 HAVING count(*) > 1
+      UNION ALL SELECT DISTINCT chunk_id, 'foreign_document' FROM retrieved_chunks WHERE document_id NOT IN (SELECT document_id FROM document_catalog WHERE parse_status = 'success')""",
+    "catalog_get": "SELECT document_id, filename, collection, page_count FROM document_catalog WHERE document_id = (SELECT min(document_id) FROM document_catalog)",
+    "parsed_json": """SELECT d.document_id, sha256(r.j) AS record_hash FROM (SELECT document_id FROM parsed_documents UNION SELECT document_id FROM document_catalog) d
+      LEFT JOIN (SELECT document_id, parsed_document_json AS j FROM parsed_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY received_at DESC, record_no DESC) = 1) r USING (document_id)""",
+    "dense_space": f"SELECT * REPLACE (rank::INT AS rank) FROM {_topk(' AND v.label <> 0', 5)}",
+    "rerank_comparison": f"""WITH d AS (SELECT query_id, vec_id, rank::INT AS rank, ((vec_id * 7919 + query_id * 104729) % 101)::DOUBLE AS score FROM {_topk(False, 40)}), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, vec_id)::INT AS rank FROM d),
+      g AS (SELECT q.vec_id AS query_id, m.least FROM embeddings q JOIN (SELECT label, min(vec_id) AS least FROM embeddings GROUP BY 1) m USING (label) WHERE q.vec_id % 20 = 0)
+      SELECT g.query_id, d.rank AS dense_rank, r.rank AS reranked_rank, CASE WHEN d.rank > r.rank THEN 'up' WHEN d.rank < r.rank THEN 'down' WHEN d.rank IS NOT NULL THEN 'same' END AS moved
+      FROM g LEFT JOIN d ON d.query_id = g.query_id AND d.vec_id = g.least LEFT JOIN r ON r.query_id = g.query_id AND r.vec_id = g.least""",
+    "search_report": f"""SELECT request_id AS query_id, rank, rank || '. ' || printf('%.6f', similarity) || ' | ' || CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') ELSE '-' END || ' | ' || {_preview("coalesce(text, '')")} AS line
+      FROM (SELECT DISTINCT * EXCLUDE (retrieved_at) FROM retrieved_chunks)""",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "vector_validation": "SELECT vec_id, coalesce(len(embedding) = 64 AND abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 0.001, false) AS valid FROM embeddings",
     "sync_plan": f"SELECT * FROM {PLAN}",
@@ -183,10 +216,18 @@ ORACLES: dict[str, str] = {
       round(avg(CASE WHEN first_relevant_rank <= 5 THEN 1.0::DOUBLE / first_relevant_rank ELSE 0 END), 6) AS mrr FROM {COVERAGE}""",
     "strategy_compare": f"""SELECT query_id, a.first_relevant_rank AS base_rank, b.first_relevant_rank AS other_rank, CASE WHEN a.full_3 < b.full_3 THEN 'recovered' WHEN a.full_3 > b.full_3 THEN 'regressed' ELSE 'same' END AS change
       FROM {COVERAGE} a JOIN {_coverage(_fact_ranks("6 - rank"))} b USING (query_id)""",
+    "strategy_matrix": f"""WITH a AS (SELECT * FROM {COVERAGE}), s AS (SELECT 'ranked' AS strategy, * FROM a UNION ALL SELECT 'turned', * FROM {_coverage(_fact_ranks("6 - rank"))} UNION ALL SELECT 'paged', * FROM {_coverage(_fact_ranks("rank", _PAGED))})
+      SELECT s.query_id, s.strategy, s.first_relevant_rank, s.full_3 AS "full", CASE WHEN a.full_3 < s.full_3 THEN 'recovered' WHEN a.full_3 > s.full_3 THEN 'regressed' ELSE 'same' END AS change FROM s JOIN a USING (query_id)""",
+    "label_ranks": f"""WITH l AS (SELECT DISTINCT c.query_id, c.evidence_id AS fact_id, r.document_id, CASE WHEN c.position % 2 = 0 THEN e.chunk_id END AS chunk, r.page_start AS page
+        FROM {CITED} c JOIN {EVIDENCE} e USING (query_id, evidence_id) JOIN {RANKED} r ON r.query_id = c.query_id AND r.chunk_id = e.chunk_id)
+      SELECT l.query_id, l.fact_id, min(r.rank) AS first_rank FROM l LEFT JOIN {RANKED} r ON r.query_id = l.query_id AND r.document_id = l.document_id AND CASE WHEN chunk IS NOT NULL THEN r.chunk_id = chunk ELSE l.page BETWEEN r.page_start AND r.page_end END GROUP BY 1, 2""",
+    "evaluator": "SELECT * FROM " + _coverage(f"""(WITH q AS (SELECT DISTINCT query_id, document_id FROM {QUESTIONS}), r AS (SELECT r.* REPLACE (row_number() OVER (PARTITION BY r.query_id ORDER BY rank, chunk_id) AS rank) FROM {RANKED} r JOIN q ON q.query_id = r.query_id AND q.document_id = r.document_id)
+      SELECT l.query_id, l.fact_id, min(r.rank) AS first_rank FROM {LOCATORS} l LEFT JOIN r ON r.query_id = l.query_id AND r.document_id = l.document_id AND (len(l.section_path) = 0 OR r.section_path = l.section_path) AND l.page BETWEEN r.page_start AND r.page_end AND contains({_collapse("r.text")}, {_collapse("l.anchor")})
+      WHERE l.query_id IN (SELECT query_id FROM q) GROUP BY 1, 2)"""),
     "locator_audit": f"""WITH m AS (SELECT l.query_id, l.fact_id, count(DISTINCT c.chunk_id) AS matches FROM {LOCATORS} l LEFT JOIN (SELECT DISTINCT chunk_id, document_id, section_path, page_start, page_end, text FROM retrieved_chunks) c
-        ON c.document_id = l.document_id AND (len(l.section_path) = 0 OR c.section_path = l.section_path) AND l.page BETWEEN c.page_start AND c.page_end AND contains(c.text, l.anchor) GROUP BY 1, 2)
+        ON c.document_id = l.document_id AND (len(l.section_path) = 0 OR c.section_path = l.section_path) AND l.page BETWEEN c.page_start AND c.page_end AND contains({_collapse("c.text")}, {_collapse("l.anchor")}) GROUP BY 1, 2)
       SELECT query_id, fact_id, matches, CASE WHEN matches = 0 THEN 'zero' WHEN matches > 3 THEN 'unexpectedly_many' ELSE 'ok' END AS verdict FROM m""",
-    "extraction_units": f"""SELECT b.document_id, b.block_id AS unit_id, CASE block_type WHEN 'section_header' THEN 'heading' WHEN 'list_item' THEN 'list_item' ELSE 'paragraph' END AS content_type, length({_collapse("text")})::INT AS characters, page_number, s.section_id
+    "extraction_units": f"""SELECT b.document_id, b.block_id AS unit_id, CASE block_type WHEN 'section_header' THEN 'heading' WHEN 'list_item' THEN 'list_item' ELSE 'paragraph' END AS content_type, sha256({_collapse("text")}) AS text_hash, page_number, s.section_id
       FROM {BLOCKS} b LEFT JOIN (SELECT document_id, block_id, min(section_id) AS section_id FROM (SELECT document_id, section_id, unnest(list_append(blocks, heading_block_id)) AS block_id FROM document_sections WHERE parent_section_id IS NULL) GROUP BY 1, 2) s
       ON s.document_id = b.document_id AND s.block_id = b.block_id WHERE NOT {_blank("text")}""",
     "table_row_units": f"""WITH c AS (SELECT * REPLACE ({_collapse("coalesce(text, '')")} AS text) FROM {CELLS}),
@@ -201,6 +242,16 @@ ORACLES: dict[str, str] = {
         last_value(title IGNORE NULLS) OVER (PARTITION BY document_id, page_number ORDER BY {ORDER}, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title_before FROM r)
       SELECT document_id, pos::INT AS pos, concat_ws(chr(10), CASE WHEN page_number IS DISTINCT FROM page_before THEN '<!-- page ' || page_number || ' -->' END, CASE WHEN title IS NOT NULL AND title IS DISTINCT FROM title_before THEN '## ' || title END,
         CASE WHEN block_type = 'list_item' THEN '- ' || text ELSE text END) AS line FROM w""",
+    "unit_order": f"SELECT document_id, page_number, block_id AS unit_id, (row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(reading_order_index, 0), block_id) - 1)::INT AS position FROM {BLOCKS} WHERE NOT {_blank('text')}",
+    "page_report": f"""SELECT document_id, page_number, '- Page ' || page_number || ': ' || coalesce(parse_status, 'not_started') || ', blocks=' || blocks || ', tables=' || tables AS line FROM {PAGES} JOIN document_catalog USING (document_id)""",
+    "document_summary": f"""SELECT c.document_id, coalesce(page_count, 0) AS pages, coalesce(b.n, 0) AS blocks, coalesce(t.n, 0) AS tables, coalesce(e.n, 0) AS cells, coalesce(s.n, 0) AS sections, coalesce(p.n, 0) AS empty_pages,
+        coalesce(b.twice, false) OR coalesce(t.twice, false) OR coalesce(s.twice, false) AS has_duplicate_ids, coalesce(b.lost, false) OR coalesce(t.lost, false) AS has_missing_provenance FROM document_catalog c
+      LEFT JOIN (SELECT document_id, count(DISTINCT block_id) AS n, count(*) > count(DISTINCT block_id) AS twice, bool_or(page_number IS NULL) AS lost FROM document_blocks GROUP BY 1) b USING (document_id)
+      LEFT JOIN (SELECT document_id, count(DISTINCT table_id) AS n, count(*) > count(DISTINCT table_id) AS twice, bool_or(page_number IS NULL) AS lost FROM parsed_tables GROUP BY 1) t USING (document_id)
+      LEFT JOIN (SELECT document_id, count(*) AS n FROM {CELLS} GROUP BY 1) e USING (document_id) LEFT JOIN (SELECT document_id, count(DISTINCT section_id) AS n, count(*) > count(DISTINCT section_id) AS twice FROM document_sections GROUP BY 1) s USING (document_id)
+      LEFT JOIN (SELECT document_id, count(*) AS n FROM {PAGES} WHERE blocks + tables = 0 GROUP BY 1) p USING (document_id)""",
+    "structure_listing": TREE + """, d AS (SELECT document_id, section_id, max(distance) AS depth FROM up GROUP BY 1, 2)
+      SELECT DISTINCT s.document_id, s.section_id, repeat('  ', depth::INT) || title || ' [pages ' || CASE WHEN coalesce(page_end, page_start) = page_start THEN page_start::VARCHAR ELSE page_start || '-' || page_end END || '; blocks ' || len(blocks) || '; tables ' || len(tables) || ']' AS line FROM document_sections s JOIN d USING (document_id, section_id)""",
     "duplicate_ids": """SELECT kind, document_id, id, count(*) AS rows FROM (SELECT 'block' AS kind, document_id, block_id AS id FROM document_blocks UNION ALL SELECT 'table', document_id, table_id FROM parsed_tables UNION ALL SELECT 'section', document_id, section_id FROM document_sections) WHERE id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
     "missing_provenance": f"""SELECT * FROM (SELECT document_id, block_id, array_to_string(list_filter([CASE WHEN page_number IS NULL THEN 'page' END, CASE WHEN reading_order_index IS NULL THEN 'order' END, CASE WHEN bounding_box IS NULL THEN 'box' END], lambda x: x IS NOT NULL), ',') AS missing FROM {BLOCKS}) WHERE missing <> ''""",
     "empty_pages": f"SELECT document_id, page_number FROM {PAGES} WHERE blocks + tables = 0",
@@ -212,5 +263,10 @@ ORACLES: dict[str, str] = {
       SELECT DISTINCT document_id, 'unsectioned_content' AS flag FROM {BLOCKS} b WHERE NOT EXISTS (SELECT 1 FROM {LISTED} l WHERE l.document_id = b.document_id AND l.block_id = b.block_id) AND NOT EXISTS (SELECT 1 FROM document_sections x WHERE x.document_id = b.document_id AND x.heading_block_id = b.block_id)
       UNION ALL SELECT document_id, 'uniform_level' FROM s WHERE n > 1 AND levels = 1 UNION ALL SELECT document_id, 'no_children' FROM s WHERE n > 1 AND children = 0
       UNION ALL SELECT DISTINCT document_id, 'empty_pages' FROM {PAGES} WHERE blocks + tables = 0""",
-    "page_samples": f"SELECT document_id, page_number, n::INT AS n, block_id FROM (SELECT document_id, page_number, block_id, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(reading_order_index, {LAST}), block_id) AS n FROM {BLOCKS} WHERE NOT {_blank('text')}) WHERE n <= 3",
+    "page_samples": f"SELECT document_id, page_number, n::INT AS n, block_id, {_preview('text')} AS preview FROM (SELECT document_id, page_number, block_id, text, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(reading_order_index, {LAST}), block_id) AS n FROM {BLOCKS} WHERE NOT {_blank('text')}) WHERE n <= 3",
 }
+ORACLES["page_markdown"] = f"""WITH t AS ({ORACLES["table_markdown"]}),
+  i AS (SELECT document_id, page_number, coalesce(reading_order_index, 0) AS o, 0 AS kind, block_id AS id, CASE block_type WHEN 'section_header' THEN '## ' WHEN 'list_item' THEN '- ' ELSE '' END || text AS body FROM {BLOCKS} WHERE text IS NOT NULL
+    UNION ALL SELECT document_id, page_number, coalesce(reading_order_index, 0), 1, table_id, markdown FROM {TABLES} JOIN t USING (document_id, table_id)),
+  p AS (SELECT document_id, page_number, '<!-- Page ' || page_number || ' -->' || repeat(chr(10), 2) || '# Page ' || page_number || repeat(chr(10), 2) || string_agg(body, repeat(chr(10), 2) ORDER BY o, kind, id) AS m FROM i WHERE page_number IS NOT NULL GROUP BY 1, 2)
+  SELECT document_id, page_number, sha256(m) AS markdown_hash, length(m)::INT AS characters FROM p"""

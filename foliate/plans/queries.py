@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.vectors import is_unit
-from ..operators import answers, blocks as B, chunking, context, evaluation, extraction, index, lexical, nested, providers, reports, retrieval, sections as S, tables as T
+from ..operators import answers, blocks as B, chunking, context, evaluation, extraction, index, lexical, nested, pages, providers, reports, retrieval, sections as S, tables as T
 from ..sources.documents import accept_files
 from ..sources.tables import table
 from . import pipeline
@@ -19,6 +19,8 @@ from .storage import spread
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 DEMO_BUDGET = 3000
+#: Texts that the query takes for brand marks in a corner of the page.
+SEMANTIC_BRANDS = ("CONFIDENTIAL", "DRAFT", "INTERNAL")
 
 
 def query(function: Query) -> Query:
@@ -26,8 +28,8 @@ def query(function: Query) -> Query:
     return function
 
 
-def _blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return B.distinct_blocks(table(spark, folder, "document_blocks"))
+def _blocks(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    return B.distinct_blocks(table(spark, folder, "document_blocks"), *wanted)
 
 
 def _tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,12 +67,12 @@ def intake_accept(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def block_projection(spark: SparkSession, folder: str) -> DataFrame:
-    return B.project_blocks(_blocks(spark, folder)).select("document_id", "block_id", "page_number", "reading_order_index", "block_type", F.length("text").alias("characters"))
+    return B.project_blocks(_blocks(spark, folder)).select("document_id", "block_id", "page_number", "reading_order_index", "block_type", F.sha2("text", 256).alias("text_hash"), "excerpt")
 
 
 @query
 def semantic_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return B.semantic_blocks(_blocks(spark, folder)).select("document_id", "block_id")
+    return B.semantic_blocks(_blocks(spark, folder), SEMANTIC_BRANDS, 0.0, 1000.0).select("document_id", "block_id")
 
 
 @query
@@ -80,12 +82,12 @@ def repeated_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
-    return B.reading_order(_blocks(spark, folder), _tables(spark, folder))
+    return B.reading_order(_blocks(spark, folder, "page_number", "reading_order_index"), _tables(spark, folder))
 
 
 @query
 def page_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    return B.assemble_pages(table(spark, folder, "document_catalog"), _blocks(spark, folder), _tables(spark, folder))
+    return B.assemble_pages(table(spark, folder, "document_catalog"), _blocks(spark, folder, "page_number"), _tables(spark, folder))
 
 
 @query
@@ -94,6 +96,24 @@ def merge_status(spark: SparkSession, folder: str) -> DataFrame:
     return B.merged_status(states, "collection", "state")
 
 
+@query
+def merged_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.merge_page_blocks(_blocks(spark, folder)).select("document_id", "block_id", "page_number", "position")
+
+
+@query
+def merged_documents(spark: SparkSession, folder: str) -> DataFrame:
+    catalog = table(spark, folder, "document_catalog").where("page_count > 0")
+    states = catalog.select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"), F.coalesce("parse_status", F.lit("not_started")).alias("state"), "parser_name", F.col("created_at").alias("started_at"), F.col("created_at").alias("completed_at"))
+    return pages.merge_pages(states, _blocks(spark, folder), _tables(spark, folder)).select("document_id", "page_count", "blocks", "tables", "sections", "status", "parser_name")
+
+
+@query
+def reading_positions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "document_sections").select(F.concat_ws("/", "document_id", "section_id").alias("section"), "blocks")
+    return pages.reading_positions(rows, "blocks", "section")
+
+
 @query
 def page_scoped_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _blocks(spark, folder).select("document_id", "block_id", B.page_scoped(B.page_scoped(F.col("block_id"), F.col("page_number")), F.col("page_number")).alias("scoped_id"))
@@ -112,7 +132,7 @@ def section_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def active_section(spark: SparkSession, folder: str) -> DataFrame:
-    return S.active_sections(_blocks(spark, folder))
+    return S.active_sections(_blocks(spark, folder, "page_number", "reading_order_index", "block_type"))
 
 
 @query
@@ -128,7 +148,7 @@ def section_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def unsectioned_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return S.unsectioned_blocks(_blocks(spark, folder), table(spark, folder, "document_sections")).select("document_id", "block_id")
+    return S.unsectioned_blocks(_blocks(spark, folder, "page_number"), table(spark, folder, "document_sections")).select("document_id", "block_id")
 
 
 @query
@@ -173,8 +193,37 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, folder, "document_sections"), _blocks(spark, folder), _tables(spark, folder))
 
 
+@query
+def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.chunk_report(_chunk_texts(spark, folder).where("text IS NOT NULL"))
+
+
 # Index and catalog
 
+@query
+def token_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return index.over_limit(table(spark, folder, "documents").select("doc_id", "text"), limit=512).select("doc_id", "over_limit")
+
+
+@query
+def input_problems(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "document_catalog").where("parse_status = 'success'")
+    return index.input_problems(table(spark, folder, "retrieved_chunks").select("document_id", "chunk_id").distinct(), known)
+
+
+@query
+def catalog_get(spark: SparkSession, folder: str) -> DataFrame:
+    catalog = table(spark, folder, "document_catalog")
+    first = catalog.agg(F.min("document_id")).first()[0]
+    return index.document(catalog, first or "").select("document_id", "filename", "collection", "page_count")
+
+
+@query
+def parsed_json(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "parsed_documents")
+    found = index.parsed_json(records, records.select("document_id").unionByName(table(spark, folder, "document_catalog").select("document_id")))
+    return found.select("document_id", F.sha2("parsed_document_json", 256).alias("record_hash"))
+
 @query
 def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", index.content_hash(F.col("text")).alias("content_hash"))
@@ -230,7 +279,7 @@ def question_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ingestion_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return index.ingestion_summary(table(spark, folder, "document_catalog"), _blocks(spark, folder), _tables(spark, folder), _cells(spark, folder), table(spark, folder, "document_sections"))
+    return index.ingestion_summary(table(spark, folder, "document_catalog"), _blocks(spark, folder, "page_number"), _tables(spark, folder), _cells(spark, folder), table(spark, folder, "document_sections"))
 
 
 # Retrieval
@@ -246,6 +295,29 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.dense_topk(vectors, list(first.embedding) if first else [0.0] * 64, 10)
 
 
+@query
+def dense_space(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of an older generation (those of label 0) are not searched."""
+    rows = table(spark, folder, "embeddings").select("*", F.lit("m").alias("embedding_model"), F.when(F.col("label") == 0, "old").otherwise("1").alias("embedding_revision"), F.lit("c").alias("embedding_config_hash"), F.size("embedding").alias("embedding_dimension"))
+    return retrieval.dense_topk_batch(index.in_space(rows, "m", "1", "c", 64), _vector_queries(rows), 5)
+
+
+@query
+def rerank_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the least vector of a query's label stands before and after reranking all 40 candidates."""
+    vectors = table(spark, folder, "embeddings")
+    near = retrieval.dense_topk_batch(vectors, _vector_queries(vectors), 40)
+    scored = near.withColumnRenamed("rank", "dense_rank").withColumn("reranker_score", ((F.col("vec_id") * 7919 + F.col("query_id") * 104729) % 101).cast("double"))
+    least = vectors.groupBy("label").agg(F.min("vec_id").alias("chunk_id"))
+    gold = _vector_queries(vectors).select("query_id", "label").join(least, "label").select("query_id", "chunk_id")
+    return evaluation.rerank_comparison(near.withColumnRenamed("vec_id", "chunk_id"), retrieval.rerank(scored, 40, "vec_id").withColumnRenamed("vec_id", "chunk_id"), gold)
+
+
+@query
+def search_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.search_report(_ranked(spark, folder))
+
+
 @query
 def dense_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
@@ -382,6 +454,33 @@ def strategy_compare(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.compare(evaluation.coverage(evaluation.fact_ranks(ranked, wanted)), evaluation.coverage(evaluation.fact_ranks(turned, wanted)), 3)
 
 
+@query
+def strategy_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Three orders of the same candidates: as ranked, turned round, and by page."""
+    ranked, wanted = _ranked(spark, folder), _locators(spark, folder)
+    paged = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page_start", "rank", "chunk_id")))
+    orders = {"ranked": ranked, "turned": ranked.withColumn("rank", F.lit(6) - F.col("rank")), "paged": paged}
+    return evaluation.compare_strategies({name: evaluation.coverage(evaluation.fact_ranks(df, wanted)) for name, df in orders.items()}, "ranked", 3)
+
+
+@query
+def label_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the first form: for every other citation a chunk id, for the rest the first page of its passage."""
+    wanted = answers.resolve_citations(_questions(spark, folder), _evidence(spark, folder)).where("chunk_id IS NOT NULL")
+    ranked = _ranked(spark, folder)
+    rows = wanted.join(ranked.select("query_id", "chunk_id", "document_id", "page_start").distinct(), ["query_id", "chunk_id"])
+    by_id = F.col("position") % 2 == 0
+    labels = rows.select("query_id", "document_id", F.col("evidence_id").alias("fact_id"), F.when(by_id, F.array("chunk_id")).alias("chunk_ids"), F.lit(None).cast("array<string>").alias("section_ids"), F.array("page_start").alias("pages"))
+    return evaluation.label_ranks(ranked, labels)
+
+
+@query
+def evaluator(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored rankings as a retriever, restricted to the expected document."""
+    rows = _questions(spark, folder).select("query_id", "document_id", "question")
+    return evaluation.evaluate(rows, lambda asked: _ranked(spark, folder).join(asked.select("query_id"), "query_id", "left_semi"), _locators(spark, folder))
+
+
 @query
 def locator_audit(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.audit_locators(_locators(spark, folder), _chunk_texts(spark, folder))
@@ -392,7 +491,7 @@ def locator_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def extraction_units(spark: SparkSession, folder: str) -> DataFrame:
     rows = extraction.block_units(_blocks(spark, folder), table(spark, folder, "document_sections"))
-    return rows.select("document_id", "unit_id", "content_type", F.length("text").alias("characters"), "page_number", "section_id")
+    return rows.select("document_id", "unit_id", "content_type", F.sha2("text", 256).alias("text_hash"), "page_number", "section_id")
 
 
 @query
@@ -406,6 +505,37 @@ def markdown_lines(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.markdown_lines(_blocks(spark, folder), S.block_membership(sections), sections)
 
 
+@query
+def unit_order(spark: SparkSession, folder: str) -> DataFrame:
+    rows = extraction.block_units(_blocks(spark, folder), table(spark, folder, "document_sections"))
+    orders = _blocks(spark, folder, "reading_order_index").select("document_id", F.col("block_id").alias("unit_id"), "reading_order_index")
+    return extraction.in_order(rows.join(orders, ["document_id", "unit_id"])).select("document_id", "page_number", "unit_id", "position")
+
+
+@query
+def page_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _tables(spark, folder).select("document_id", "table_id", "page_number", "reading_order_index").join(T.markdown_tables(_cells(spark, folder)), ["document_id", "table_id"])
+    return reports.page_markdown(_blocks(spark, folder), tables).select("document_id", "page_number", F.sha2("markdown", 256).alias("markdown_hash"), F.length("markdown").alias("characters"))
+
+
+@query
+def page_report(spark: SparkSession, folder: str) -> DataFrame:
+    states = table(spark, folder, "document_catalog").where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"), F.col("parse_status").alias("state"))
+    return reports.page_report(page_assembly(spark, folder), states)
+
+
+@query
+def document_summary(spark: SparkSession, folder: str) -> DataFrame:
+    blocks, tables = table(spark, folder, "document_blocks"), table(spark, folder, "parsed_tables")
+    return reports.document_summary(table(spark, folder, "document_catalog"), blocks, tables, _cells(spark, folder), table(spark, folder, "document_sections"), page_assembly(spark, folder))
+
+
+@query
+def structure_listing(spark: SparkSession, folder: str) -> DataFrame:
+    sections = table(spark, folder, "document_sections")
+    return reports.structure_listing(sections, S.section_paths(sections))
+
+
 @query
 def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
     ids = lambda name, column: table(spark, folder, name).select("document_id", F.col(column).alias("id"))
@@ -414,7 +544,7 @@ def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def missing_provenance(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.missing_provenance(_blocks(spark, folder))
+    return reports.missing_provenance(_blocks(spark, folder, "page_number", "reading_order_index", "bounding_box"))
 
 
 @query
@@ -424,28 +554,28 @@ def empty_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def processing_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.processing_summary(table(spark, folder, "document_catalog"), _blocks(spark, folder), _tables(spark, folder))
+    return reports.processing_summary(table(spark, folder, "document_catalog"), _blocks(spark, folder, "text"), _tables(spark, folder))
 
 
 @query
 def label_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.label_counts(_blocks(spark, folder))
+    return reports.label_counts(_blocks(spark, folder, "page_number", "block_type", "bounding_box"))
 
 
 @query
 def requirement_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.requirement_ids(_blocks(spark, folder))
+    return reports.requirement_ids(_blocks(spark, folder, "text"))
 
 
 @query
 def structure_flags(spark: SparkSession, folder: str) -> DataFrame:
     sections = table(spark, folder, "document_sections")
-    return reports.structure_flags(sections, S.unsectioned_blocks(_blocks(spark, folder), sections), empty_pages(spark, folder))
+    return reports.structure_flags(sections, S.unsectioned_blocks(_blocks(spark, folder, "page_number"), sections), empty_pages(spark, folder))
 
 
 @query
 def page_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.page_samples(_blocks(spark, folder)).select("document_id", "page_number", "n", "block_id")
+    return reports.page_samples(_blocks(spark, folder, "page_number", "reading_order_index", "text"))
 
 
 # Nested records

@@ -160,5 +160,21 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A row as a JSON object a line, in as many files as there are partitions; null fields are written as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_lines(df: DataFrame, column: str, path: str, *order: str) -> None:
+    """One text column as lines; sorted by ``order`` over all files, if given."""
+    (df.orderBy(*order) if order else df).select(F.col(column).cast("string")).where(F.col(column).isNotNull()).write.mode("overwrite").text(path)
+
+
+def write_report(text: str, path: str) -> None:
+    """A report that was rendered in the driver, such as a table of metrics."""
+    with open(path, "w", encoding="utf-8") as file:
+        file.write(text)
+
+
 def write_catalog(documents: DataFrame, path: str) -> None:
     documents.write.mode("append").parquet(path)

@@ -17,7 +17,7 @@ def _answer(spark, text, cited, insufficient=False, known=("E1", "E2")):
     ("text", "cited", "insufficient", "status"),
     [
         ("So [E1].", ["E1"], False, "ok"), ("So [E1, E2].", ["E1", "E2"], False, "ok"), ("So [E1].", ["E1", "E1"], False, "ok"), ("So [E1] [see E2].", ["E1"], False, "ok"),
-        ("So [E1; E2].", ["E1"], False, "malformed"), ("So [source 1].", [], False, "malformed"), ("So [E9].", ["E9"], False, "unknown"), ("So [E2] [E1].", ["E1", "E2"], False, "mismatch"),
+        ("So [E1; E2].", ["E1"], False, "malformed"), ("So [source1].", [], False, "malformed"), ("So [source 1].", [], False, "uncited"), ("So [E9].", ["E9"], False, "unknown"), ("So [E2] [E1].", ["E1", "E2"], False, "mismatch"),
         ("So.", [], False, "uncited"), ("None.", [], True, "ok"), (None, None, None, "uncited"),
     ],
 )

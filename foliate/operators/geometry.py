@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import LEAST_COVERAGE, token_coverage
+
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
@@ -52,50 +55,97 @@ def native_texts(words: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFra
     return lines.groupBy(*keys, "box_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("band", "line"))), lambda x: x["line"]), "\n").alias("native_text"))
 
 
-def _aligned(bands: list[tuple[float, float]], rows: dict[int, tuple[float, float]], least: float = 0.8) -> list[int] | None:
-    """The one row that each band lies in; None if any is unclear or two bands share one."""
-    out = []
-    for top, bottom in bands:
-        fits = [r for r, (a, b) in rows.items() if min(bottom - top, b - a) > 0 and max(0.0, min(bottom, b) - max(top, a)) / min(bottom - top, b - a) >= least]
-        if len(fits) != 1:
-            return None
-        out.append(fits[0])
-    return out if len(set(out)) == len(out) else None
+def _bands(words: pd.DataFrame) -> list[tuple[float, float, float, float, str]]:
+    """The lines that words stand on, from the top: x0, y0, x1, y1 and text. Words of a line overlap in height."""
+    lines: list[pd.DataFrame] = []
+    for _, word in words.sort_values(["y0", "x0"]).iterrows():
+        if lines and ((lines[-1]["y1"] > word["y0"]) & (lines[-1]["y0"] < word["y1"])).any():
+            lines[-1] = pd.concat([lines[-1], word.to_frame().T])
+        else:
+            lines.append(word.to_frame().T)
+    return [(w["x0"].min(), w["y0"].min(), w["x1"].max(), w["y1"].max(), " ".join(w.sort_values("x0")["text"])) for w in lines]
+
+
+def _rows_beside(band: tuple, others: pd.DataFrame) -> set[int]:
+    """Rows of which at least two of the other columns share four fifths of the smaller height with a band."""
+    height = np.minimum(others["y1"] - others["y0"], band[3] - band[1])
+    shared = np.minimum(others["y1"], band[3]) - np.maximum(others["y0"], band[1])
+    level = others[(height > 0) & (shared >= 0.8 * height)]
+    counted = level.groupby("row_index")["column_index"].nunique()
+    return set(counted.index[counted >= 2])
+
 
+def _one_blank(text: str) -> str:
+    return " ".join(text.split())
 
-def split_merged_cells(cells: DataFrame, words: DataFrame) -> DataFrame:
-    """Cells of tables, where one cell that swallowed the words of several rows is cut into those rows.
 
-    ``cells`` has document_id, table_id, row_index, column_index, text, x0, y0, x1, y1; ``words`` has document_id,
-    table_id, text and its box. A cell is cut only if each of its word bands lies in exactly one row, as given by at
-    least two other columns, and no other cell is in the way; else it is left alone.
+def _centred_label(label: Any, bands: list[tuple], own: list[tuple]) -> bool:
+    """Whether a cell of one line, whose words it holds exactly, reaches all bands and stands in the middle of them."""
+    middles = [(b[1] + b[3]) / 2 for b in bands]
+    step = min(b - a for a, b in zip(middles, middles[1:], strict=False))
+    whole = len(own) == 1 and _one_blank(own[0][4]) == _one_blank(label.text)
+    reaches = all(min(label.y1, b[3]) > max(label.y0, b[1]) for b in bands)
+    return whole and reaches and abs((label.y0 + label.y1) / 2 - sum(middles) / len(middles)) <= 0.1 * step
+
+
+def repair_tables(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """Cells of tables, where one cell that swallowed the lines of several rows is cut into those rows.
+
+    ``cells`` has document_id, table_id, row_index, column_index, row_span, column_span, text, x0, y0, x1, y1; ``words`` has
+    document_id, table_id, text and its box. A cell is only cut if all of this holds: it spans one row and one column; its
+    words, line by line, are its text; each line lies in exactly one row, by at least two other columns, and these rows
+    follow one another from its own; no other cell is in the way; and a label of one line in its row stands in the middle
+    of the lines with nothing below it. The label then spans those rows. All else is left as it is.
     """
-    columns = ["document_id", "table_id", "row_index", "column_index", "text", "x0", "y0", "x1", "y1"]
+    columns = ["document_id", "table_id", "row_index", "column_index", "row_span", "column_span", "text", "x0", "y0", "x1", "y1"]
 
     def run(key: tuple, grid: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        taken = {(r, c) for r, c in zip(grid["row_index"], grid["column_index"], strict=True)}
-        out = []
-        for cell in grid.itertuples(index=False):
-            own = found[(found["x0"] + found["x1"] >= 2 * cell.x0) & (found["x0"] + found["x1"] <= 2 * cell.x1) & (found["y0"] + found["y1"] >= 2 * cell.y0) & (found["y0"] + found["y1"] <= 2 * cell.y1)].sort_values(["y0", "x0"])
-            bands: list[list] = []
-            for word in own.itertuples(index=False):
-                if bands and any(min(w.y1, word.y1) > max(w.y0, word.y0) for w in bands[-1]):
-                    bands[-1].append(word)
-                else:
-                    bands.append([word])
-            others = grid[(grid["column_index"] != cell.column_index)]
-            rows = {r: (g["y0"].min(), g["y1"].max()) for r, g in others.groupby("row_index") if g["column_index"].nunique() >= 2}
-            places = _aligned([(min(w.y0 for w in b), max(w.y1 for w in b)) for b in bands], rows) if len(bands) > 1 else None
-            if places and cell.row_index in places and all(r == cell.row_index or (r, cell.column_index) not in taken for r in places):
-                for row, band in zip(places, bands, strict=True):
-                    text = " ".join(w.text for w in sorted(band, key=lambda w: w.x0))
-                    out.append((cell.document_id, cell.table_id, row, cell.column_index, text, min(w.x0 for w in band), min(w.y0 for w in band), max(w.x1 for w in band), max(w.y1 for w in band)))
-            else:
-                out.append(tuple(getattr(cell, c) for c in columns))
-        return pd.DataFrame(out, columns=columns)
-
-    schema = "document_id string, table_id string, row_index int, column_index int, text string, x0 double, y0 double, x1 double, y1 double"
+        grid = grid.reset_index(drop=True)
+        single = grid[(grid["row_span"] == 1) & (grid["column_span"] == 1) & (grid["text"].fillna("").str.strip() != "") & grid["x0"].notna()]
+        middle_x, middle_y = (found["x0"] + found["x1"]) / 2, (found["y0"] + found["y1"]) / 2
+        taken = set(zip(grid["row_index"], grid["column_index"], strict=True))
+        lines = {c.Index: _bands(found[middle_x.between(c.x0, c.x1) & middle_y.between(c.y0, c.y1)]) for c in single.itertuples()}
+        cut: dict[int, list[tuple]] = {}
+        spans: dict[int, int] = {}
+        for cell in single.itertuples():
+            bands = lines[cell.Index]
+            if len(bands) < 2 or _one_blank(" ".join(b[4] for b in bands)) != _one_blank(cell.text):
+                continue
+            rows = range(cell.row_index, cell.row_index + len(bands))
+            beside = single[single["column_index"] != cell.column_index]
+            if any(_rows_beside(band, beside) != {row} for band, row in zip(bands, rows, strict=True)) or any((row, cell.column_index) in taken for row in rows[1:]):
+                continue
+            labels = [c.Index for c in beside[beside["row_index"] == cell.row_index].itertuples() if not any((row, c.column_index) in taken for row in rows[1:]) and _centred_label(c, bands, lines[c.Index])]
+            if labels:
+                cut[cell.Index] = [(*key, row, cell.column_index, 1, 1, band[4], *band[:4]) for row, band in zip(rows, bands, strict=True)]
+                spans.update(dict.fromkeys(labels, len(bands)))
+        grid.loc[list(spans), "row_span"] = list(spans.values())
+        kept = grid.drop(index=list(cut))[columns]
+        added = pd.DataFrame([row for rows in cut.values() for row in rows], columns=columns)
+        return pd.concat([kept, added]) if len(added) else kept
+
+    schema = "document_id string, table_id string, row_index int, column_index int, row_span int, column_span int, text string, x0 double, y0 double, x1 double, y1 double"
     left = cells.select(*columns).groupBy("document_id", "table_id")
     return left.cogroup(words.select("document_id", "table_id", "text", "x0", "y0", "x1", "y1").groupBy("document_id", "table_id")).applyInPandas(run, schema)
 
 
+def native_gate(tables: DataFrame, words: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """(document_id, table_id, native_text, coverage, gate): the words inside each table against its own text.
+
+    ``tables`` has document_id, table_id, page_number, text and a box; ``words`` document_id, page_number, text and a box.
+    ``gate`` is ``native`` where the words cover less of the table than ``least`` (they stand in for it), ``repair`` where
+    they cover enough for a repair, ``none`` where there are no words.
+    """
+    boxes = tables.select("document_id", "page_number", F.col("table_id").alias("box_id"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
+    native = native_texts(words, boxes, ["document_id", "page_number"])
+    native = native.select("document_id", F.col("box_id").alias("table_id"), "native_text")
+    covered = token_coverage(tables.select("document_id", "table_id", "text"), native.select("document_id", "table_id", F.col("native_text").alias("text")), ["document_id", "table_id"])
+    gate = F.when(F.col("native_text").isNull(), "none").when(F.col("coverage") < least, "native").otherwise("repair")
+    return tables.select("document_id", "table_id").distinct().join(native, ["document_id", "table_id"], "left").join(covered, ["document_id", "table_id"], "left").select("document_id", "table_id", "native_text", "coverage", gate.alias("gate"))
+
+
+def table_notes(tables: DataFrame) -> DataFrame:
+    """(document_id, table_id, caption, quality_notes): captions as one text, null if blank, and a note on what is missing."""
+    caption = F.nullif(F.trim(F.array_join("captions", " ")), F.lit(""))
+    lacks = F.when(F.col("cells").isNull(), F.array(F.lit("Table item has no table data."))).when(F.size("cells") == 0, F.array(F.lit("Table item has no row grid."))).otherwise(F.array().cast("array<string>"))
+    return tables.select("document_id", "table_id", caption.alias("caption"), lacks.alias("quality_notes"))

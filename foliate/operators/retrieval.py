@@ -71,6 +71,18 @@ def dense_topk_batch(vectors: DataFrame, queries: DataFrame, top_k: int = 5, key
     return ranked.select("query_id", "rank", key, "cosine_distance", F.round(1 - F.col("cosine_distance"), PLACES).alias("similarity"))
 
 
+def _nearer(best_d: np.ndarray, best_k: np.ndarray, q: np.ndarray, keys: np.ndarray, v: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best so far and the rows of a block, cut to the nearest ``top_k`` of each query; ties to the smaller key."""
+    with np.errstate(all="ignore"):
+        d = np.round(1 - q @ v.T, PLACES) + 0.0
+    d[~np.isfinite(d)] = np.inf
+    all_d = np.concatenate([best_d, d], axis=1)
+    all_k = np.concatenate([best_k, np.broadcast_to(keys, d.shape)], axis=1)
+    # Keys of any kind are compared by their place among those at hand.
+    order = np.lexsort((all_k if all_k.dtype.kind in "iuf" else np.unique(all_k, return_inverse=True)[1].reshape(all_k.shape), all_d), axis=1)[:, :top_k]
+    return np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_k, order, axis=1)
+
+
 def _block_topk(vectors: DataFrame, queries: DataFrame, top_k: int, key: str, vector: str, scope: str | None, kinds: dict[str, str], query_kind: str) -> DataFrame:
     rows = queries.toArrow()
     ids = rows.column("query_id").to_numpy(zero_copy_only=False)
@@ -82,6 +94,8 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, top_k: int, key: str, ve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame | pa.RecordBatch]:
         q_ids, q_scopes, q = sent.value
+        # Queries meet the rows of their own scope only.
+        asked = {s: np.flatnonzero(q_scopes == s) for s in pd.unique(q_scopes)} if len(q_ids) else {}
         best_d = np.full((len(q_ids), top_k), np.inf)
         best_k: np.ndarray | None = None
         for whole in batches:
@@ -96,16 +110,13 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, top_k: int, key: str, ve
                 v = np.array([x for x in given if x is not None and len(x) == q.shape[1]], dtype=np.float64)
                 with np.errstate(all="ignore"):
                     v /= np.linalg.norm(v, axis=1, keepdims=True)
-                d = np.round(1 - q @ v.T, PLACES) + 0.0
-                d[~np.isfinite(d)] = np.inf
-                if scope:
-                    d[q_scopes[:, None] != own[None, :]] = np.inf
                 if best_k is None:
                     best_k = np.full((len(q_ids), top_k), keys[0], dtype=keys.dtype)
-                all_d = np.concatenate([best_d, d], axis=1)
-                all_k = np.concatenate([best_k, np.broadcast_to(keys, d.shape)], axis=1)
-                order = np.lexsort((all_k, all_d), axis=1)[:, :top_k] if all_k.dtype.kind in "iuf" else np.array([sorted(range(len(r)), key=lambda j, r=r, k=k: (r[j], k[j]))[:top_k] for r, k in zip(all_d, all_k, strict=True)])
-                best_d, best_k = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_k, order, axis=1)
+                codes, present = pd.factorize(own)
+                for code, name in enumerate(present):
+                    mine = asked.get(name)
+                    if mine is not None:
+                        best_d[mine], best_k[mine] = _nearer(best_d[mine], best_k[mine], q[mine], keys[codes == code], v[codes == code], top_k)
         if best_k is not None:
             i, j = np.nonzero(np.isfinite(best_d))
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(best_k[i, j]), pa.array(best_d[i, j])], names=["query_id", key, "cosine_distance"])

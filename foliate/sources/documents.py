@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
+import multiprocessing
 import re
-import threading
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -102,25 +102,34 @@ def register_parser(extensions: tuple[str, ...], parser: Callable[[str], list[tu
 
 
 def _within(seconds: float | None, work: Callable[[], list]) -> list:
-    """The result of ``work``, or TimeoutError; a parser that hangs is left behind in its thread."""
+    """The result of ``work``, or TimeoutError; it runs in a process of its own, which is ended when its time is over."""
     if seconds is None:
         return work()
-    box: dict[str, object] = {}
+    context = multiprocessing.get_context("fork")
+    near, far = context.Pipe(duplex=False)
 
     def call() -> None:
         try:
-            box["out"] = work()
+            far.send((True, work()))
         except Exception as error:  # noqa: BLE001
-            box["error"] = error
-
-    thread = threading.Thread(target=call, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if thread.is_alive():
-        raise TimeoutError("page timed out")
-    if "error" in box:
-        raise box["error"]  # type: ignore[misc]
-    return box["out"]  # type: ignore[return-value]
+            far.send((False, f"{type(error).__name__}: {error}"))
+
+    process = context.Process(target=call, daemon=True)
+    process.start()
+    far.close()
+    try:
+        if not near.poll(seconds):
+            raise TimeoutError("page timed out")
+        done, out = near.recv()
+    except EOFError:
+        raise RuntimeError("the parser ended without a result") from None
+    finally:
+        process.kill()
+        process.join()
+        near.close()
+    if not done:
+        raise RuntimeError(out)
+    return out
 
 
 def parse_files(files: DataFrame, pages: tuple[int, int] | None = None, timeout: float | None = None) -> DataFrame:

@@ -105,7 +105,7 @@ def test_coverage(spark):
 def _greedy(lengths, used, limit):
     groups, size = [], None
     for n in lengths:
-        grown = None if size is None else size + (2 if size > used else 0) + n
+        grown = None if size is None else size + 2 + n  # a separator before every segment but the first
         if grown is None or grown > limit:
             groups.append([n])
             size = used + n
@@ -145,12 +145,41 @@ def test_words_bands_and_merged_rows(spark):
     words = spark.createDataFrame([("d", "t", w, x, y, x + 8.0, y + 8.0) for w, x, y in [("top", 5.0, 1.0), ("low", 5.0, 21.0), ("left", 1.0, 1.5)]], "document_id string, table_id string, text string, x0 double, y0 double, x1 double, y1 double")
     boxes = spark.createDataFrame([("d", "t", "c", 0.0, 0.0, 20.0, 40.0)], "document_id string, table_id string, box_id string, bx0 double, by0 double, bx1 double, by1 double")
     assert geometry.native_texts(words, boxes, ["document_id", "table_id"]).first().native_text == "left top\nlow"
-    cells = [("d", "t", 0, 0, "top low", 0.0, 0.0, 20.0, 40.0)] + [("d", "t", r, c, "v", 20.0 * c, 20.0 * r, 20.0 * c + 19, 20.0 * r + 10) for r in (0, 1) for c in (1, 2)]
-    df = spark.createDataFrame(cells, "document_id string, table_id string, row_index int, column_index int, text string, x0 double, y0 double, x1 double, y1 double")
-    got = {(r.row_index, r.text) for r in geometry.split_merged_cells(df, words).collect() if r.column_index == 0}
-    assert got == {(0, "left top"), (1, "low")}
-    alone = df.where("column_index < 2")  # only one other column: unclear, left as it is
-    assert {r.text for r in geometry.split_merged_cells(alone, words).collect() if r.column_index == 0} == {"top low"}
+
+
+CELL = "document_id string, table_id string, row_index int, column_index int, row_span int, column_span int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+@pytest.mark.parametrize(("change", "cut"), [({}, True), ({"text": "top other"}, False), ({"label": 20.0}, False), ({"columns": (1,)}, False), ({"below": True}, False), ({"rows": (0, 2)}, False), ({"no_label": True}, False)])
+def test_a_cell_is_cut_only_where_all_is_clear(spark, change, cut):
+    """Two lines in one cell, two other columns with a row for each, and a label in the middle of both."""
+    columns, rows, top = change.get("columns", (1, 2)), change.get("rows", (0, 1)), change.get("label", 0.0)
+    cells = [("d", "t", 0, 0, 1, 1, change.get("text", "top low"), 0.0, 0.0, 19.0, 30.0)] + [("d", "t", r, c, 1, 1, "v", 20.0 * c, 20.0 * i, 20.0 * c + 19, 20.0 * i + 10) for i, r in enumerate(rows) for c in columns]
+    cells += [] if change.get("no_label") else [("d", "t", 0, 3, 1, 1, "Label", 60.0, top, 79.0, top + 30)]
+    cells += [("d", "t", 1, 0, 1, 1, "x", 0.0, 31.0, 19.0, 40.0)] if change.get("below") else []
+    words = [("top", 5.0, 1.0), ("low", 5.0, 21.0), ("Label", 65.0, top + 11), *(("v", 20.0 * c + 5, 20.0 * i + 1) for i in (0, 1) for c in columns)]
+    found = spark.createDataFrame([("d", "t", w, x, y, x + 8.0, y + 8.0) for w, x, y in words], "document_id string, table_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.row_index, r.column_index): (r.text, r.row_span) for r in geometry.repair_tables(spark.createDataFrame(cells, CELL), found).collect()}
+    if cut:
+        assert got[0, 0] == ("top", 1) and got[1, 0] == ("low", 1) and got[0, 3] == ("Label", 2)
+    else:
+        assert got[0, 0][0] == cells[0][6] and all(span == 1 for _, span in got.values()) and len(got) == len(cells)
+
+
+def test_gate_of_native_text_and_notes(spark):
+    box = "document_id string, page_number int, text string, x0 double, y0 double, x1 double, y1 double"
+    words = spark.createDataFrame([("d", 1, "alpha", 1.0, 1.0, 5.0, 5.0), ("d", 1, "beta", 6.0, 1.0, 9.0, 5.0)], box)
+    tables = spark.createDataFrame([("d", 1, "alpha beta", 0.0, 0.0, 10.0, 10.0, "a"), ("d", 1, "alpha gamma delta", 0.0, 0.0, 10.0, 10.0, "b"), ("d", 2, "x", 0.0, 0.0, 10.0, 10.0, "c")], f"{box}, table_id string")
+    got = {r.table_id: (r.native_text, r.gate) for r in geometry.native_gate(tables, words).collect()}
+    assert got == {"a": ("alpha beta", "repair"), "b": ("alpha beta", "native"), "c": (None, "none")}
+    notes = spark.createDataFrame([("d", "a", ["One", "two"], None), ("d", "b", [" "], []), ("d", "c", None, ["x"])], "document_id string, table_id string, captions array<string>, cells array<string>")
+    assert {r.table_id: (r.caption, len(r.quality_notes)) for r in geometry.table_notes(notes).collect()} == {"a": ("One two", 1), "b": (None, 1), "c": (None, 0)}
+
+
+def test_vertical_flip(spark):
+    df = spark.createDataFrame([(10.0, 30.0, "BOTTOM_LEFT"), (30.0, 10.0, "top_left")], "y0 double, y1 double, origin string")
+    top, bottom = geometry.flip_vertical(geometry.F.col("y0"), geometry.F.col("y1"), geometry.F.lit(100.0), geometry.F.col("origin"))
+    assert {tuple(r) for r in df.select(top, bottom).collect()} == {(70.0, 90.0), (10.0, 30.0)}
 
 
 def test_markdown_markers(spark):

@@ -56,18 +56,32 @@ def cover_density(places: list[list[int]]) -> float:
     return score
 
 
+def _matches(asked: DataFrame, texts: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(query_id, ``key``, terms, words) of the texts that hold every term of a query.
+
+    ``asked`` has query_id, ``keys`` and terms; ``texts`` has ``key``, ``keys`` and words (their terms in order). A query is
+    joined by its rarest term only, as a text without that is no match; the others are tested on the row. So a term that
+    stands in a third of all texts is joined for queries of nothing rarer alone.
+    """
+    postings = texts.select(key, *keys, F.explode(F.array_distinct("words")).alias("term"))
+    # Counted among the terms that are asked for, combined before the shuffle.
+    wanted = asked.select("query_id", *keys, F.explode("terms").alias("term"))
+    counts = postings.join(wanted.select(*keys, "term").distinct(), [*keys, "term"], "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("texts"))
+    # A term that no text has counts 0, so that its query meets nothing.
+    ranked = wanted.join(counts, [*keys, "term"], "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "term")).alias("term"))
+    met = asked.join(ranked, "query_id").join(postings, [*keys, "term"]).select("query_id", key, *keys, "terms")
+    return met.join(texts, [key, *keys]).where(F.size(F.array_except("terms", "words")) == 0).select("query_id", key, "terms", "words")
+
+
 def lexical_match(queries: DataFrame, texts: DataFrame, key: str = "chunk_id", scope: str | None = None) -> DataFrame:
     """(query_id, ``key``, terms): texts that hold every term of the query; a query without terms matches nothing.
 
-    An inverted index joined on the term, and on ``scope`` if given, then counted per pair; nothing is paired that
-    shares no term. Frequent terms are joined like others, partial counts combine before the shuffle.
+    ``query_id`` and ``key`` are unique.
     """
     keys = [scope] if scope else []
-    asked = queries.select("query_id", *keys, F.explode(F.array_distinct(words(F.col("question")))).alias("term"))
-    needed = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    index = texts.select(key, *keys, F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = asked.join(index, [*keys, "term"]).groupBy("query_id", key).agg(F.count("*").alias("hits"))
-    return hits.join(needed, "query_id").where("hits = terms").select("query_id", key, "terms")
+    asked = queries.select("query_id", *keys, F.array_distinct(words(F.col("question"))).alias("terms")).where(F.size("terms") > 0)
+    indexed = texts.select(key, *keys, words(F.col("text")).alias("words"))
+    return _matches(asked, indexed, key, keys).select("query_id", key, F.size("terms").cast("bigint").alias("terms"))
 
 
 def lexical_topk(queries: DataFrame, texts: DataFrame, top_k: int = 5, key: str = "chunk_id", scope: str | None = None) -> DataFrame:
@@ -82,15 +96,19 @@ def lexical_topk(queries: DataFrame, texts: DataFrame, top_k: int = 5, key: str
             yield batch.map(lambda ws: [stem(w) for w in ws] if ws is not None else [])
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda spots: cover_density([list(s) for s in spots]))
-
-    asked = queries.select("query_id", *keys, F.explode(F.array_distinct(stems(words(F.col("question"))))).alias("term"))
-    needed = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    places = texts.select(key, *keys, F.posexplode(stems(words(F.col("text")))).alias("at", "term")).groupBy(key, *keys, "term").agg(F.sort_array(F.collect_list("at")).alias("spots"))
-    hits = asked.join(places, [*keys, "term"]).groupBy("query_id", key).agg(F.count("*").alias("hits"), F.collect_list("spots").alias("all_spots"))
-    full = hits.join(needed, "query_id").where("hits = terms")
-    scored = full.select("query_id", key, F.round(score("all_spots"), 9).alias("score"))
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for terms, texts_ in batches:
+            found = []
+            for wanted, held in zip(terms, texts_, strict=True):
+                spots: dict[str, list[int]] = {t: [] for t in wanted}
+                for at, word in enumerate(held):
+                    if word in spots:
+                        spots[word].append(at)
+                found.append(cover_density(list(spots.values())))
+            yield pd.Series(found)
+
+    asked = queries.select("query_id", *keys, F.array_distinct(stems(words(F.col("question")))).alias("terms")).where(F.size("terms") > 0)
+    indexed = texts.select(key, *keys, stems(words(F.col("text"))).alias("words"))
+    scored = _matches(asked, indexed, key, keys).select("query_id", key, F.round(score("terms", "words"), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", key, "score")

@@ -18,6 +18,20 @@ def content_order(page: str = "page_number", order: str = "reading_order_index")
     return [F.coalesce(F.nullif(F.col(page), F.lit(0)), F.lit(LAST)), F.coalesce(F.col(order), F.lit(LAST))]
 
 
+def running(rows: DataFrame, weight: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``weight`` over a document in content order, up to and with each row.
+
+    Rows are summed within their page, and pages within their document, so that no task holds a whole document.
+    """
+    page = content_order()[0].alias("_page")
+    marked = rows.select("*", page, weight.alias("_weight"))
+    inside = Window.partitionBy("document_id", "_page").orderBy(content_order()[1], "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("document_id").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = marked.groupBy("document_id", "_page").agg(F.sum("_weight").alias("_sum")).select("document_id", "_page", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    summed = marked.withColumn("_run", F.sum("_weight").over(inside)).join(pages, ["document_id", "_page"])
+    return summed.select(*rows.columns, (F.col("_run") + F.col("_offset")).alias(name))
+
+
 def distinct_blocks(blocks: DataFrame, *wanted: str) -> DataFrame:
     """One row per (document_id, block_id): redelivered rows differ in the time of arrival only, the first wins; of
     several that arrived at once, the least.

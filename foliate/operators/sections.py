@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from .blocks import content_order, heading_level, heading_number
+from .blocks import heading_level, heading_number, running
 
 
 def headings(blocks: DataFrame) -> DataFrame:
     """(document_id, pos, block_id, page_number, title, level, numbered) of the headings in content order."""
-    order = Window.partitionBy("document_id").orderBy(*content_order(), "block_id")
-    rows = blocks.where("block_type = 'section_header'").withColumn("pos", F.row_number().over(order))
+    rows = running(blocks.where("block_type = 'section_header'"), F.lit(1), "pos").withColumn("pos", F.col("pos").cast("int"))
     return rows.select("document_id", "pos", "block_id", "page_number", "reading_order_index", F.trim("text").alias("title"), heading_level(F.col("text")).alias("level"), (heading_number(F.col("text")) != "").alias("numbered"))
 
 
@@ -41,9 +40,8 @@ def reconstruct_sections(blocks: DataFrame) -> DataFrame:
 
 def active_sections(blocks: DataFrame) -> DataFrame:
     """(document_id, block_id, section_pos): the most recent heading before each other block, null before the first."""
-    order = Window.partitionBy("document_id").orderBy(*content_order(), "block_id")
     is_heading = F.col("block_type") == "section_header"
-    numbered = blocks.withColumn("heading_no", F.sum(F.when(is_heading, 1).otherwise(0)).over(order))
+    numbered = running(blocks, F.when(is_heading, 1).otherwise(0), "heading_no")
     return numbered.where(~is_heading).select("document_id", "block_id", F.nullif("heading_no", F.lit(0)).alias("section_pos"))
 
 

@@ -43,6 +43,7 @@ HYPHENS = "-­¬‐‑"
 TOKEN = re.compile(rf"[^\W_{re.escape(SIGNS)}](?:[^\W_]|[{re.escape(SIGNS)}])*|[{re.escape(SIGNS)}](?=[^\W\d_])(?:[^\W_]|[{re.escape(SIGNS)}])+")
 ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+")
 BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[{re.escape(SIGNS)}])*)[ ]?[{HYPHENS}][ \t]*$")
+_HYPHENS = frozenset(HYPHENS)
 BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n")
 FIRST = re.compile(rf"^\s*((?:[^\W_]|[{re.escape(SIGNS)}])+)")
 CODE = re.compile(r"^[A-Z]+\d+$")
@@ -67,10 +68,19 @@ COUNTER_WORDS = 300_000
 REMEMBERED_CELLS, CELL_CHARACTERS = 100_000, 80
 
 
+def is_plain(text: str) -> bool:
+    """ASCII without the signs that a scan puts between letters."""
+    return text.isascii() and "!" not in text and "|" not in text and "@" not in text and "$" not in text
+
+
 def tokens(text: str) -> list[str]:
     """Words with what a scan may have put between their letters; plain words are found by a plain pattern."""
-    plain = text.isascii() and "!" not in text and "|" not in text and "@" not in text and "$" not in text
-    return ASCII_TOKEN.findall(text) if plain else TOKEN.findall(text)
+    return ASCII_TOKEN.findall(text) if is_plain(text) else TOKEN.findall(text)
+
+
+def broken_end(line: str) -> re.Match | None:
+    """The word that a hyphen breaks at the end of a line."""
+    return BROKEN.search(line) if line.rstrip(" \t")[-1:] in _HYPHENS else None
 
 
 MODULUS = 1 << 63
@@ -144,7 +154,7 @@ def _halves(lines: list[str]) -> Iterator[tuple[int, re.Match, list[int]]]:
             else:
                 low = at
     for at, line in enumerate(lines[:-1]):
-        broken = BROKEN.search(line)
+        broken = broken_end(line)
         if broken:
             far = after[at][1 if broken.group(1).isupper() and len(broken.group(1)) > 1 else 0]
             yield at, broken, [*range(at + 1, min(at + 4, len(lines))), *([far] if far is not None and far > at + 3 else [])]
@@ -179,12 +189,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = tokens(line)
                     if broken and words:
                         words = words[1:]
-                    broken = bool(BROKEN.search(line))
+                    broken = bool(broken_end(line))
                     counts.update(words[:-1] if broken else words)
                 for word in _possible_words(text.split("\n")):
                     counts[word] += 0
             else:
-                plain[text.isascii()].append(text)
+                plain[is_plain(text)].append(text)
         for texts in plain.values():
             # No token holds a line end, so that texts without broken lines are read at once.
             counts.update(tokens("\n".join(texts)))
@@ -413,7 +423,7 @@ class Repairer:
         for at, line in enumerate(kept):
             if at in taken:
                 line = line[taken[at] :].lstrip()
-            broken = BROKEN.search(line) if at in others else None
+            broken = broken_end(line) if at in others else None
             if broken:
                 half = broken.group(1)
                 for place in others[at]:

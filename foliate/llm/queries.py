@@ -118,10 +118,22 @@ _SECTION_SIZES = f"""(SELECT r.document_id, r.section_id, sum(length(p.text)) +
   JOIN (SELECT DISTINCT document_id, 0 AS kind, block_id AS part, trim(text, {_TRIM}) AS text FROM document_blocks UNION ALL SELECT DISTINCT document_id, 1, table_id, trim(native_text, {_TRIM}) FROM parsed_tables) p USING (document_id, kind, part)
   WHERE length(p.text) > 0 GROUP BY 1, 2)"""
 
+_WORDS = """SELECT DISTINCT kind, id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM (SELECT 'chunk' AS kind, chunk_id AS id, text FROM retrieved_chunks UNION ALL SELECT 'exclusion', exclusion_id, reason FROM context_exclusions) WHERE text IS NOT NULL"""
+_ALIKE = f"""WITH RECURSIVE m AS (SELECT kind, id, array_to_string(ws, ' ') AS words, ws FROM ({_WORDS}) WHERE len(ws) >= {near_duplicates.LEAST_WORDS}),
+  e AS (SELECT kind, words, g, row_number() OVER (PARTITION BY kind, words, g) AS k FROM (SELECT kind, words, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT DISTINCT kind, words, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM m))),
+  n AS (SELECT kind, words, count(*) AS n FROM e GROUP BY 1, 2),
+  p AS (SELECT c.kind, c.a, c.b FROM (SELECT a.kind, a.words AS a, b.words AS b, count(*) AS c FROM e a JOIN e b USING (kind, g, k) WHERE a.words <> b.words GROUP BY 1, 2, 3) c
+    JOIN n x ON x.kind = c.kind AND x.words = c.a JOIN n y ON y.kind = c.kind AND y.words = c.b WHERE c.c >= ceil({near_duplicates.LIKENESS} * greatest(x.n, y.n) - 1e-9))"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express over whole tables; the others are tested against brute force or round trips."""
     return {
+        "p1_found": _ALIKE + """ SELECT DISTINCT kind AS record_kind, id_a, id_b FROM (SELECT x.kind, x.id AS id_a, y.id AS id_b FROM m x JOIN m y ON y.kind = x.kind AND y.words = x.words
+          UNION ALL SELECT x.kind, x.id, y.id FROM p JOIN m x ON x.kind = p.kind AND x.words = p.a JOIN m y ON y.kind = p.kind AND y.words = p.b) WHERE id_a < id_b""",
+        "p1_groups": _ALIKE + """, r(kind, words, other) AS (SELECT kind, words, words FROM n UNION SELECT r.kind, r.words, p.b FROM r JOIN p ON p.kind = r.kind AND p.a = r.other),
+          g AS (SELECT r.kind, r.words, min(m.id) AS least FROM r JOIN m ON m.kind = r.kind AND m.words = r.other GROUP BY 1, 2)
+          SELECT m.kind, m.id, g.least AS "group", (SELECT count(*) FROM p WHERE p.kind = m.kind AND p.a = m.words) AS links, (SELECT count(*) FROM m o WHERE o.kind = m.kind AND o.words = m.words) AS copies FROM m JOIN g ON g.kind = m.kind AND g.words = m.words""",
         "p3_found": f"SELECT DISTINCT document_id, block_id, line_no FROM {_LINES} JOIN {_REPEATED} USING (collection, words)",
         "p3_lines": f"SELECT collection, words, documents FROM {_REPEATED}",
         "p3_clean": f"""SELECT b.document_id, b.block_id, CASE WHEN d.drop_lines IS NULL THEN b.text ELSE array_to_string(list_filter(string_split(b.text, chr(10)), lambda x, i: NOT list_contains(d.drop_lines, i)), chr(10)) END AS clean_text, coalesce(len(d.drop_lines), 0)::INT AS lines_removed

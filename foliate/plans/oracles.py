@@ -270,3 +270,31 @@ ORACLES["page_markdown"] = f"""WITH t AS ({ORACLES["table_markdown"]}),
     UNION ALL SELECT document_id, page_number, coalesce(reading_order_index, 0), 1, table_id, markdown FROM {TABLES} JOIN t USING (document_id, table_id)),
   p AS (SELECT document_id, page_number, '<!-- Page ' || page_number || ' -->' || repeat(chr(10), 2) || '# Page ' || page_number || repeat(chr(10), 2) || string_agg(body, repeat(chr(10), 2) ORDER BY o, kind, id) AS m FROM i WHERE page_number IS NOT NULL GROUP BY 1, 2)
   SELECT document_id, page_number, sha256(m) AS markdown_hash, length(m)::INT AS characters FROM p"""
+
+
+_SPLIT = "greatest(3000 - used, 1)"
+ORACLES["chunk_rows"] = TREE + f""",
+  paths AS (SELECT up.document_id, up.section_id, list(s.title ORDER BY distance DESC) AS path FROM up JOIN document_sections s ON s.document_id = up.document_id AND s.section_id = up.ancestor GROUP BY 1, 2),
+  heads AS (SELECT document_id, section_id, path, 'Section: ' || array_to_string(path, ' > ') || repeat(chr(10), 2) AS prefix, page_start, heading_block_id FROM document_sections JOIN paths USING (document_id, section_id)),
+  content AS (SELECT document_id, block_id AS id, 0 AS kind, page_number, reading_order_index, text, page_number AS first_page, page_number AS last_page FROM {BLOCKS} WHERE NOT {_blank("text")}
+    UNION ALL SELECT document_id, table_id, 1, page_number, reading_order_index, CASE WHEN native_text_coverage < 0.85 AND NOT isnan(native_text_coverage) AND length(native_text) > 0 THEN native_text ELSE rendered END, least(list_min(page_numbers), page_number), greatest(list_max(page_numbers), page_number)
+    FROM {TABLES} JOIN ({ORACLES["table_render"]}) USING (document_id, table_id)),
+  refs AS (SELECT DISTINCT document_id, section_id, id, 0 AS kind FROM (SELECT document_id, section_id, heading_block_id, unnest(blocks) AS id FROM document_sections) WHERE id <> heading_block_id UNION ALL SELECT DISTINCT document_id, section_id, unnest(tables), 1 FROM document_sections),
+  known AS (SELECT document_id, id, kind FROM refs UNION SELECT document_id, heading_block_id, 0 FROM document_sections),
+  items AS (SELECT section_id, content.* FROM content JOIN refs USING (document_id, id, kind) UNION ALL SELECT '', content.* FROM content ANTI JOIN known USING (document_id, id, kind)),
+  placed AS (SELECT *, row_number() OVER w AS place, sum(kind) OVER w AS run FROM items WINDOW w AS (PARTITION BY document_id, section_id ORDER BY {ORDER}, kind, id ROWS UNBOUNDED PRECEDING)),
+  sized AS (SELECT placed.*, coalesce(length(prefix), 0) AS used FROM placed LEFT JOIN heads USING (document_id, section_id)),
+  pieces AS (SELECT *, substr(text, i * {_SPLIT} + 1, {_SPLIT}) AS part FROM (SELECT *, unnest(generate_series(0, greatest(length(text) - 1, 0) // {_SPLIT})) AS i FROM sized WHERE kind = 0)),
+  lined AS (SELECT *, length(part) AS n_chars, row_number() OVER (PARTITION BY document_id, section_id, run ORDER BY place, i) AS n FROM pieces),
+  packed(document_id, section_id, run, n, size, g) AS (SELECT document_id, section_id, run, n, used + n_chars, 0 FROM lined WHERE n = 1
+    UNION ALL SELECT x.document_id, x.section_id, x.run, x.n, CASE WHEN p.size + 2 + n_chars > 3000 THEN used + n_chars ELSE p.size + 2 + n_chars END, CASE WHEN p.size + 2 + n_chars > 3000 THEN g + 1 ELSE g END
+    FROM packed p JOIN lined x ON x.document_id = p.document_id AND x.section_id = p.section_id AND x.run = p.run AND x.n = p.n + 1),
+  texts AS (SELECT document_id, section_id, run * 2 AS major, g AS minor, string_agg(part, repeat(chr(10), 2) ORDER BY n) AS body, list(id ORDER BY n) AS ids, min(page_number) AS page_start, max(page_number) AS page_end FROM packed JOIN lined USING (document_id, section_id, run, n) GROUP BY 1, 2, 3, 4),
+  parts AS (SELECT document_id, section_id, major, minor, body, 'prose' AS content_type, {_distinct("ids")} AS ids, NULL AS table_id, page_start, page_end FROM texts
+    UNION ALL SELECT document_id, section_id, run * 2 - 1, 0, coalesce(text, ''), 'table', [], id, first_page, last_page FROM placed WHERE kind = 1
+    UNION ALL SELECT document_id, section_id, 0, 0, '', 'prose', list_filter([heading_block_id], lambda x: x IS NOT NULL), NULL, page_start, page_start FROM heads ANTI JOIN placed USING (document_id, section_id)),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id, section_id ORDER BY major, minor) - 1 AS ordinal FROM parts),
+  headed AS (SELECT h.document_id, h.section_id, h.heading_block_id, b.page_number AS heading_page FROM heads h JOIN {BLOCKS} b ON b.document_id = h.document_id AND b.block_id = h.heading_block_id),
+  done AS (SELECT n.*, CASE WHEN n.ordinal = 0 AND heading_block_id IS NOT NULL THEN list_prepend(heading_block_id, list_filter(ids, lambda x: x <> heading_block_id)) ELSE ids END AS sources, CASE WHEN n.ordinal = 0 THEN heading_page END AS extra FROM numbered n LEFT JOIN headed USING (document_id, section_id))
+  SELECT document_id, nullif(section_id, '') AS section_id, coalesce(array_to_string(path, ' > '), '') AS path, content_type, sha256(regexp_replace(coalesce(prefix, '') || body, '{_SPACE}+$', '')) AS text_hash, least(d.page_start, extra) AS page_start, greatest(page_end, extra) AS page_end,
+    array_to_string(sources, ',') AS block_ids, coalesce(table_id, '') AS table_ids, ordinal::INT AS ordinal FROM done d LEFT JOIN (SELECT document_id, section_id, path, prefix FROM heads) USING (document_id, section_id)"""

@@ -193,6 +193,13 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, folder, "document_sections"), _blocks(spark, folder), _tables(spark, folder))
 
 
+@query
+def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks but for their ids."""
+    joined = lambda name: F.array_join(name, ",")
+    return chunks(spark, folder).select("document_id", "section_id", F.array_join("section_path", " > ").alias("path"), "content_type", F.sha2("text", 256).alias("text_hash"), "page_start", "page_end", joined("source_block_ids").alias("block_ids"), joined("source_table_ids").alias("table_ids"), "ordinal")
+
+
 @query
 def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.chunk_report(_chunk_texts(spark, folder).where("text IS NOT NULL"))

@@ -104,8 +104,11 @@ def stopped(text: str) -> bool:
 def word_contexts(df: DataFrame, text: str | Column) -> DataFrame:
     """(word, inner, last): how often each word of all different texts has something behind it, and how often a text
     stops right after it."""
-    words = F.expr("regexp_extract_all(lower(t), \"(\\\\p{L}+(?:['’-]\\\\p{L}+)*)(?=[\\\\s.,;:!?\\\\[\\\\])\\\"])\", 1)")
-    end = F.regexp_extract(F.lower("t"), "(\\p{L}+(?:['’-]\\p{L}+)*)\\s*$", 1)
+    # Words are only begun where no letter is before them and never given back, so that long runs of letters cost no more
+    # than their length.
+    word = r"(?<![\p{L}'’-])(\p{L}++(?:['’-]\p{L}++)*+)"
+    words = F.regexp_extract_all(F.lower("t"), F.lit(word + r"(?=[\s.,;:!?\[\])\"])"), 1)
+    end = F.regexp_extract(F.lower("t"), word + r"\s*+$", 1)
     column = F.col(text) if isinstance(text, str) else text
     texts = df.select(column.alias("t")).distinct()
     inner = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("inner"), F.lit(0).alias("last")))

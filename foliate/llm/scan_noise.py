@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Container, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, repeat
 
 import pandas as pd
 import pyarrow as pa
@@ -59,7 +59,8 @@ HEADER_PAGES = 3
 RATIO = 12
 RATIO_SIGNS = 3
 KNOWN_LEAST = 3
-BROADCAST_ROWS = 400_000
+#: Documents with headers that are sent to every task; more are joined.
+BROADCAST_ROWS = 200_000
 VOCABULARY_BYTES = 64_000_000
 #: Known words that are sent in any case, so that only rarer ones have to be joined to large vocabularies.
 FREQUENT_WORDS = 100_000
@@ -543,7 +544,14 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
     size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("word") + F.coalesce(F.octet_length("meant"), F.lit(0)) + 8), F.lit(0))).first()[0]
     small = size <= vocabulary_bytes
     headers = materialize(running_headers(counted))
-    headed = records.join(F.broadcast(headers) if small_enough(headers, BROADCAST_ROWS) else headers, "document_id", "left")
+    # The page of a cell decides nothing, and headers are looked up in what is sent, or joined where they are too many.
+    few = small_enough(headers, BROADCAST_ROWS)
+    records = records.withColumn("pages", F.when(F.col("kind") != "cell", F.col("pages")))
+    if few:
+        known_headers = spark.sparkContext.broadcast(headers.toArrow().combine_chunks())
+        headed = records.select("*", F.lit(None).cast("array<bigint>").alias("headers"), F.lit(None).cast("int").alias("longest"))
+    else:
+        headed = records.join(headers, "document_id", "left")
     if small:
         sent = spark.sparkContext.broadcast(vocabulary.select("word", "meant").toArrow().combine_chunks())
         headed = headed.withColumn("words", F.lit(None).cast("array<struct<word:string,meant:string>>"))
@@ -561,12 +569,16 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
             whole = Repairer(*split(zip(*(c.to_pylist() for c in sent.value.columns), strict=True)))
         else:
             frequent = frozenset(sent.value.to_pylist())
+        edges_of = {d: (frozenset(h), n) for d, h, n in zip(*(c.to_pylist() for c in known_headers.value.columns), strict=True)} if few else {}
+        no_edges = (frozenset(), 0)
         none: frozenset[int] = frozenset()
         cells: dict[str, tuple[str, list[str]]] = {}
         for batch in batches:
-            kinds, documents, ids, pages, bodies, edges, longest, listed = (batch.column(i).to_pylist() for i in range(8))
+            kinds, documents, pages, bodies = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            edges, longest = (repeat(None), repeat(None)) if few else (batch.column(i).to_pylist() for i in (5, 6))
+            listed = repeat(None) if small else batch.column(7).to_pylist()
             clean, noise = [], []
-            for kind, page, body, edge, most, own in zip(kinds, pages, bodies, edges, longest, listed, strict=True):
+            for kind, document, page, body, edge, most, own in zip(kinds, documents, pages, bodies, edges, longest, listed, strict=False):
                 if small:
                     repairer = whole
                 else:
@@ -580,7 +592,8 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
                             cells.clear()
                         cells[body] = text, found
                 else:
-                    text, found = repairer.repair(body, [p for p in page if p is not None], frozenset(edge) if edge else none, True, most or 0)
+                    heads, most = edges_of.get(document, no_edges) if few else (frozenset(edge or ()), most or 0)
+                    text, found = repairer.repair(body, [p for p in page if p is not None], heads, True, most)
                 clean.append(text)
                 noise.append(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(clean, pa.string()), pa.array(noise, pa.list_(pa.string()))], names=["kind", "document_id", "record_id", "clean_text", "noise"])

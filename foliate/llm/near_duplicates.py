@@ -262,7 +262,8 @@ def divided(postings: DataFrame, texts: DataFrame, likeness: float, region_texts
     """The same postings in regions of at most ``region_texts``, or two blocks of that: by documents as pivots as long as
     their windows exclude enough, then in blocks.
 
-    ``postings`` (region, body) is materialized; ``texts`` has tid and words.
+    ``postings`` (region, body) is computed twice, or three times where a region is large, rather than kept, as most of it
+    is in regions that turn out small; ``texts`` has tid and words.
     """
     done: list[DataFrame] = []
     number = F.conv(F.hex(F.reverse(F.substring("body", 1, 8))), 16, 10).cast("bigint")
@@ -361,7 +362,7 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
 
     postings = kinds.select("tid", "kind", "words").mapInArrow(post(False), POSTINGS)
     if (counts > region_texts).any():
-        may_be_large = materialize(kinds.select("tid", "kind", "words").mapInArrow(post(True), POSTINGS))
+        may_be_large = kinds.select("tid", "kind", "words").mapInArrow(post(True), POSTINGS)
         postings = postings.unionByName(divided(may_be_large, kinds, likeness, region_texts))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     met = postings.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join(likeness), "a bigint, b bigint").distinct()

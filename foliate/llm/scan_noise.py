@@ -19,8 +19,9 @@ lists its words, which are joined to the vocabulary and come back to it. Both wa
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -492,6 +493,17 @@ def scanned_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return block.unionByName(native).unionByName(cells).where(F.length("text") > 0)
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def _kept(name: str, prepare: Callable[[], tuple]) -> tuple:
+    """What a worker needs for all tasks of one repair, made once; that of an earlier repair is let go."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = prepare()
+    return _KEPT[name]
+
+
 class _Either:
     """Members of either of two sets."""
 
@@ -564,15 +576,18 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
         pairs = list(pairs)
         return {w: m for w, m in pairs if w != m}, frozenset(w for w, m in pairs if w == m)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if small:
-            whole = Repairer(*split(zip(*(c.to_pylist() for c in sent.value.columns), strict=True)))
-        else:
-            frequent = frozenset(sent.value.to_pylist())
+    def prepare() -> tuple:
+        whole = Repairer(*split(zip(*(c.to_pylist() for c in sent.value.columns), strict=True))) if small else None
+        frequent = None if small else frozenset(sent.value.to_pylist())
         edges_of = {d: (frozenset(h), n) for d, h, n in zip(*(c.to_pylist() for c in known_headers.value.columns), strict=True)} if few else {}
-        no_edges = (frozenset(), 0)
+        return whole, frequent, edges_of, {}
+
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, frequent, edges_of, cells = _kept(name, prepare)
         none: frozenset[int] = frozenset()
-        cells: dict[str, tuple[str, list[str]]] = {}
+        no_edges = (none, 0)
         for batch in batches:
             kinds, documents, pages, bodies = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             edges, longest = (repeat(None), repeat(None)) if few else (batch.column(i).to_pylist() for i in (5, 6))

@@ -61,7 +61,6 @@ def test_tables_blocks_and_headers(spark, monkeypatch):
     assert ("block", "d", "n") not in found and ("cell", "d", "c1") not in found
     # A vocabulary that is joined gives the same as one that is sent.
     monkeypatch.setattr(S, "FREQUENT_WORDS", 3)
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     joined = {(r.kind, r.document_id, r.record_id): (r.noise, r.clean_text) for r in S.repair_records(blocks, tables, vocabulary_bytes=0).collect()}
     assert joined == found
     assert S.repair_records(blocks.limit(0), tables.limit(0)).count() == 0

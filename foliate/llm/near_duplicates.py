@@ -7,14 +7,17 @@ are found:
 * First division, by elements. Unrelated texts lie almost equally far from every whole text, so that windows around
   whole texts exclude nothing there (README has figures). A text therefore goes to the regions of its rarest elements,
   as many as it may lose within the radius and one more: every pair within the radius meets at its rarest common element.
-* Further divisions, of regions above ``region_texts``, by documents. ``PIVOTS`` texts of the region are its pivots; each
+* Further divisions, of regions above ``region_texts``, by documents, where a sample of the region shows that it pays.
+  ``PIVOTS`` texts of the region are its pivots; each
   text belongs to the Voronoi cell of its nearest one. If A belongs to cell j and B to cell i, the triangle inequality
   gives d(B, j) <= d(B, i) + 2 * radius for every pair within the radius, so a text is replicated into just the cells
   within that window, and pairs of two replicas are not looked at. Cells above ``region_texts`` are divided again with
   pivots of their own, as long as that at least halves the pairs to be compared.
-* What cannot be divided so is cut into blocks, and each pair of blocks is a region: no region is held whole by a task.
+* What cannot be divided so is cut into blocks, and each pair of blocks is a region: no task holds more than two blocks.
 * Within a region, sizes (distances to the empty set) and positions bound the overlap, and parity sketches bound the
-  symmetric difference from below: popcount(sketch A ^ sketch B) <= |A - B| + |B - A|. All are exact bounds.
+  symmetric difference from below: popcount(sketch A ^ sketch B) <= |A - B| + |B - A|. All are exact bounds. A sketch
+  that is short for its text bounds nothing, so that long texts would all go to the verification: they have sketches as
+  long as they need, which are sent to all tasks once rather than with every posting.
 * What is left is verified by the elements.
 
 Rarity comes from a table of hashed counts over all texts, sized to the collection within fixed bounds. It orders the
@@ -30,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +46,16 @@ LEAST_WORDS = 8
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 22
 #: A region of more texts is divided.
 REGION_TEXTS = 1000
-#: Documents that divide a region, and rows of a region that one task measures against them.
+#: Documents that divide a region, texts that tell beforehand whether they do, and rows of a region that one task measures.
 PIVOTS = 16
+SAMPLE = 32
 MEASURED_ROWS = 20_000
+#: A block of a region that is not divided has so many times ``region_texts``.
+BLOCK_REGIONS = 20
 SKETCH_WORDS = 6
+#: Longer texts have sketches of more words, doubled as often as their size needs; those are sent up to so many bytes.
+SKETCH_ELEMENTS = 160
+SENT_BYTES = 256 << 20
 #: Text numbers are broadcast up to so many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -82,11 +92,68 @@ def least_common(size: np.ndarray | int, likeness: float) -> np.ndarray | int:
     return np.ceil(np.asarray(size) * likeness - 1e-9).astype(np.int64)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    bits = np.bincount((items >> _32).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+def sketch(items: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    bits = np.bincount((items >> _32).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+class LongSketches:
+    """Sketches of ``SKETCH_WORDS`` << doublings words by text number, for texts above ``SKETCH_ELEMENTS``."""
+
+    def __init__(self, tid: np.ndarray, doublings: np.ndarray, sketches: list[bytes]) -> None:
+        order = np.argsort(tid, kind="stable")
+        self.tid, self.doublings, self.row, self.rows = tid[order], doublings[order], np.zeros(len(tid), dtype=np.int64), {}
+        for k in np.unique(self.doublings):
+            at = np.flatnonzero(self.doublings == k)
+            self.row[at] = np.arange(len(at))
+            self.rows[int(k)] = np.frombuffer(b"".join(sketches[order[i]] for i in at), dtype="<u8").reshape(len(at), -1)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric difference of texts by number; 0 where a text has no sketch here."""
+        out = np.zeros(len(a), dtype=np.int64)
+        if not len(self.tid):
+            return out
+        x, y = (np.minimum(np.searchsorted(self.tid, t), len(self.tid) - 1) for t in (a, b))
+        known = np.flatnonzero((self.tid[x] == a) & (self.tid[y] == b))
+        x, y = x[known], y[known]
+        swap = self.doublings[x] > self.doublings[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        both = self.doublings[x] * 64 + self.doublings[y]
+        for code in np.unique(both):
+            j, k = divmod(int(code), 64)
+            of = np.flatnonzero(both == code)
+            step = max(1, (16 << 20) // (8 * SKETCH_WORDS << k))
+            for start in range(0, len(of), step):
+                part = of[start : start + step]
+                few, many = self.rows[j][self.row[x[part]]], self.rows[k][self.row[y[part]]]
+                # The longer sketch folds to the shorter one, as its number of bits is a multiple.
+                many = np.bitwise_xor.reduce(many.reshape(len(part), -1, few.shape[1]), axis=1)
+                out[known[part]] = np.bitwise_count(few ^ many).sum(axis=1)
+        return out
+
+
+def _long_sketches(texts: DataFrame, size: Column) -> LongSketches:
+    """``size`` counts the elements of a text. The shorter ones of the long texts come first if not all can be sent; the
+    others go on unbounded by sketches."""
+    rows = texts.select("tid", "words", F.ceil(F.log2(size / SKETCH_ELEMENTS)).cast("int").alias("doublings")).where("doublings > 0")
+    top, used = 0, 0
+    for k, n in sorted(tuple(r) for r in rows.groupBy("doublings").count().collect()):
+        used += n * ((8 * SKETCH_WORDS << k) + 20)
+        if used > SENT_BYTES:
+            break
+        top = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(elements(words), SKETCH_WORDS << k).tobytes() for words, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["tid", "doublings", "sketch"])
+
+    if not top:
+        return LongSketches(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), [])
+    table = rows.where(F.col("doublings") <= top).mapInArrow(run, "tid bigint, doublings int, sketch binary").toArrow()
+    return LongSketches(table.column("tid").to_numpy(), table.column("doublings").to_numpy(), table.column("sketch").to_pylist())
+
+
 def _prefix(items: np.ndarray, counts: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rarest elements of a text, their positions (elements known to differ when a pair meets there first), and
     how often their counters say that they occur, which is never too low."""
@@ -133,11 +200,11 @@ def _comparable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a & b & (REPLICA | FIRST | SECOND)) == 0
 
 
-def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, mark: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+def _join_region(part: np.ndarray, likeness: float, long: LongSketches) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of one region, i < j, that no bound rules out."""
     out_i, out_j = [], []
-    order = np.argsort(size, kind="stable")
-    size, left, sketches, mark = size[order], left[order], sketches[order], mark[order]
+    order = np.argsort(part["size"], kind="stable")
+    tid, size, left, sketches, mark = (part[name][order] for name in ("tid", "size", "left", "sketch", "mark"))
     marked = mark.any()
     n = len(size)
     # Only texts up to size / likeness can be a partner of a smaller one.
@@ -156,7 +223,11 @@ def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, mark:
                 continue
             i, j = rows[i], cols[j]
             apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1)
-            keep = apart <= size[i] + size[j] - 2 * np.ceil(size[j] * likeness - 1e-9)
+            most = size[i] + size[j] - 2 * np.ceil(size[j] * likeness - 1e-9)
+            keep = np.flatnonzero(apart <= most)
+            both = keep[size[i[keep]] > SKETCH_ELEMENTS]
+            if len(both):
+                keep = np.setdiff1d(keep, both[long.apart(tid[i[both]], tid[j[both]]) > most[both]], assume_unique=True)
             out_i.append(order[i[keep]])
             out_j.append(order[j[keep]])
     if not out_i:
@@ -164,7 +235,7 @@ def _join_region(size: np.ndarray, left: np.ndarray, sketches: np.ndarray, mark:
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _join(likeness: float):  # noqa: ANN202
+def _join(likeness: float, long):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by region; a region, which has at most two blocks of texts, may span batches."""
         held: tuple[np.ndarray, np.ndarray] | None = None
@@ -176,7 +247,7 @@ def _join(likeness: float):  # noqa: ANN202
             found_a, found_b = [], []
             for a, b in zip(starts[many], ends[many], strict=True):
                 part = rows[a:b]
-                i, j = _join_region(part["size"], part["left"], part["sketch"], part["mark"], likeness)
+                i, j = _join_region(part, likeness, long.value)
                 if len(i):
                     x, y = part["tid"][i], part["tid"][j]
                     found_a.append(np.minimum(x, y))
@@ -238,8 +309,13 @@ def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, body, blocks) to a row for each pair of blocks that a text takes part in."""
+    """(region, body, blocks) to a row for each pair of blocks that a text takes part in; one block stays as it is."""
     for batch in batches:
+        single = batch.filter(pc.equal(batch.column(2), 1))
+        yield single.select([0, 1])
+        batch = batch.filter(pc.greater(batch.column(2), 1))
+        if not batch.num_rows:
+            continue
         regions, rows = batch.column(0).to_numpy(), _unpacked(batch.column(1))
         for region, row, blocks in zip(regions, rows, batch.column(2).to_pylist(), strict=True):
             mine = int(_mix(np.array([row["tid"]]).view(np.uint64))[0] % np.uint64(blocks))
@@ -258,40 +334,67 @@ def _sized(postings: DataFrame, region_texts: int) -> DataFrame:
     return postings.groupBy("region").agg(F.count("*").alias("texts")).where(F.col("texts") > region_texts)
 
 
-def divided(postings: DataFrame, texts: DataFrame, likeness: float, region_texts: int) -> DataFrame:
-    """The same postings in regions of at most ``region_texts``, or two blocks of that: by documents as pivots as long as
-    their windows exclude enough, then in blocks.
+def _cells(rows: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
+    """(region, cell, own, tid, body) of rows (region, part, pivot, tid, body)."""
+    rows = rows.join(texts.select("tid", "words"), "tid").select("region", "part", "pivot", "tid", "words", "body")
+    rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", F.desc("pivot"))
+    return rows.mapInArrow(_measure(1 - likeness), "region bigint, cell int, own boolean, tid bigint, body binary")
+
+
+def _worth(cells: DataFrame, share: float = 0.5) -> DataFrame:
+    """The regions where the pairs to be compared in the cells are at most this share of those in the undivided region."""
+    work = cells.groupBy("region", "cell").agg(F.count_if("own").cast("double").alias("own"), F.count("*").cast("double").alias("all"))
+    work = work.groupBy("region").agg(F.sum(F.col("own") * F.col("all")).alias("work"), F.sum("own").alias("texts"))
+    return work.where(F.col("work") <= F.col("texts") * F.col("texts") * share).select("region")
 
-    ``postings`` (region, body) is computed twice, or three times where a region is large, rather than kept, as most of it
-    is in regions that turn out small; ``texts`` has tid and words.
+
+def divided(postings: DataFrame, texts: DataFrame, likeness: float, region_texts: int, block_texts: int | None = None, every: DataFrame | None = None) -> DataFrame:
+    """The same postings in regions of at most ``region_texts``, or two blocks of ``block_texts`` (by default as many): by
+    documents as pivots as long as their windows exclude enough, then in blocks.
+
+    ``postings`` (region, body) is computed three times rather than kept, and of a large region only a few texts are
+    measured before it is known that its division pays: most of it would be written for nothing. ``texts`` has tid and
+    words. ``every``, if given, holds ``postings`` and others, in regions that are not above ``region_texts``, and is
+    what is returned.
     """
     done: list[DataFrame] = []
     number = F.conv(F.hex(F.reverse(F.substring("body", 1, 8))), 16, 10).cast("bigint")
     level = 0
     while True:
+        whole = every if every is not None and level == 0 else postings
         sizes = materialize(_sized(postings, region_texts))
-        done.append(postings.join(sizes, "region", "left_anti"))
         if sizes.isEmpty():
+            done.append(whole)
+            break
+        # One row for each ``region_texts`` postings at most.
+        few = small_enough(sizes, BROADCAST_ROWS)
+        known = postings.join(F.broadcast(sizes) if few else sizes, "region").select("region", "body", "texts", number.alias("tid"))
+        # The pivots of a region are its texts of least hash, other ones on each level, and the sample those that follow.
+        # Only those of a low hash are looked at.
+        least = known.select("region", "texts", "tid", F.xxhash64("tid", F.lit(level)).alias("h"))
+        least = least.where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("texts") <= 4 * (PIVOTS + SAMPLE))
+        ranked = least.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("h", "tid")) - 1).where(F.col("r") < PIVOTS + SAMPLE)
+        ranked = materialize(ranked.select("region", "texts", "tid", "r"))
+        pivots = ranked.where(F.col("r") < PIVOTS).select("region", "texts", F.col("r").alias("pivot"), "tid")
+        zero, none = F.lit(0).cast("bigint"), F.lit(b"")
+        # Pivots lie nearest to themselves and would make the division look better than it is.
+        sample = ranked.select("region", zero.alias("part"), F.when(F.col("r") < PIVOTS, F.col("r")).otherwise(-1).alias("pivot"), "tid", none.alias("body"))
+        hopeful = materialize(_worth(_cells(sample, texts, likeness), 0.75))
+        worth, inner = hopeful, None
+        if not hopeful.isEmpty():
+            large = materialize(known.join(F.broadcast(hopeful) if few else hopeful, "region"))
+            parts = F.ceil(F.col("texts") / MEASURED_ROWS)
+            drawn = pivots.join(hopeful, "region").select("region", F.explode(F.sequence(zero, parts - 1)).alias("part"), "pivot", "tid", none.alias("body"))
+            rows = large.select("region", F.pmod(F.xxhash64("tid", F.lit(-2)), parts).alias("part"), F.lit(-1).alias("pivot"), "tid", "body").unionByName(drawn)
+            cells = materialize(_cells(rows, texts, likeness))
+            worth = materialize(_worth(cells))
+            inner = cells.join(worth, "region").select(F.xxhash64("region", "cell").alias("region"), "own", "body")
+        blocks = F.ceil(F.col("texts") / (block_texts or region_texts)).cast("int").alias("blocks")
+        decided = materialize(sizes.join(worth, "region", "left_anti").select("region", blocks).unionByName(worth.select("region", F.lit(0).alias("blocks"))))
+        split = whole.join(F.broadcast(decided) if few else decided, "region", "left").select("region", "body", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        done.append(split.where("blocks > 0").mapInArrow(_blocks, POSTINGS))
+        if inner is None or worth.isEmpty():
             break
-        large = materialize(postings.join(sizes, "region").select("region", "body", "texts", number.alias("tid")))
-        # The pivots of a region are its texts of least hash, other ones on each level.
-        drawn = F.struct(F.xxhash64("tid", F.lit(level)).alias("h"), "tid")
-        ranked = large.select("region", drawn.alias("x"), F.pmod(F.xxhash64("tid", F.lit(-1)), F.lit(64)).alias("slice"))
-        best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("region", "slice").orderBy("x"))).where(F.col("r") <= PIVOTS)
-        best = best.withColumn("pivot", F.row_number().over(Window.partitionBy("region").orderBy("x")) - 1).where(F.col("pivot") < PIVOTS)
-        parts = F.ceil(F.col("texts") / MEASURED_ROWS)
-        pivots = best.join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "pivot", "x.tid", F.lit(b"").alias("body"))
-        rows = large.select("region", F.pmod(F.xxhash64("tid", F.lit(-2)), parts).alias("part"), F.lit(-1).alias("pivot"), "tid", "body").unionByName(pivots)
-        rows = rows.join(texts.select("tid", "words"), "tid").select("region", "part", "pivot", "tid", "words", "body")
-        rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", F.desc("pivot"))
-        cells = materialize(rows.mapInArrow(_measure(1 - likeness), "region bigint, cell int, own boolean, tid bigint, body binary"))
-        # Pairs to be compared in the cells, against those in the undivided region.
-        work = cells.groupBy("region", "cell").agg(F.count_if("own").cast("double").alias("own"), F.count("*").cast("double").alias("all"))
-        work = work.groupBy("region").agg(F.sum(F.col("own") * F.col("all")).alias("work")).join(sizes, "region")
-        worth = materialize(work.where(F.col("work") * 2 <= F.col("texts").cast("double") * F.col("texts")).select("region"))
-        whole = large.join(worth, "region", "left_anti").select("region", "body", F.ceil(F.col("texts") / region_texts).cast("int").alias("blocks"))
-        done.append(whole.mapInArrow(_blocks, POSTINGS))
-        inner = cells.join(worth, "region").select(F.xxhash64("region", "cell").alias("region"), "own", "body")
         postings = materialize(inner.mapInArrow(_replicas, POSTINGS))
         level += 1
     out = done[0]
@@ -336,8 +439,8 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
     counts[table.column("slot").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
     sent = spark.sparkContext.broadcast(counts)
 
-    def post(large: bool):  # noqa: ANN202
-        """Postings in regions that may be above ``region_texts``, or in all others."""
+    def post(least: int):  # noqa: ANN202
+        """Postings in regions that may be above so many texts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -347,7 +450,7 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
                     for tid, kind, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                         items = elements(words)
                         near, position, times = _prefix(items, sent.value, likeness)
-                        chosen = (times > region_texts) == large
+                        chosen = times > least
                         if not chosen.any():
                             continue
                         near, position = near[chosen], position[chosen]
@@ -360,12 +463,13 @@ def similar_texts(texts: DataFrame, likeness: float = LIKENESS, region_texts: in
 
         return run
 
-    postings = kinds.select("tid", "kind", "words").mapInArrow(post(False), POSTINGS)
+    postings = kinds.select("tid", "kind", "words").mapInArrow(post(0), POSTINGS)
     if (counts > region_texts).any():
-        may_be_large = kinds.select("tid", "kind", "words").mapInArrow(post(True), POSTINGS)
-        postings = postings.unionByName(divided(may_be_large, kinds, likeness, region_texts))
+        may_be_large = kinds.select("tid", "kind", "words").mapInArrow(post(region_texts), POSTINGS)
+        postings = divided(may_be_large, kinds, likeness, region_texts, BLOCK_REGIONS * region_texts, postings)
+    long = spark.sparkContext.broadcast(_long_sketches(kinds, pairs))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    met = postings.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join(likeness), "a bigint, b bigint").distinct()
+    met = postings.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join(likeness, long), "a bigint, b bigint").distinct()
     met = materialize(met)
     # Only texts that met another are fetched for the verification.
     involved = met.select(F.explode(F.array("a", "b")).alias("tid")).distinct()

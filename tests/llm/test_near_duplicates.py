@@ -129,3 +129,68 @@ def test_postings_do_not_grow_with_the_counters():
     items = near_duplicates.elements(" ".join(f"w{i}" for i in range(121)))
     few, many = (near_duplicates._prefix(items, near_duplicates.np.full(1 << 20, n, dtype="i4"), 0.65) for n in (2, 10**6))
     assert len(few[0]) == len(many[0]) == 120 - 78 + 1
+
+
+def _kept(monkeypatch):
+    """Rows of each table that is materialized, by its columns."""
+    rows = Counter()
+    keep = near_duplicates.materialize
+
+    def counted(df):
+        out = keep(df)
+        rows[tuple(out.columns)] += out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", counted)
+    return rows
+
+
+def test_unrelated_long_texts_are_not_verified(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    # Few words, so that any two texts meet at some pair of words.
+    for i in range(120):
+        words = [f"w{rng.randrange(50)}" for _ in range(rng.choice((330, 420, 500, 700)))]
+        rows.append(("x", f"id{i}", " ".join(words)))
+        if i % 10 == 0:
+            rows.append(("x", f"copy{i}", " ".join(words[: rng.randrange(len(words) * 3 // 4, len(words))])))
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    kept = _kept(monkeypatch)
+    got = {tuple(r) for r in near_duplicates.similar_records(df).collect()}
+    assert got == _brute(set(rows)) and len(got) == 12
+    # Only pairs that are alike, or nearly so, go to the verification.
+    assert kept["a", "b"] <= 2 * len(got)
+    # Without room for their sketches all are verified, and the result is the same.
+    monkeypatch.setattr(near_duplicates, "SENT_BYTES", 0)
+    assert {tuple(r) for r in near_duplicates.similar_records(df).collect()} == got
+
+
+def test_long_sketches_bound_the_difference_from_below():
+    np = near_duplicates.np
+    rng = np.random.default_rng(4)
+    pool = near_duplicates._mix(np.arange(1, 5000, dtype=np.uint64))
+    texts = [rng.choice(pool, rng.integers(161, 2000), replace=False) for _ in range(60)]
+    texts += [np.concatenate([t[5:], pool[:3]]) for t in texts]
+    texts = [np.unique(t) for t in texts]
+    doublings = np.array([int(np.ceil(np.log2(len(t) / near_duplicates.SKETCH_ELEMENTS))) for t in texts])
+    tid = rng.permutation(10**6)[: len(texts)].astype(np.int64)
+    made = [near_duplicates.sketch(t, near_duplicates.SKETCH_WORDS << k).tobytes() for t, k in zip(texts, doublings, strict=True)]
+    long = near_duplicates.LongSketches(tid, doublings, made)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    apart = long.apart(tid[i], tid[j])
+    true = np.array([len(np.setxor1d(texts[a], texts[b])) for a, b in zip(i, j, strict=True)])
+    assert (apart <= true).all() and apart.max() > 300 and (apart[i == j] == 0).all()
+    assert (long.apart(tid[:3], np.full(3, -1)) == 0).all()
+
+
+def test_a_region_is_measured_only_where_its_division_pays(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("x", f"id{i}", " ".join(["the same rare opening", *(f"w{rng.randrange(10**6)}" for _ in range(30))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    members, texts = near_duplicates.distinct_texts(df)
+    body = lambda tid, n: near_duplicates.np.array([(tid, n, n, near_duplicates.np.zeros(6, "<u8"), 0)], dtype=near_duplicates.BODY).tobytes()
+    postings = spark.createDataFrame([(7, bytearray(body(r.tid, len(r.words.split()) - 1))) for r in texts.collect()], near_duplicates.POSTINGS)
+    kept = _kept(monkeypatch)
+    out = near_duplicates.divided(postings, texts, 0.65, 100).collect()
+    # Whole texts are far from one another, so that their windows exclude nothing: a sample shows it, and nothing else is kept.
+    assert sum(kept.values()) < 100 and len(out) == 400 * 4

@@ -358,7 +358,8 @@ def divided(postings: DataFrame, texts: DataFrame, likeness: float, region_texts
     what is returned.
     """
     done: list[DataFrame] = []
-    number = F.conv(F.hex(F.reverse(F.substring("body", 1, 8))), 16, 10).cast("bigint")
+    # Byte by byte: reverse() takes bytes for characters and keeps some of them together.
+    number = F.conv(F.concat(*(F.hex(F.substring("body", at, 1)) for at in range(8, 0, -1))), 16, 10).cast("bigint")
     level = 0
     while True:
         whole = every if every is not None and level == 0 else postings

@@ -194,3 +194,13 @@ def test_a_region_is_measured_only_where_its_division_pays(spark, monkeypatch):
     out = near_duplicates.divided(postings, texts, 0.65, 100).collect()
     # Whole texts are far from one another, so that their windows exclude nothing: a sample shows it, and nothing else is kept.
     assert sum(kept.values()) < 100 and len(out) == 400 * 4
+
+
+def test_text_numbers_of_any_bytes_stay_in_divided_regions(spark):
+    rows = _clusters(240, 6, 1)
+    tids = [i + 150 if i % 2 else (i << 33) + 0xC3_A5_C2 + i for i in range(240)]
+    texts = spark.createDataFrame([(n, "x", r[2]) for n, r in zip(tids, rows, strict=True)], "tid long, kind string, words string")
+    body = lambda tid, n: near_duplicates.np.array([(tid, n, n, near_duplicates.np.zeros(6, "<u8"), 0)], dtype=near_duplicates.BODY).tobytes()
+    postings = spark.createDataFrame([(7, bytearray(body(n, 43))) for n in tids], near_duplicates.POSTINGS)
+    out = near_duplicates.divided(postings, texts, 0.65, 60).collect()
+    assert {int(near_duplicates.np.frombuffer(r.body, dtype=near_duplicates.BODY)["tid"][0]) for r in out} == set(tids)

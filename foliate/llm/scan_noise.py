@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Container, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -104,22 +104,24 @@ _BACK = re.compile(r"(.*?) *[|–—-]* +(\d+)$")
 #: Each character as what all its readings share, so that a letter and the letters it is read as come out alike. Signs
 #: for signs are exchanged at once, which is fast in ASCII; letters that stand for two are replaced before.
 _PLAIN = str.maketrans({"€": "e", "c": "e", "†": "t", "@": "a", "!": "i", "|": "i", "1": "i", "l": "i", "0": "o", "5": "s", "6": "b", "8": "b", "9": "g", "$": "s", "3": "e", "4": "a", "7": "t"})
-_ASCII_PLAIN = _PLAIN | {i: " " for i in range(128) if not chr(i).isalnum() and i not in _PLAIN}
-_WIDE = (("m", "rri"), ("n", "ri"), ("h", "ii"), ("u", "ii"), ("w", "vv"), ("d", "ei"))
-_NO_LETTER = {i: None for i in range(128) if not chr(i).isalnum()}
+#: The same for ASCII, as a table of bytes, with blanks for the marks that are no reading of a letter.
+_ASCII_PLAIN = bytes(ord(_PLAIN.get(i, chr(i) if chr(i).isalnum() else " ")) if i < 128 else i for i in range(256))
+_NO_LETTER = bytes(i for i in range(128) if not chr(i).isalnum())
 _OTHER = re.compile(r"[\W_]+")
+_TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
 
 
 def skeleton(line: str, pages: list[int]) -> str:
     """A line without case, space, the number of its page at either end, and differences that a scan makes."""
-    text = " ".join(line.lower().split())
-    if text[:1].isdigit() and (found := _FRONT.match(text)) and int(found.group(1)) in pages:
-        text = found.group(2)
-    elif text[-1:].isdigit() and (found := _BACK.match(text)) and int(found.group(2)) in pages:
-        text = found.group(1)
-    for letter, two in _WIDE:
-        text = text.replace(letter, two)
-    return " ".join(text.translate(_ASCII_PLAIN).split()) if text.isascii() else _OTHER.sub(" ", text.translate(_PLAIN)).strip()
+    text = line.strip().lower()
+    if text[:1].isdigit() or text[-1:].isdigit():
+        text = " ".join(text.split())
+        if text[0].isdigit() and (found := _FRONT.match(text)) and int(found.group(1)) in pages:
+            text = found.group(2)
+        elif text[-1].isdigit() and (found := _BACK.match(text)) and int(found.group(2)) in pages:
+            text = found.group(1)
+    text = text.replace("m", "rri").replace("n", "ri").replace("h", "ii").replace("u", "ii").replace("w", "vv").replace("d", "ei")
+    return b" ".join(text.encode().translate(_ASCII_PLAIN).split()).decode() if text.isascii() else _OTHER.sub(" ", text.translate(_PLAIN)).strip()
 
 
 def _line_hash(text: str) -> int:
@@ -162,7 +164,8 @@ def _halves(lines: list[str]) -> Iterator[tuple[int, re.Match, list[int]]]:
 
 def _possible_words(lines: list[str]) -> Iterator[str]:
     """Halves of broken words and what they may join to, over all lines and over those without space and figures."""
-    for part in (lines, [line for line in lines if re.search(r"[^\W\d_]{2}", line)]):
+    worded = list(filter(_TWO_LETTERS.search, lines))
+    for part in (lines, worded) if len(worded) < len(lines) else (lines,):
         for _, broken, follow in _halves(part):
             yield broken.group(1)
             for at in follow:
@@ -172,40 +175,59 @@ def _possible_words(lines: list[str]) -> Iterator[str]:
                     yield broken.group(1) + first.group(1)
 
 
+def _strings(column: pa.Array) -> list[str | None]:
+    """The values of a column of strings, several times as fast as ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _numbers(column: pa.Array) -> list[int | None]:
+    return column.to_pandas(integer_object_nulls=True).tolist()
+
+
+def _lists(column: pa.ListArray) -> list[list[int | None]]:
+    """The values of a column of lists of numbers; empty for null."""
+    values = _numbers(column.values)
+    return [values[a:b] for a, b in pairwise(column.offsets.to_numpy().tolist())]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (tag w: word, n) and of possible header lines (tag h: document, hash, page, alone)."""
     counts: Counter = Counter()
+    pieces: Counter = Counter()
     edges: dict[tuple, int] = {}
-    plain: dict[bool, list[str]] = {True: [], False: []}
     for batch in batches:
-        for document, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        whole: list[str] = []
+        for document, page, text in zip(_strings(batch.column(0)), _numbers(batch.column(1)), _strings(batch.column(2)), strict=True):
             if document is not None:
                 for hashed, alone in _edge_lines(text, page):
                     key = (document, hashed, page)
                     edges[key] = max(alone, edges.get(key, 0))
             if "\n" in text and BREAK.search(text):
+                lines = text.split("\n")
                 broken = False
-                for line in text.split("\n"):
-                    words = tokens(line)
-                    if broken and words:
-                        words = words[1:]
-                    broken = bool(broken_end(line))
-                    counts.update(words[:-1] if broken else words)
-                for word in _possible_words(text.split("\n")):
+                for line in lines:
+                    after, broken = broken, bool(broken_end(line))
+                    if after or broken:
+                        words = tokens(line)[after:]
+                        counts.update(words[:-1] if broken else words)
+                    else:
+                        whole.append(line)
+                for word in _possible_words(lines):
                     counts[word] += 0
             else:
-                plain[is_plain(text)].append(text)
-        for texts in plain.values():
-            # No token holds a line end, so that texts without broken lines are read at once.
-            counts.update(tokens("\n".join(texts)))
-            texts.clear()
-        if len(counts) + len(edges) > COUNTER_WORDS:
-            yield _flushed(counts, edges)
-    if counts or edges:
-        yield _flushed(counts, edges)
-
-
-def _flushed(counts: Counter, edges: dict[tuple, int]) -> pa.RecordBatch:
+                whole.append(text)
+        # No token holds space, so that what is not broken is counted by pieces between spaces.
+        pieces.update(" ".join(whole).split())
+        if len(counts) + len(pieces) + len(edges) > COUNTER_WORDS:
+            yield _flushed(counts, pieces, edges)
+    if counts or pieces or edges:
+        yield _flushed(counts, pieces, edges)
+
+
+def _flushed(counts: Counter, pieces: Counter, edges: dict[tuple, int]) -> pa.RecordBatch:
+    for piece, n in pieces.items():
+        for word in tokens(piece):
+            counts[word] += n
     folded: Counter = Counter()
     for word, n in counts.items():
         if not (CODE.match(word) or word.isdigit()):
@@ -219,6 +241,7 @@ def _flushed(counts: Counter, edges: dict[tuple, int]) -> pa.RecordBatch:
         pa.array([*folded.values(), *edges.values()], pa.int64()),
     ]
     counts.clear()
+    pieces.clear()
     edges.clear()
     return pa.RecordBatch.from_arrays(columns, names=["tag", "k", "h", "page", "n"])
 
@@ -228,7 +251,7 @@ def survey(records: DataFrame) -> DataFrame:
 
     A document of any size is only aggregated: by line and page here, by line in :func:`running_headers`.
     """
-    rows = records.select(F.when(F.col("kind") == "block", F.col("document_id")).alias("d"), F.col("pages")[0].alias("p"), "text")
+    rows = records.select(F.when(F.col("kind") == "block", F.col("document_id")).alias("d"), F.when(F.col("kind") == "block", F.col("pages")[0]).alias("p"), "text")
     return materialize(rows.mapInArrow(_count, "tag string, k string, h bigint, page int, n bigint").groupBy("tag", "k", "h", "page").agg(F.when(F.col("tag") == "w", F.sum("n")).otherwise(F.max("n")).alias("n")))
 
 
@@ -349,10 +372,25 @@ class _Readings(dict):
         return self[token]
 
 
+class _Doubts(dict):
+    """Text between spaces to whether anything in it is misread; fills itself."""
+
+    def __init__(self, readings: _Readings) -> None:
+        super().__init__()
+        self.readings = readings
+
+    def __missing__(self, piece: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[piece] = any(map(self.readings.__getitem__, tokens(piece))) or NUMBER_HINT.search(piece) is not None
+        return self[piece]
+
+
 class Repairer:
     def __init__(self, misread: dict[str, str | None], known: Container[str]) -> None:
         self.misread, self.known = misread, known
         self.readings = _Readings(self)
+        self.doubts = _Doubts(self.readings)
 
     def whole(self, word: str) -> bool:
         word = word.lower()
@@ -379,6 +417,9 @@ class Repairer:
         if len(kept) > 1 and BREAK.search(text):
             kept = self._joined(kept, found)
         whole = "\n".join(kept)
+        # Neither words nor figures hold space.
+        if not any(map(self.doubts.__getitem__, whole.split())):
+            return unwrap(kept), sorted(found)
         if any(map(self.readings.__getitem__, tokens(whole))):
             found.add("misread")
             whole = TOKEN.sub(self._fix, whole)
@@ -395,10 +436,13 @@ class Repairer:
 
     def _without_edges(self, lines: list[str], pages: list[int], headers: frozenset[int], page_lines: bool, longest: int, found: set[str]) -> list[str]:
         kept = []
-        # A skeleton is no shorter than the letters and figures of its line, apart from a page number.
-        most = longest + max((len(str(p)) for p in pages), default=0)
+        if headers:
+            # A skeleton is no shorter than the letters and figures of its line, apart from a page number.
+            most = longest + max((len(str(p)) for p in pages), default=0)
+        elif not page_lines:
+            return lines
         for line in lines:
-            if headers and (len(line) <= most or len(line.translate(_NO_LETTER) if line.isascii() else _OTHER.sub("", line)) <= most) and _line_hash(skeleton(line, pages)) in headers:
+            if headers and (len(line) <= most or len(line.encode().translate(None, _NO_LETTER) if line.isascii() else _OTHER.sub("", line)) <= most) and _line_hash(skeleton(line, pages)) in headers:
                 found.add("running_header")
                 continue
             # Without the space and marks around it, no page number is as long as 40.
@@ -467,7 +511,7 @@ def unwrap(lines: list[str]) -> str:
     if len(lines) == 1:
         return " ".join(filter(None, re.split(r"[ \t]+", lines[0]))).strip() if "  " in lines[0] or "\t" in lines[0] else lines[0].strip()
     out: list[str] = []
-    width = max((len(x) for x in lines), default=0)
+    width = max(map(len, lines), default=0)
     open_before = False
     for line in lines:
         s = (_BLANKS.sub(" ", line) if "  " in line or "\t" in line else line).strip()
@@ -478,16 +522,16 @@ def unwrap(lines: list[str]) -> str:
             out[-1] += " " + s
         else:
             out.append(s)
-        open_before = len(line) >= 0.6 * width and len(lines) > 1 and not (re.search(r"[.!?:]$", s) and len(line) < 0.85 * width)
+        open_before = len(line) >= 0.6 * width and len(lines) > 1 and not (s[-1] in ".!?:" and len(line) < 0.85 * width)
     return "\n".join(out)
 
 
 def scanned_records(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """(kind, document_id, record_id, pages, text) of blocks, native texts and cells that have a text."""
+    """(kind, document_id, record_id, pages, text) of blocks, native texts and cells that have a text; cells need no pages."""
     block = blocks.select(F.lit("block").alias("kind"), "document_id", F.col("block_id").alias("record_id"), F.array("page_number").alias("pages"), "text")
     pages = F.array_compact(F.array_union(F.coalesce("page_numbers", F.array().cast("array<int>")), F.array("page_number")))
     native = tables.select(F.lit("native_text").alias("kind"), "document_id", F.col("table_id").alias("record_id"), pages.alias("pages"), F.col("native_text").alias("text"))
-    cells = tables.select("document_id", pages.alias("pages"), F.explode("cells").alias("c")).select(F.lit("cell").alias("kind"), "document_id", F.col("c.cell_id").alias("record_id"), "pages", F.col("c.text").alias("text"))
+    cells = tables.select("document_id", F.explode("cells").alias("c")).select(F.lit("cell").alias("kind"), "document_id", F.col("c.cell_id").alias("record_id"), F.array().cast("array<int>").alias("pages"), F.col("c.text").alias("text"))
     return block.unionByName(native).unionByName(cells).where(F.length("text") > 0)
 
 
@@ -546,11 +590,13 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
     headed = records.join(F.broadcast(headers) if small_enough(headers, BROADCAST_ROWS) else headers, "document_id", "left")
     if small:
         sent = spark.sparkContext.broadcast(vocabulary.select("word", "meant").toArrow().combine_chunks())
-        headed = headed.withColumn("words", F.lit(None).cast("array<struct<word:string,meant:string>>"))
     else:
         most = vocabulary.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word").toArrow().column(0).combine_chunks()
         sent = spark.sparkContext.broadcast(most)
         headed = _with_words(headed, vocabulary.select("word", "meant"), sent)
+    # A null list is dear to send: with each row, Spark fills the offsets again from the last list that is not null.
+    edges = F.coalesce(F.when(F.col("kind") != "cell", F.col("headers")), F.array().cast("array<bigint>"))
+    headed = headed.select("kind", "document_id", "record_id", "pages", "text", edges.alias("headers"), "longest", *([] if small else [F.coalesce("words", F.array().cast("array<struct<word:string,meant:string>>")).alias("words")]))
 
     def split(pairs: Iterator[tuple[str, str | None]]) -> tuple[dict[str, str | None], frozenset[str]]:
         pairs = list(pairs)
@@ -564,17 +610,22 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
         none: frozenset[int] = frozenset()
         cells: dict[str, tuple[str, list[str]]] = {}
         for batch in batches:
-            kinds, documents, ids, pages, bodies, edges, longest, listed = (batch.column(i).to_pylist() for i in range(8))
+            listed = [None] * len(batch) if small else batch.column(7).to_pylist()
             clean, noise = [], []
-            for kind, page, body, edge, most, own in zip(kinds, pages, bodies, edges, longest, listed, strict=True):
+            for kind, page, body, edge, most, own in zip(_strings(batch.column(0)), _lists(batch.column(3)), _strings(batch.column(4)), _lists(batch.column(5)), _numbers(batch.column(6)), listed, strict=True):
+                if kind == "cell" and body in cells:
+                    text, found = cells[body]
+                    clean.append(text)
+                    noise.append(found)
+                    continue
                 if small:
                     repairer = whole
                 else:
-                    misread, some = split((w["word"], w["meant"]) for w in own or [])
+                    misread, some = split((w["word"], w["meant"]) for w in own)
                     repairer = Repairer(misread, _Either(frequent, some))
                 if kind == "cell":
                     # Nothing but its text decides on a cell, and short ones are often repeated.
-                    text, found = cells.get(body) or repairer.repair(body, [], none, False)
+                    text, found = repairer.repair(body, [], none, False)
                     if small and len(body) <= CELL_CHARACTERS:
                         if len(cells) >= REMEMBERED_CELLS:
                             cells.clear()
@@ -586,4 +637,4 @@ def repair_records(blocks: DataFrame, tables: DataFrame, vocabulary_bytes: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(clean, pa.string()), pa.array(noise, pa.list_(pa.string()))], names=["kind", "document_id", "record_id", "clean_text", "noise"])
 
     schema = "kind string, document_id string, record_id string, clean_text string, noise array<string>"
-    return headed.select("kind", "document_id", "record_id", "pages", "text", "headers", "longest", "words").mapInArrow(run, schema)
+    return headed.mapInArrow(run, schema)

@@ -88,3 +88,41 @@ def test_two_letter_confusions_and_long_words(spark):
     assert got["rnanagernent"] == "management" and got["rcfercnce"] == "reference" and got[long.replace("less", "l€ss")] == long
     for word in ("rnanagernent", "rcfercnce", "r€m1nder", "f!|€"):
         assert all(S._misread_as(word, v) for v in S._variants(word)) and not S._misread_as(word, word) and not S._misread_as(word, "other")
+
+
+TABLES = "document_id string, table_id string, page_number int, page_numbers array<int>, cells array<struct<cell_id:string,row_index:int,column_index:int,text:string>>, native_text string"
+
+
+def test_no_null_lists_are_sent(spark, monkeypatch):
+    # Each row sent after a null list costs as much as all rows since the last list that is not null.
+    blocks = spark.createDataFrame([("d", "a", 1, "the permit"), ("e", "b", None, "the annex")], "document_id string, block_id string, page_number int, text string")
+    tables = spark.createDataFrame([("d", "t", 6, [6], [("c", 0, 0, "clerk")], "the clerk")], TABLES)
+    sent, plain = [], type(blocks).mapInArrow
+    monkeypatch.setattr(type(blocks), "mapInArrow", lambda df, *a, **k: sent.append(df) or plain(df, *a, **k))
+    for most in (S.VOCABULARY_BYTES, 0):
+        assert {r.record_id: r.clean_text for r in S.repair_records(blocks, tables, most).collect()} == {"a": "the permit", "b": "the annex", "c": "clerk", "t": "the clerk"}
+    lists = [(df, f.name) for df in sent for f in df.schema if f.dataType.typeName() == "array"]
+    assert lists and all(df.where(f"{name} is null").count() == 0 for df, name in lists)
+
+
+def test_texts_of_tables_without_pages(spark):
+    blocks = spark.createDataFrame([], "document_id string, block_id string, page_number int, text string")
+    tables = spark.createDataFrame([("f", "u", None, None, [("c", 0, 0, "clerk")], "the permit"), ("f", "v", None, [], None, "7")], TABLES)
+    assert {r.record_id: (r.clean_text, r.noise) for r in S.repair_records(blocks, tables).collect()} == {"c": ("clerk", []), "u": ("the permit", []), "v": ("7", [])}
+
+
+def test_doubts_are_found_between_any_spaces():
+    for space in (" ", "\t", "\xa0", "\u3000", "\n", "\x1d"):
+        assert _repair(f"the{space}permit{space}466.0l{space}within")[1] == ["misread"]
+        assert _repair(f"the{space}(remindcr),{space}within")[1] == ["misread"]
+        assert _repair(f"the{space}permit,{space}within")[1] == []
+
+
+def test_counts_by_pieces_between_spaces():
+    import pyarrow as pa
+
+    texts = ["the permit,\xa0the (permit) ven€ra!! K42 14:25 a|b", "the con-\nnector is read\nin the annex-\n\nthe"]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, None], pa.string()), pa.array([None, None], pa.int32()), pa.array(texts)], names=["d", "p", "text"])
+    (out,) = S._count(iter([batch]))
+    got = {k: n for k, n in zip(out.column(1).to_pylist(), out.column(4).to_pylist(), strict=True) if n}
+    assert got == {"the": 5, "permit": 2, "ven€ra": 1, "a|b": 1, "is": 1, "read": 1, "in": 1}
